@@ -22,7 +22,11 @@ from pyspark.sql.window import Window
 
 from .common import materialise, scratch, table
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk; without room reserved ahead, as there may be many small state stores.
+STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 LANDED = "text_sha256 string, doc_id bigint, locator string, n_bytes bigint"
 
 
@@ -56,8 +60,9 @@ class StreamingDeduplicator:
         landing = f"{self.store}/landing"
         self.keyed(docs).write.mode("append").parquet(landing)
         spark = self.spark
-        previous = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+        previous = {key: spark.conf.get(key, None) for key in STATE_CONF}
+        for key, value in STATE_CONF.items():
+            spark.conf.set(key, value)
         try:
             (
                 spark.readStream.schema(LANDED)
@@ -75,10 +80,8 @@ class StreamingDeduplicator:
                 .awaitTermination()
             )
         finally:
-            if previous:
-                spark.conf.set("spark.sql.streaming.stateStore.providerClass", previous)
-            else:
-                spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+            for key, value in previous.items():
+                spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
     def state(self) -> DataFrame:
         """text_sha256, keep_id, keep_locator, group_size of every digest seen."""
