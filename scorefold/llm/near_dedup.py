@@ -9,8 +9,10 @@
 4. Buckets are cut into blocks of BLOCK members by a hash that differs per bucket. In each block the
    exact multiset overlap of all its members is computed in numpy and links that join them are
    emitted, a spanning forest of the pairs at or above the threshold, never all pairs.
-5. Links become classes by minimum labels. In buckets that still hold several classes, every member
-   outside the bucket's most frequent class is compared with all blocks of the bucket, so no link is lost.
+5. Links become classes by minimum labels. The FIRST bands come first; of the other buckets only those
+   that still hold several classes are compared. Where a bucket of several blocks still holds several
+   classes, every member outside its most frequent class is compared with all its blocks, so no link
+   between classes is lost.
 
 Defined cases: null and blank texts have no shingles, are equal to each other and form one class;
 texts of fewer than five words have one shingle of all words; the smallest doc_id of a class stays,
@@ -33,6 +35,8 @@ from .common import map_arrow, materialise, table
 from .words import chunks, mix, shingles
 
 THRESHOLD, BANDS, ROWS = 0.8, 20, 5
+#: Bands whose buckets are compared first.
+FIRST = 4
 #: Members of a bucket that are compared at once; small buckets share a unit of about as many rows.
 BLOCK = 256
 #: Shingles of a block that are multiplied at once.
@@ -235,78 +239,79 @@ def _links(members: DataFrame, sets: DataFrame, visitors: DataFrame | None = Non
     return materialise(rows.join(sets, "id").groupBy("unit").applyInPandas(compare, "a bigint, b bigint"), "near-found")
 
 
-def near_classes(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id, class_size, n_links, kept: one row per row of ``docs``.
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, label) after links join classes: the classes are contracted first, so few rows iterate."""
+    at = lambda side: labels.select(F.col("id").alias(side), F.col("label").alias(f"l{side}"))
+    between = links.join(at("a"), "a").join(at("b"), "b").where("la != lb").select(F.col("la").alias("a"), F.col("lb").alias("b"))
+    between = materialise(between.distinct(), "near-between")
+    if not between.take(1):
+        return labels
+    ids = materialise(between.select(F.col("a").alias("id")).union(between.select("b")).distinct(), "near-ends")
+    joined = components(between, ids).select(F.col("id").alias("label"), F.col("label").alias("lower"))
+    return materialise(labels.join(joined, "label", "left").select("id", F.coalesce("lower", "label").alias("label")), "near-labels")
 
-    class_id is the smallest doc_id of the class; n_links counts the links of a row's text that
-    joined its class to other texts.
-    """
+
+def unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members, with labels, of the buckets that hold several classes."""
+    rows = materialise(members.drop("label").join(labels, "id"), "near-labelled")
+    many = rows.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("bucket")
+    return materialise(rows.join(many, "bucket", "left_semi"), "near-unsettled")
+
+
+def near_classes(docs: DataFrame) -> DataFrame:
+    """doc_id, class_id, class_size, kept, text_key: one row per row of ``docs``; class_id is the smallest doc_id of the class."""
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(2**63 - 1)).alias("doc_id"), F.col("text"))
-    signed = materialise(
-        map_arrow(rows, sign, "doc_id bigint, exact binary, n bigint, bands array<bigint>"), "near-signed"
-    )
-    texts = materialise(
-        signed.groupBy("exact").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n")), "near-texts"
-    )
+    signed = materialise(map_arrow(rows, sign, "doc_id bigint, exact binary, n bigint, bands array<bigint>"), "near-signed")
+    texts = materialise(signed.groupBy("exact").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies")), "near-texts")
     lead = signed.join(texts, (signed.exact == texts.exact) & (signed.doc_id == texts.id)).where(signed.n > 0)
-    entries = lead.select("id", F.explode(F.array_distinct("bands")).alias("band"))
+    entries = lead.dropDuplicates(["id"]).select("id", F.posexplode("bands").alias("number", "band"))
     full = entries.groupBy("band").agg(
-        F.count(F.lit(1)).alias("size"), F.min("id").alias("low"), F.bit_xor(F.xxhash64("id")).alias("members")
+        F.count(F.lit(1)).alias("size"), F.min("id").alias("low"), F.bit_xor(F.xxhash64("id")).alias("members"), F.min("number").alias("number")
     ).where("size > 1")
-    buckets = full.groupBy("size", "low", "members").agg(F.min("band").alias("bucket"))  # equal members count once
+    # equal members count once
+    buckets = full.groupBy("size", "low", "members").agg(F.min(F.struct("number", "band")).alias("b")).select("size", "b.number", F.col("b.band").alias("bucket"))
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     units = max(1, 8 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     few = F.col("size") <= BLOCK // 8
+    shared = F.struct(F.pmod(F.xxhash64("bucket"), F.lit(units)).alias("at"), F.lit(-1).alias("block"), F.lit(0).alias("part"))
     members = materialise(
-        entries.join(buckets, entries.band == buckets.bucket).select(
-            "bucket",
-            "id",
-            "size",
-            blocks.alias("blocks"),
-            F.when(few, F.lit(-1)).otherwise(F.pmod(F.xxhash64("id", "bucket"), blocks)).cast("int").alias("block"),
+        entries.drop("number").join(buckets, entries.band == buckets.bucket).select(
+            "bucket", "id", F.col("id").alias("label"), "number", blocks.alias("blocks"), few.alias("few"),
+            F.pmod(F.xxhash64("id", "bucket"), blocks).cast("int").alias("block"),
         ),
         "near-members",
     )
-    unit = lambda *more: F.when(few, F.struct(F.pmod(F.xxhash64("bucket"), F.lit(units)).alias("at"), F.lit(-1).alias("block"), F.lit(0).alias("part"))).otherwise(
-        F.struct(F.col("bucket").alias("at"), F.col("block"), *(more or [F.lit(0).alias("part")]))
-    )
+    at = lambda part: F.struct(F.col("bucket").alias("at"), "block", part.alias("part"))
+    unit = F.when(F.col("few"), shared).otherwise(at(F.lit(0))).alias("unit")
     ids = materialise(members.select("id").distinct(), "near-ids")
     sources = rows.join(ids, rows.doc_id == ids.id, "left_semi").select("doc_id", "text")
     sources = sources.join(texts.select("id"), sources.doc_id == texts.id).select("id", "text")
     sets = materialise(map_arrow(sources, elements, "id bigint, elements array<bigint>").dropDuplicates(["id"]), "near-sets")
-    first = _links(members.select("bucket", "id", F.col("id").alias("label"), unit().alias("unit")), sets)
-    labels = components(first, ids)
-    # buckets in several blocks that still hold several classes
-    open_rows = members.where("blocks > 1").join(labels, "id")
-    counted = open_rows.groupBy("bucket", "label").count()
-    largest = counted.groupBy("bucket").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.count(F.lit(1)).alias("classes"))
-    open_rows = materialise(open_rows.join(largest.where("classes > 1"), "bucket"), "near-open")
-    links = first
-    if open_rows.take(1):
-        away = F.col("label") != F.col("main")
-        outside = open_rows.where(away).groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
-        spread = open_rows.join(outside, "bucket")
+    pick = lambda d, to: d.select("bucket", "id", "label", to)
+    # the first bands settle most classes; of the others only buckets that hold several classes are left
+    labels = merged(ids.select("id", F.col("id").alias("label")), _links(pick(members.where(F.col("number") < FIRST), unit), sets))
+    left = unsettled(members.where(F.col("number") >= FIRST), labels)
+    labels = merged(labels, _links(pick(left, unit), sets))
+    # blocks of one bucket have not met yet: rows outside its most frequent class visit the other blocks
+    apart = unsettled(members.where("blocks > 1"), labels)
+    counted = apart.groupBy("bucket", "label").count()
+    main = counted.groupBy("bucket").agg(F.max_by("label", F.struct("count", "label")).alias("main"), (F.sum("count") - F.max("count")).alias("outside"))
+    spread = materialise(apart.join(main.withColumn("parts", F.ceil(F.col("outside") / BLOCK).cast("int")), "bucket"), "near-spread")
+    if spread.take(1):
         homes = spread.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         guests = (
-            spread.where(away)
+            spread.where("label != main")
             .withColumn("part", F.pmod(F.xxhash64("id", F.lit(3)), F.col("parts")).cast("int"))
             .withColumn("own", F.col("block"))
             .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
             .where("block != own")
         )
-        pick = lambda d: d.select("bucket", "id", "label", F.struct(F.col("bucket").alias("at"), "block", "part").alias("unit"))
-        links = materialise(first.unionByName(_links(pick(homes), sets, pick(guests))).distinct(), "near-all")
-        labels = components(links, ids)
-    ends = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
-    named = (
-        texts.join(labels, "id", "left")
-        .join(ends, "id", "left")
-        .select("exact", "id", "copies", F.coalesce("label", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    )
-    named = materialise(named, "near-named")
+        to = at(F.col("part")).alias("unit")
+        labels = merged(labels, _links(pick(homes, to), sets, pick(guests, to)))
+    named = materialise(texts.join(labels, "id", "left").select("exact", "copies", F.coalesce("label", "id").alias("class_id")), "near-named")
     sizes = materialise(named.groupBy("class_id").agg(F.sum("copies").alias("class_size")), "near-sizes")
-    classes = named.join(sizes, "class_id").select("exact", "class_id", "class_size", "n_links")
+    classes = materialise(named.join(sizes, "class_id").select("exact", "class_id", "class_size"), "near-classes")
     out = signed.select("doc_id", "exact").join(classes, "exact")
     copy = F.row_number().over(Window.partitionBy("doc_id", "class_id").orderBy("exact"))
     known = lambda c: F.nullif(F.col(c), F.lit(2**63 - 1)).alias(c)
@@ -314,7 +319,6 @@ def near_classes(docs: DataFrame) -> DataFrame:
         known("doc_id"),
         known("class_id"),
         "class_size",
-        "n_links",
         ((F.col("doc_id") == F.col("class_id")) & (F.col("copy") == 1)).alias("kept"),
         F.lower(F.hex("exact")).alias("text_key"),
     )
