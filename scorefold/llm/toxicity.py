@@ -16,7 +16,7 @@ a label the model scores 0 everywhere; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
-from collections import Counter
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import fold, labelled_sample, map_arrow, table
 
-FIT_ROWS, FIT_BYTES, MIN_DOCS, MAX_FEATURES = 3000, 65_536, 6, 50_000
+FIT_ROWS, FIT_BYTES, MIN_DOCS, MAX_FEATURES = 2400, 32_768, 5, 50_000
 STEPS, RATE, PENALTY, START = 80, 0.25, 1e-4, -8.0
 #: Words whose weights a worker keeps.
 REMEMBERED = 300_000
@@ -39,15 +39,25 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in _SENTENCE.finditer(text)]
 
 
-def parts(word: str) -> list[str]:
-    """A word's features: itself and its beginnings."""
-    return [word, *(f"{word[:n]}-" for n in (4, 5) if len(word) >= n)]
+def parts(word: str) -> list[int]:
+    """A word's features, by their crc32: itself and its beginnings."""
+    return [zlib.crc32(f.encode("utf-8", "surrogatepass")) for f in (word, *(f"{word[:n]}-" for n in (4, 5) if len(word) >= n))]
+
+
+class Parts(dict):
+    """word -> its features, computed on first use."""
+
+    def __missing__(self, word: str) -> list[int]:
+        if len(self) >= REMEMBERED // 8:
+            self.clear()
+        value = self[word] = parts(word)
+        return value
 
 
 class Weights(dict):
     """word -> sum of its features' weights, computed on first use; features the fit didn't keep weigh nothing."""
 
-    def __init__(self, features: dict[str, float]):
+    def __init__(self, features: dict[int, float]):
         super().__init__()
         self.features = features
 
@@ -64,7 +74,7 @@ class Weights(dict):
 class NoisyOr:
     """The fitted model."""
 
-    def __init__(self, weights: dict[str, float], bias: float):
+    def __init__(self, weights: dict[int, float], bias: float):
         self.weights, self.bias = Weights(weights), bias
 
     def sentence_scores(self, text: str) -> tuple[list[tuple[int, int]], np.ndarray]:
@@ -86,34 +96,37 @@ class NoisyOr:
 
 def fit(sample: list[tuple[str, int]]) -> NoisyOr:
     """Full-batch Adam on the documents' negative log-likelihood."""
-    bags = [[{f for w in {*_WORD.findall(t, a, b)} for f in parts(w)} for a, b in sentences(t)] for t in (t.lower() for t, _ in sample)]
-    seen = Counter(w for bag in bags for w in set().union(*bag))
-    words = [w for w, n in seen.most_common(MAX_FEATURES) if n >= MIN_DOCS]
-    if not any(y for _, y in sample) or not words:
+    known, held, rows, owner = Parts(), [], [], []
+    for d, text in enumerate(t.lower() for t, _ in sample):
+        bags = [{f for w in {*_WORD.findall(text, a, b)} for f in known[w]} for a, b in sentences(text)]
+        held.append(np.fromiter((f for bag in bags for f in bag), np.uint32))
+        rows.append(np.repeat(np.arange(len(bags), dtype=np.int32), [len(bag) for bag in bags]) + len(owner))
+        owner += [d] * len(bags)
+    del known
+    found, seen = np.unique(np.concatenate([np.unique(h) for h in held] or [np.zeros(0, np.uint32)]), return_counts=True)
+    order = np.argsort(-seen, kind="stable")[:MAX_FEATURES]
+    names = np.sort(found[order[seen[order] >= MIN_DOCS]])
+    if not any(y for _, y in sample) or not len(names):
         return NoisyOr({}, -30.0)
-    number = {w: i for i, w in enumerate(words)}
-    column, row, owner = [], [], []
-    for d, bag in enumerate(bags):
-        for sentence in bag:
-            found = [number[w] for w in sentence if w in number]
-            column += found
-            row += [len(owner)] * len(found)
-            owner.append(d)
-    column, row, owner = (np.array(x, np.int64) for x in (column, row, owner))
+    entry, row = np.concatenate(held), np.concatenate(rows)
+    del held, rows
+    column = np.minimum(np.searchsorted(names, entry), len(names) - 1).astype(np.int32)
+    usable = names[column] == entry
+    column, row, owner = column[usable], row[usable], np.array(owner, np.int32)
     y = np.array([v for _, v in sample], np.float64)
     # the sample holds labels half and half; a plain fit keeps both kinds of errors alike
-    theta, m, v = (np.zeros(len(words) + 1) for _ in range(3))
+    theta, m, v = (np.zeros(len(names) + 1) for _ in range(3))
     theta[-1] = START
     for step in range(1, STEPS + 1):
         z = np.bincount(row, theta[column], len(owner)) + theta[-1]
         p = np.clip(1 / (1 + np.exp(-np.clip(z, -30, 30))), 1e-12, 1 - 1e-12)
         none = np.exp(np.bincount(owner, np.log1p(-p), len(y)))  # probability that no sentence is toxic
         pull = np.where(y > 0, -none / np.maximum(1 - none, 1e-9), 1.0)[owner] * p / len(y)
-        gradient = np.append(np.bincount(column, pull[row], len(words)), pull.sum())
+        gradient = np.append(np.bincount(column, pull[row], len(names)), pull.sum())
         gradient[:-1] += PENALTY * theta[:-1]
         m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient**2
         theta -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return NoisyOr({w: float(x) for w, x in zip(words, theta[:-1], strict=True) if abs(x) > 1e-6}, float(theta[-1]))
+    return NoisyOr({f: float(x) for f, x in zip(names.tolist(), theta[:-1], strict=True) if abs(x) > 1e-6}, float(theta[-1]))
 
 
 def score(docs: DataFrame, model: NoisyOr) -> DataFrame:
