@@ -64,3 +64,13 @@ def diverse_top_k(df: DataFrame, group: list[str], score: str, vector: str, key:
     kinds = dict(df.dtypes)
     schema = ", ".join(f"{c} {kinds[c]}" for c in [*group, key, score]) + ", rank int"
     return ranked.select(*group, key, score, vector, "_place").groupBy(*group).applyInPandas(pick, schema)
+
+
+def rank_sum_best(df: DataFrame, group: list[str], scores: list[str], key: list[str]) -> DataFrame:
+    """One row per group: the smallest sum of tie-averaged descending ranks over the scores."""
+    for i, s in enumerate(scores):
+        df = average_ranks(df, group, s, f"_r{i}")
+    total = sum((F.col(f"_r{i}") for i in range(1, len(scores))), F.col("_r0"))
+    summed = df.withColumn("rank_sum", total)
+    best = summed.withColumn("_place", place(group, F.asc("rank_sum"), *map(F.asc, key))).where("_place = 1")
+    return best.drop("_place", *[f"_r{i}" for i in range(len(scores))])

@@ -70,3 +70,16 @@ def density_mode(points: DataFrame, group: list[str], key: str, radius: float) -
     best = counted.groupBy(*group).agg(F.max_by(key, F.struct("neighbours", -F.col(key))).alias(key), F.max("neighbours").alias("neighbours"))
     around = ends.join(best, [*group, key]).join(points.select(F.col(key).alias("n"), *AXES), "n")
     return around.groupBy(*group, key, "neighbours").agg(*[F.round(F.avg(c), 6).alias(f"mean_{c}") for c in AXES])
+
+
+def voxels(points: DataFrame, group: list[str], edge: float) -> DataFrame:
+    """Points per cell of a grid whose cells are centred on multiples of ``edge``; halves go to the even cell."""
+    cells = [F.bround(F.col(a) / edge).cast("bigint").alias(f"cell_{a}") for a in AXES]
+    return points.groupBy(*group, *cells).agg(F.count(F.lit(1)).alias("n"))
+
+
+def nearest(points: DataFrame, group: list[str], key: str, anchor: list[float]) -> DataFrame:
+    """The point of each group that is closest to ``anchor``."""
+    square = sum(((F.col(a) - F.lit(v)) * (F.col(a) - F.lit(v)) for a, v in zip(AXES[1:], anchor[1:], strict=True)), (F.col(AXES[0]) - anchor[0]) * (F.col(AXES[0]) - anchor[0]))
+    found = points.groupBy(*group).agg(F.min(F.struct(square.alias("d"), F.col(key).alias("k"))).alias("m"))
+    return found.select(*group, F.col("m.k").alias(key), F.round(F.sqrt("m.d"), 6).alias("distance"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .ranking import average_ranks
 
@@ -36,8 +37,6 @@ def bins(value: Column, edges: list[float]) -> Column:
 
 def contribution(df: DataFrame, row: str, column: str) -> DataFrame:
     """Long cross table: counts and each cell's percentage of its row."""
-    from pyspark.sql.window import Window
-
     counts = df.groupBy(row, column).agg(F.count(F.lit(1)).alias("n"))
     share = 100 * F.col("n") / F.sum("n").over(Window.partitionBy(row))
     return counts.withColumn("percent", F.round(share, 6))
@@ -48,3 +47,61 @@ def ensemble(df: DataFrame, group: list[str], a: str, b: str, gate: Column) -> D
     found = df.groupBy(*group).agg(F.median(a).alias("ma"), F.median(F.when(gate, F.col(b))).alias("mb"))
     both = F.coalesce((F.col("ma") + F.col("mb")) / 2, "ma", "mb")
     return found.select(*group, F.round("ma", 6).alias("median_a"), F.round("mb", 6).alias("median_b"), F.round(both, 6).alias("ensemble"))
+
+
+def quantiles(df: DataFrame, group: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """Linearly interpolated quantiles per group, under the names of ``shares``."""
+    found = df.groupBy(*group).agg(F.percentile(value, F.array(*map(F.lit, shares.values()))).alias("q"))
+    return found.select(*group, *[F.round(F.col("q")[i], 6).alias(name) for i, name in enumerate(shares)])
+
+
+def signal_rollup(df: DataFrame, group: list[str], score: str, other: str, key: list[str], least: float, top: int = 10) -> DataFrame:
+    """Best, 90 % quantile, mean, mean of the ``top`` best, share at or above ``least``, and ``other`` at the best row.
+
+    The sums combine map-side; the ranked part keeps ``top`` rows a group before it is shuffled.
+    """
+    rows = df.where(F.col(score).isNotNull())
+    whole = rows.groupBy(*group).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.max(score).alias("best"),
+        F.round(F.percentile(score, F.lit(0.9)), 6).alias("p90"),
+        F.round(F.avg(score), 6).alias("mean"),
+        F.round(F.avg((F.col(score) >= least).cast("double")), 6).alias("share"),
+    )
+    order = Window.partitionBy(*group).orderBy(F.desc(score), *map(F.asc, key))
+    ranked = rows.select(*group, score, other, F.row_number().over(order).alias("_at")).where(F.col("_at") <= top)
+    leading = ranked.groupBy(*group).agg(
+        F.round(F.avg(score), 6).alias("top_mean"), F.max(F.when(F.col("_at") == 1, F.col(other))).alias("other_at_best")
+    )
+    return whole.join(leading, group)
+
+
+def families_within(df: DataFrame, group: list[str], family: str, truth: str, margins: list[int]) -> DataFrame:
+    """Per group, how many families have their best value within each margin of the group's best."""
+    best = df.groupBy(*group, family).agg(F.min(truth).alias("best"))
+    low = best.withColumn("low", F.min("best").over(Window.partitionBy(*group)))
+    return low.groupBy(*group).agg(*[F.count_if(F.col("best") <= F.col("low") + m).alias(f"within_{m}") for m in margins])
+
+
+def majority(df: DataFrame, group: list[str], value: str, ordinal: str) -> DataFrame:
+    """Most common value per group; of equally common ones that which was seen first."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("n"), F.min(ordinal).alias("first"))
+    order = Window.partitionBy(*group).orderBy(F.desc("n"), "first")
+    return counts.withColumn("_at", F.row_number().over(order)).where("_at = 1").select(*group, value, "n")
+
+
+def cluster_sizes(members: DataFrame, cluster: str) -> DataFrame:
+    """(size, clusters of that size, clusters of at least that size).
+
+    The running sum is over the distinct sizes only, fewer than the square root of twice the rows.
+    """
+    sizes = members.groupBy(cluster).agg(F.count(F.lit(1)).alias("size"))
+    counted = sizes.groupBy("size").agg(F.count(F.lit(1)).alias("clusters"))
+    return counted.withColumn("at_least", F.sum("clusters").over(Window.orderBy(F.desc("size"))))
+
+
+def runs(df: DataFrame, group: list[str], value: str, order: list[str]) -> DataFrame:
+    """Values that occur in more than one run of their group's order, with the number of runs."""
+    before = F.lag(value).over(Window.partitionBy(*group).orderBy(*order))
+    starts = df.withColumn("_start", F.when(before == F.col(value), 0).otherwise(1))
+    return starts.groupBy(*group, value).agg(F.sum("_start").alias("runs")).where("runs > 1")

@@ -336,3 +336,90 @@ def name_parsing(spark: SparkSession, d: str) -> DataFrame:
         parsing.prefix_family(F.col("n"), ["Brand#1", "Brand#2"]).alias("family"),
         parsing.closeness(F.col("p_size") / 40).alias("closeness"), parsing.log_affinity(F.col("p_size") / 10).alias("log_affinity"),
     )
+
+
+@query(
+    """SELECT event_type, round(quantile_cont(value, 0.1), 6) AS p10, round(quantile_cont(value, 0.25), 6) AS p25, round(quantile_cont(value, 0.5), 6) AS p50
+FROM events GROUP BY event_type"""
+)
+def quantile_table(spark: SparkSession, d: str) -> DataFrame:
+    return statistics.quantiles(table(spark, d, "events"), ["event_type"], "value", {"p10": 0.1, "p25": 0.25, "p50": 0.5})
+
+
+@query(
+    """SELECT l_suppkey, count(*) AS n, max(l_discount) AS best, round(quantile_cont(l_discount, 0.9), 6) AS p90, round(avg(l_discount), 6) AS mean,
+round(avg(CASE WHEN pl <= 10 THEN l_discount END), 6) AS top_mean, round(avg(CASE WHEN l_discount >= 0.05 THEN 1.0 ELSE 0.0 END), 6) AS share,
+max(CASE WHEN pl = 1 THEN l_tax END) AS other_at_best
+FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_discount DESC, l_orderkey, l_linenumber) AS pl FROM lineitem) GROUP BY l_suppkey"""
+)
+def signal_rollup(spark: SparkSession, d: str) -> DataFrame:
+    return statistics.signal_rollup(table(spark, d, "lineitem"), ["l_suppkey"], "l_discount", "l_tax", KEY, 0.05)
+
+
+@query(
+    """WITH b AS (SELECT l_partkey, l_returnflag, min(l_quantity) AS best FROM lineitem GROUP BY l_partkey, l_returnflag),
+g AS (SELECT *, min(best) OVER (PARTITION BY l_partkey) AS low FROM b)
+SELECT l_partkey, count(*) FILTER (best <= low + 1) AS within_1, count(*) FILTER (best <= low + 2) AS within_2, count(*) FILTER (best <= low + 5) AS within_5
+FROM g GROUP BY l_partkey"""
+)
+def family_consensus(spark: SparkSession, d: str) -> DataFrame:
+    return statistics.families_within(table(spark, d, "lineitem"), ["l_partkey"], "l_returnflag", "l_quantity", [1, 2, 5])
+
+
+@query(
+    """SELECT user_id, event_type, n FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, first) AS pl FROM
+(SELECT user_id, event_type, count(*) AS n, min(event_id) AS first FROM events WHERE event_type IS NOT NULL GROUP BY user_id, event_type)) WHERE pl = 1"""
+)
+def majority_vote(spark: SparkSession, d: str) -> DataFrame:
+    return statistics.majority(table(spark, d, "events"), ["user_id"], "event_type", "event_id")
+
+
+@query(
+    """WITH c AS (SELECT o_custkey, count(*) AS size FROM orders GROUP BY o_custkey)
+SELECT size, count(*) AS clusters, CAST(sum(count(*)) OVER (ORDER BY size DESC) AS BIGINT) AS at_least FROM c GROUP BY size"""
+)
+def cumulative_support(spark: SparkSession, d: str) -> DataFrame:
+    return statistics.cluster_sizes(table(spark, d, "orders"), "o_custkey")
+
+
+@query(
+    """WITH s AS (SELECT user_id, event_type, CASE WHEN event_type = lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) THEN 0 ELSE 1 END AS starts FROM events)
+SELECT user_id, event_type, CAST(sum(starts) AS BIGINT) AS runs FROM s GROUP BY user_id, event_type HAVING sum(starts) > 1"""
+)
+def split_runs(spark: SparkSession, d: str) -> DataFrame:
+    return statistics.runs(table(spark, d, "events"), ["user_id"], "event_type", ["ts", "event_id"])
+
+
+@query(
+    f"""WITH {_POINTS} SELECT label, CAST(round_even(x / 0.06, 0) AS BIGINT) AS cell_x, CAST(round_even(y / 0.06, 0) AS BIGINT) AS cell_y,
+CAST(round_even(z / 0.06, 0) AS BIGINT) AS cell_z, count(*) AS n FROM e GROUP BY ALL"""
+)
+def voxel_density(spark: SparkSession, d: str) -> DataFrame:
+    return spatial.voxels(_points(spark, d), ["label"], RADIUS)
+
+
+@query(
+    f"""WITH {_POINTS}, a AS (SELECT label, vec_id, (x - 0.1) * (x - 0.1) + (y - 0.1) * (y - 0.1) + (z - 0.1) * (z - 0.1) AS d FROM e)
+SELECT label, vec_id, round(sqrt(d), 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY d, vec_id) AS pl FROM a) WHERE pl = 1"""
+)
+def nearest_to_anchor(spark: SparkSession, d: str) -> DataFrame:
+    return spatial.nearest(_points(spark, d), ["label"], "vec_id", [0.1, 0.1, 0.1])
+
+
+@query(
+    """WITH r AS (SELECT *, rank() OVER (PARTITION BY l_partkey ORDER BY l_discount DESC) + (count(*) OVER (PARTITION BY l_partkey, l_discount) - 1) / 2
+ + (rank() OVER (PARTITION BY l_partkey ORDER BY l_tax DESC) + (count(*) OVER (PARTITION BY l_partkey, l_tax) - 1) / 2) AS rank_sum FROM lineitem)
+SELECT l_partkey, l_orderkey, l_linenumber, rank_sum FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY rank_sum, l_orderkey, l_linenumber) AS pl FROM r) WHERE pl = 1"""
+)
+def rank_sum_selection(spark: SparkSession, d: str) -> DataFrame:
+    found = ranking.rank_sum_best(table(spark, d, "lineitem"), ["l_partkey"], ["l_discount", "l_tax"], KEY)
+    return found.select("l_partkey", *KEY, "rank_sum")
+
+
+@query(
+    """SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'F') AS n_f, count(*) FILTER (o_orderstatus = 'O') AS n_o, count(*) FILTER (o_orderstatus = 'P') AS n_p
+FROM orders GROUP BY o_orderpriority"""
+)
+def wide_counts(spark: SparkSession, d: str) -> DataFrame:
+    wide = table(spark, d, "orders").groupBy("o_orderpriority").pivot("o_orderstatus", ["F", "O", "P"]).count().fillna(0)
+    return wide.select("o_orderpriority", *[F.col(s).alias(f"n_{s.lower()}") for s in "FOP"])
