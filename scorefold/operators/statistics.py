@@ -59,19 +59,21 @@ def signal_rollup(df: DataFrame, group: list[str], score: str, other: str, key:
     """Best, 90 % quantile, mean, mean of the ``top`` best, share at or above ``least``, and ``other`` at the best row.
 
     The sums combine map-side; the ranked part keeps ``top`` rows a group before it is shuffled.
+    Means are taken of decimals with nine places, so they don't depend on the order of the rows.
     """
+    mean = lambda c: F.round(F.avg(c.cast("decimal(20,9)")), 6).cast("double")
     rows = df.where(F.col(score).isNotNull())
     whole = rows.groupBy(*group).agg(
         F.count(F.lit(1)).alias("n"),
         F.max(score).alias("best"),
         F.round(F.percentile(score, F.lit(0.9)), 6).alias("p90"),
-        F.round(F.avg(score), 6).alias("mean"),
+        mean(F.col(score)).alias("mean"),
         F.round(F.avg((F.col(score) >= least).cast("double")), 6).alias("share"),
     )
     order = Window.partitionBy(*group).orderBy(F.desc(score), *map(F.asc, key))
     ranked = rows.select(*group, score, other, F.row_number().over(order).alias("_at")).where(F.col("_at") <= top)
     leading = ranked.groupBy(*group).agg(
-        F.round(F.avg(score), 6).alias("top_mean"), F.max(F.when(F.col("_at") == 1, F.col(other))).alias("other_at_best")
+        mean(F.col(score)).alias("top_mean"), F.max(F.when(F.col("_at") == 1, F.col(other))).alias("other_at_best")
     )
     return whole.join(leading, group)
 
