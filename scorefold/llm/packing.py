@@ -1,13 +1,18 @@
 """Packing tokenised documents into sequences of a fixed capacity by bulk-synchronous best fit.
 
-Documents become pieces of at most ``capacity`` tokens. Pieces are packed longest first, each into
-the sequence with the smallest gap that holds it. One round places all pieces of one length: pieces
-and gaps are kept range-sorted and run-length encoded, so a round is a sweep over the runs of gaps
-from the successor of the length upwards; who of the equal pieces gets which of the equal gaps is
-resolved by rank; then the gaps are updated and the next round follows. Lengths and gaps are whole
-numbers up to the capacity, hence there are at most ``capacity`` runs and rounds whatever the number
-of documents: the sweeps work on the runs, and all rounds' matches are then carried out at once on
-the rows, each task placing its rows by length and rank.
+Documents become pieces of at most ``capacity`` tokens. Pieces of more than half of it can't share a
+sequence and open one each. The others are placed in rounds:
+
+1. Units (pieces, or bundles of short pieces of one length) and the gaps of open sequences are sorted
+   by size, longest first; a row's global rank comes from counts per size and part.
+2. A successor sweep gives each unit the smallest gap that holds it, each gap at most one unit. Read
+   gaps as opening and units as closing brackets: the brackets that match are those pairs. The depth
+   of a row follows from its rank, so rows are dealt by depth, and in each depth neighbours match;
+   ties of size are resolved by rank. A depth meets each size once, hence at most 2 x capacity rows.
+3. Gaps shrink by what they took, and the next round follows with the units left over.
+
+Where no unit fits any gap, bundles are cut smaller if the free tokens suffice for what is left;
+otherwise the longest units, as many as the missing tokens need at least, open sequences.
 
 Defined cases: null and empty texts are one piece of the end token; repeated rows are packed each
 by itself; an empty table gives an empty result; other columns are ignored.
@@ -21,18 +26,18 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import map_arrow, materialise, table
 
 CAPACITY, END = 1024, 2
-#: Ranks within a length are counted in so many parts, so a frequent length isn't one group.
-SALTS = 128
+#: Rows of one size are ranked in parts of about so many, so a frequent size isn't one group.
+PART = 100_000
 #: Pieces of text whose ids a worker keeps.
 REMEMBERED = 300_000
-PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, part int"
+PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
 def byte_bpe(model: str, ranks: str) -> Callable[[str], bytes]:
@@ -85,7 +90,6 @@ def cut(model: str, ranks: str, capacity: int, end: int) -> Callable[[Iterator[p
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = byte_bpe(model, ranks)
         tail = struct.pack("<I", end)
-        dealt = 0
         for batch in batches:
             rows: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -95,86 +99,109 @@ def cut(model: str, ranks: str, capacity: int, end: int) -> Callable[[Iterator[p
                 while at < n:
                     length = (n % capacity or capacity) if at == 0 else capacity
                     crc = zlib.crc32(data[4 * at : 4 * (at + length)])
-                    rows.append((doc_id, number, at, length, crc, dealt % SALTS))
-                    at, number, dealt = at + length, number + 1, dealt + 1
-            columns = list(zip(*rows, strict=True)) or [()] * 6
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
-            names = ("doc_id", "piece", "start", "length", "ids_crc32", "part")
+                    rows.append((doc_id, number, at, length, crc))
+                    at, number = at + length, number + 1
+            columns = list(zip(*rows, strict=True)) or [()] * 5
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+            names = ("doc_id", "piece", "start", "length", "ids_crc32")
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
     return run
 
 
-def plan(counts: dict[int, int], capacity: int) -> np.ndarray:
-    """Rows (length, first rank, pieces per sequence, first sequence, offset): where pieces go by length and rank."""
-    gaps: dict[int, list[tuple[int, int]]] = {}  # gap -> runs of (first sequence, how many)
-    rows: list[tuple[int, int, int, int, int]] = []
-    sequences = 0
-    for length in sorted(counts, reverse=True):
-        left, rank = counts[length], 0
-        moved: list[tuple[int, int, int]] = []
-
-        def fill(gap: int, first: int, many: int) -> None:
-            """Puts as many of the left pieces as fit into sequences first, first + 1, ..."""
-            nonlocal left, rank
-            each = gap // length
-            whole = min(many, left // each)
-            if whole:
-                rows.append((length, rank, each, first, capacity - gap))
-                moved.append((gap - each * length, first, whole))
-                rank, left = rank + whole * each, left - whole * each
-            if left and whole < many:  # fewer than fill one more sequence
-                rows.append((length, rank, left, first + whole, capacity - gap))
-                moved.append((gap - left * length, first + whole, 1))
-                rank, left, whole = rank + left, 0, whole + 1
-            if whole < many:
-                moved.append((gap, first + whole, many - whole))
-
-        for gap in sorted(g for g in gaps if g >= length):
-            if not left:
-                break
-            for first, many in gaps.pop(gap):
-                fill(gap, first, many) if left else moved.append((gap, first, many))
-        if left:
-            new = -(-left // (capacity // length))
-            fill(capacity, sequences, new)
-            sequences += new
-        for gap, first, many in moved:
-            if gap:
-                gaps.setdefault(gap, []).append((first, many))
-    return np.array(rows, np.int64).reshape(-1, 5)
+def bundled(pieces: DataFrame, target: int, parts: int) -> DataFrame:
+    """Units (key, size, length, members): pieces of one length, together at most ``target`` tokens, else one alone."""
+    short = F.col("length") * 2 <= target
+    alone = pieces.where(~short).select("key", F.col("length").alias("size"), "length", F.array("key").alias("members"))
+    rank = F.row_number().over(Window.partitionBy("length", "part").orderBy("key")) - 1
+    together = (
+        pieces.where(short)
+        .withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)))
+        .withColumn("number", F.floor(rank / F.floor(F.lit(target) / F.col("length"))))
+        .groupBy("length", "part", "number")
+        .agg(F.min("key").alias("key"), F.sum("length").alias("size"), F.sort_array(F.collect_list("key")).alias("members"))
+    )
+    return alone.unionByName(together.select(alone.columns))
+
+
+def with_before(rows: DataFrame, step: Column, parts: int) -> DataFrame:
+    """Adds ``before``: the sum of ``step``, a number per kind, over all rows earlier by size (longest first), kind, part and key."""
+    at, last = ["size", "kind", "part"], Window.unboundedPreceding
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)))
+    counts = dealt.groupBy(*at).count()
+    # one row per size and kind: at most 2 x capacity, so they may be summed in one task
+    runs = counts.groupBy("size", "kind").agg(F.sum("count").alias("count"))
+    earlier = Window.orderBy(F.desc("size"), "kind").rowsBetween(last, -1)
+    runs = runs.select("size", "kind", F.coalesce(F.sum(step * F.col("count")).over(earlier), F.lit(0)).alias("run"))
+    inside = Window.partitionBy("size", "kind").orderBy("part").rowsBetween(last, -1)
+    base = counts.withColumn("inside", F.coalesce(F.sum("count").over(inside), F.lit(0))).join(runs, ["size", "kind"])
+    base = base.select(*at, (F.col("run") + step * F.col("inside")).alias("base"))
+    ranked = dealt.withColumn("rank", F.row_number().over(Window.partitionBy(*at).orderBy("key")) - 1)
+    return ranked.join(base, at).withColumn("before", F.col("base") + step * F.col("rank")).drop("rank", "base", "part")
+
+
+def sweep(units: DataFrame, gaps: DataFrame, parts: int) -> DataFrame:
+    """Units (kind 1) and gaps (kind 0), each with its mate of the other kind or nulls: key, kind, size, length, members, mate, mate_size."""
+    rows = units.withColumn("kind", F.lit(1)).unionByName(gaps.withColumn("kind", F.lit(0)), allowMissingColumns=True)
+    is_gap = F.col("kind") == 0
+    placed = with_before(rows, F.when(is_gap, 1).otherwise(-1), parts)
+    placed = placed.withColumn("depth", F.col("before") + F.when(is_gap, 1).otherwise(0))
+    order = Window.partitionBy("depth").orderBy(F.desc("size"), "kind")
+    row = F.struct("kind", "key", "size")
+    near = F.when(is_gap, F.lead(row).over(order)).otherwise(F.lag(row).over(order))
+    mate = F.when(F.col("near.kind") != F.col("kind"), F.col("near"))
+    placed = placed.withColumn("near", near).withColumn("near", mate)
+    return placed.select("key", "kind", "size", "length", "members", F.col("near.key").alias("mate"), F.col("near.size").alias("mate_size"))
+
+
+def places(units: DataFrame, sequence: Column, offset: Column) -> DataFrame:
+    """key, sequence_id and offset of the pieces of placed units."""
+    found = units.select("length", sequence.alias("sequence_id"), offset.alias("at"), F.posexplode("members").alias("nth", "key"))
+    return found.select("key", "sequence_id", (F.col("at") + F.col("nth") * F.col("length")).alias("offset"))
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Adds sequence_id and offset to pieces (length from 1 to capacity, part from 0 to SALTS - 1)."""
-    # at most capacity x SALTS counts
-    found = [(r["length"], r["part"], r["count"]) for r in pieces.groupBy("length", "part").count().collect()]
-    counts = np.zeros((capacity + 1, SALTS), np.int64)
-    for length, part, n in found:
-        counts[length, part] = n
-    base = np.cumsum(counts, axis=1) - counts
-    totals = counts.sum(1)
-    moves = plan({n: int(totals[n]) for n in range(1, capacity + 1) if totals[n]}, capacity)
-    moves = moves[np.lexsort((moves[:, 1], moves[:, 0]))]
-    starts = (moves[:, 0] << 48) + moves[:, 1]
-    order = [c for c in ("doc_id", "piece", "ids_crc32") if c in pieces.columns]
-    ranked = pieces.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "part").orderBy(*order)).cast("bigint"))
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            length = batch.column("length").to_numpy()
-            rank = batch.column("_rank").to_numpy() - 1 + base[length, batch.column("part").to_numpy()]
-            move = moves[np.searchsorted(starts, (length << 48) + rank, "right") - 1] if len(rank) else moves[:0]
-            nth = rank - move[:, 1]
-            columns = [c for c in batch.schema.names if c not in ("_rank", "part")]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in columns]
-                + [pa.array(move[:, 3] + nth // move[:, 2]), pa.array(move[:, 4] + nth % move[:, 2] * length)],
-                names=[*columns, "sequence_id", "offset"],
-            )
-
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema if f.name != "part")
-    return ranked.mapInArrow(place, f"{kept}, sequence_id bigint, offset bigint")
+    """Adds sequence_id and offset to pieces (``length`` from 1 to capacity)."""
+    rows = materialise(pieces.withColumn("key", F.monotonically_increasing_id()), "pack-rows")
+    small, large = F.col("length") * 2 <= capacity, F.col("length") * 2 > capacity
+    singles = rows.select("key", "length")
+    parts = 1 + singles.count() // PART
+    done = [singles.where(large).select("key", F.col("key").alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))]
+    gaps = singles.where(large).select("key", (F.lit(capacity) - F.col("length")).alias("size")).where("size > 0")
+    target = first = max(1, capacity // 4)
+    units = materialise(bundled(singles.where(small), target, parts), "pack-units")
+    while True:
+        left = units.agg(
+            F.sum("size").alias("tokens"), F.min("size").alias("unit"), F.min("length").alias("piece"), F.max(F.size("members")).alias("bundle")
+        ).first()
+        if left.tokens is None:
+            break
+        gaps = gaps.where(F.col("size") >= left.piece)  # narrower ones hold nothing any more
+        free = gaps.agg(F.sum("size").alias("tokens"), F.max("size").alias("widest")).first()
+        if (free.widest or 0) >= left.unit:
+            swept = materialise(sweep(units, gaps, parts), "pack-swept")
+            won, lost = (swept.where("kind = 1").where(F.col("mate").isNotNull() == x) for x in (True, False))
+            done.append(places(won, F.col("mate"), F.lit(capacity) - F.col("mate_size")))
+            units = lost.select(units.columns)
+            gaps = swept.where("kind = 0").select("key", (F.col("size") - F.coalesce("mate_size", F.lit(0))).alias("size")).where("size > 0")
+            continue
+        pieces_left = units.select(F.explode("members").alias("key"), "length")
+        missing = left.tokens - (free.tokens or 0)
+        if missing <= 0 and left.bundle > 1:
+            target = max(1, target // 4)
+            units = materialise(bundled(pieces_left, target, parts), "pack-units")
+            continue
+        target, opened = first, -(-(missing if missing > 0 else left.tokens) // capacity)
+        whole = bundled(pieces_left, target, parts).withColumn("kind", F.lit(1))
+        ranked = materialise(with_before(whole, F.lit(1), parts), "pack-opened")
+        new = ranked.where(F.col("before") < opened)
+        done.append(places(new, F.col("key"), F.lit(0)))
+        gaps = gaps.unionByName(new.select("key", (F.lit(capacity) - F.col("size")).alias("size")))
+        units = ranked.where(F.col("before") >= opened).select(units.columns)
+    found = done[0]
+    for more in done[1:]:
+        found = found.unionByName(more)
+    return rows.join(found, "key").drop("key")
 
 
 def pack_documents(
@@ -186,7 +213,7 @@ def pack_documents(
     model = model or public_tokenizers.path("byte_bpe_50k.json")
     ranks = ranks or public_tokenizers.path("byte_bpe_50k.tiktoken")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return pack(materialise(map_arrow(rows, cut(model, ranks, capacity, end), PIECES), "pack-pieces"), capacity)
+    return pack(map_arrow(rows, cut(model, ranks, capacity, end), PIECES), capacity)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

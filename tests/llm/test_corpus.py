@@ -143,27 +143,45 @@ def test_packing(docs, none):
     assert packing.pack_documents(none).count() == 0
 
 
-@settings(deadline=None, max_examples=60)
-@given(st.dictionaries(st.integers(1, 64), st.integers(1, 40), max_size=20))
-def test_packing_plan_is_best_fit_decreasing(counts):
+@pytest.mark.parametrize("parts", [1, 3])
+def test_sweep_gives_longest_first_the_smallest_gap(spark, parts):
+    r = random.Random(parts)
+    units, gaps = ([r.randint(1, 30) for _ in range(n)] for n in (150, 120))
+    open_, want = [], []
+    for size, is_unit in sorted([(s, True) for s in units] + [(s, False) for s in gaps], key=lambda x: (-x[0], x[1])):
+        if not is_unit:
+            open_.append(size)
+        else:
+            want.append((size, open_.pop() if open_ else None))
+    rows = [(i, s, s, [i]) for i, s in enumerate(units)]
+    found = packing.sweep(
+        spark.createDataFrame(rows, "key bigint, size bigint, length bigint, members array<bigint>"),
+        spark.createDataFrame(list(enumerate(gaps)), "key bigint, size bigint"),
+        parts,
+    ).collect()
+    mates = [(x.size, x.mate_size) for x in found if x.kind == 1]
+    assert Counter(mates) == Counter(want)
+    taken = [x.mate for x in found if x.kind == 1 and x.mate is not None]
+    assert len(set(taken)) == len(taken)
+    assert {(x.key, x.mate) for x in found if x.kind == 0 and x.mate is not None} == {(x.mate, x.key) for x in found if x.kind == 1 and x.mate is not None}
+
+
+@pytest.mark.parametrize("lengths", [[1] * 700, [64] * 3, [33, 32, 31] * 20, [random.Random(5).randint(1, 64) for _ in range(300)], [20] * 50 + [7] * 90 + [50] * 9])
+def test_packing_needs_about_as_few_sequences_as_best_fit_decreasing(spark, lengths):
     gaps = []
-    for length in sorted(counts, reverse=True):
-        for _ in range(counts[length]):
-            fitting = [g for g in gaps if g >= length]
-            gap = min(fitting) if fitting else 64
-            if fitting:
-                gaps.remove(gap)
-            gaps.append(gap - length)
-    moves = packing.plan(counts, 64)
-    used = {int(m[3]) + j for m in moves for j in range(1)}
-    total = Counter()
-    for length in counts:
-        own = sorted(tuple(m) for m in moves.tolist() if m[0] == length)
-        ends = [m[1] for m in own[1:]] + [counts[length]]
-        for m, end in zip(own, ends, strict=True):
-            for k in range(end - m[1]):
-                total[m[3] + k // m[2]] += length
-    assert sorted(64 - v for v in total.values()) == sorted(gaps) and len(used) <= len(total)
+    for length in sorted(lengths, reverse=True):
+        fitting = [g for g in gaps if g >= length]
+        if fitting:
+            gaps.remove(min(fitting))
+        gaps.append((min(fitting) if fitting else 64) - length)
+    found = packing.pack(spark.createDataFrame([(i, n) for i, n in enumerate(lengths)], "doc_id bigint, length bigint"), 64).collect()
+    assert sorted((r.doc_id, r.length) for r in found) == list(enumerate(lengths))
+    held = {}
+    for r in sorted(found, key=lambda r: r.offset):
+        assert r.offset == held.get(r.sequence_id, 0)
+        held[r.sequence_id] = r.offset + r.length
+    assert max(held.values()) <= 64
+    assert len(held) <= len(gaps) + max(1, len(gaps) // 50)
 
 
 @settings(deadline=None, max_examples=150)
