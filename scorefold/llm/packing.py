@@ -168,7 +168,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     parts = 1 + singles.count() // PART
     done = [singles.where(large).select("key", F.col("key").alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))]
     gaps = singles.where(large).select("key", (F.lit(capacity) - F.col("length")).alias("size")).where("size > 0")
-    target = first = max(1, capacity // 4)
+    target = first = max(1, capacity // 16)
     units = materialise(bundled(singles.where(small), target, parts), "pack-units")
     while True:
         left = units.agg(
