@@ -41,6 +41,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``docs`` written with a number that no two rows share, and the name of that column."""
+    row = "_row"
+    while row in map(str.lower, docs.columns):
+        row = f"_{row}"
+    return materialise(docs.withColumn(row, F.monotonically_increasing_id()), name), row
+
+
 def map_arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:
     """``mapInArrow`` with batches of at most ARROW_ROWS rows."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))

@@ -15,8 +15,9 @@
    between classes is lost.
 
 Defined cases: null and blank texts have no shingles, are equal to each other and form one class;
-texts of fewer than five words have one shingle of all words; the smallest doc_id of a class stays,
-null ids last; of rows repeated with one doc_id one stays; an empty table gives an empty result.
+texts of fewer than five words have one shingle of all words; the row with the smallest doc_id of a
+class stays, null ids last, of equal ids the one with the smallest text_key, and one only; rows are told
+apart by a number written with them, so doc_ids may be null or repeat; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,9 +30,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import map_arrow, materialise, table
+from .common import map_arrow, materialise, numbered, table
 from .words import chunks, mix, shingles
 
 THRESHOLD, BANDS, ROWS = 0.8, 20, 5
@@ -113,9 +113,9 @@ def band_keys(signatures: np.ndarray, bands: int = BANDS) -> np.ndarray:
 
 
 def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) to (doc_id, exact, n, bands)."""
+    """(row, doc_id, digest, text) to (row, doc_id, digest, exact, n, bands)."""
     for batch in batches:
-        ids, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
+        texts = [t or "" for t in batch.column(3).to_pylist()]
         for part in chunks(texts):
             text, shingle, weight = multisets(texts[part])
             n = part.stop - part.start
@@ -128,8 +128,13 @@ def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes = np.bincount(text, weight, n).astype(np.int64)
             offsets = pa.array(np.arange(n + 1) * keys.shape[1], pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [ids[part.start : part.stop], pa.array(exact, pa.binary()), pa.array(sizes), pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()))],
-                names=["doc_id", "exact", "n", "bands"],
+                [
+                    *(batch.column(i)[part.start : part.stop] for i in range(3)),
+                    pa.array(exact, pa.binary()),
+                    pa.array(sizes),
+                    pa.ListArray.from_arrays(offsets, pa.array(keys.ravel())),
+                ],
+                names=["row", "doc_id", "digest", "exact", "n", "bands"],
             )
 
 
@@ -258,14 +263,25 @@ def unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
     return materialise(rows.join(many, "bucket", "left_semi"), "near-unsettled")
 
 
-def near_classes(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id, class_size, kept, text_key: one row per row of ``docs``; class_id is the smallest doc_id of the class."""
+def near_classes(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """doc_id, class_id, class_size, kept, text_key, class_key: one row per row of ``docs``.
+
+    class_id and class_key are the doc_id and text_key of the row that stays; where doc_ids are null or
+    repeat, class_key tells classes apart. ``row`` names a column of ``docs`` that numbers its rows, which
+    the result then holds too; without it the signatures are written with such a number.
+    """
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(2**63 - 1)).alias("doc_id"), F.col("text"))
-    signed = materialise(map_arrow(rows, sign, "doc_id bigint, exact binary, n bigint, bands array<bigint>"), "near-signed")
-    texts = materialise(signed.groupBy("exact").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies")), "near-texts")
-    lead = signed.join(texts, (signed.exact == texts.exact) & (signed.doc_id == texts.id)).where(signed.n > 0)
-    entries = lead.dropDuplicates(["id"]).select("id", F.posexplode("bands").alias("number", "band"))
+    own = row is None
+    number = F.lit(None).cast("bigint") if own else F.col(row)
+    digest = F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+    rows = docs.select(number.alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), digest.alias("digest"), "text")
+    signed = map_arrow(rows, sign, "row bigint, doc_id bigint, digest binary, exact binary, n bigint, bands array<bigint>")
+    signed = materialise(signed.withColumn("row", F.monotonically_increasing_id()) if own else signed, "near-signed")
+    # the first row of a text gives the text its number
+    head = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "exact", "digest", "row")).alias("head")
+    texts = materialise(signed.groupBy("exact").agg(head, F.count(F.lit(1)).alias("copies")).withColumn("id", F.col("head.row")), "near-texts")
+    lead = signed.where("n > 0").join(texts.select("id"), signed.row == texts.id)
+    entries = lead.select("id", F.posexplode("bands").alias("number", "band"))
     full = entries.groupBy("band").agg(
         F.count(F.lit(1)).alias("size"), F.min("id").alias("low"), F.bit_xor(F.xxhash64("id")).alias("members"), F.min("number").alias("number")
     ).where("size > 1")
@@ -285,8 +301,9 @@ def near_classes(docs: DataFrame) -> DataFrame:
     at = lambda part: F.struct(F.col("bucket").alias("at"), "block", part.alias("part"))
     unit = F.when(F.col("few"), shared).otherwise(at(F.lit(0))).alias("unit")
     ids = materialise(members.select("id").distinct(), "near-ids")
-    sources = rows.join(ids, rows.doc_id == ids.id, "left_semi").select("doc_id", "text")
-    sources = sources.join(texts.select("id"), sources.doc_id == texts.id).select("id", "text")
+    # texts are found again by what they are; rows that both agree in hold the same text
+    want = texts.join(ids, "id").select("id", F.col("head.doc_id").alias("i"), F.col("head.digest").alias("d"))
+    sources = rows.join(want, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("digest") == F.col("d"))).select("id", "text")
     sets = materialise(map_arrow(sources, elements, "id bigint, elements array<bigint>").dropDuplicates(["id"]), "near-sets")
     pick = lambda d, to: d.select("bucket", "id", "label", to)
     # the first bands settle most classes; of the others only buckets that hold several classes are left
@@ -309,25 +326,25 @@ def near_classes(docs: DataFrame) -> DataFrame:
         )
         to = at(F.col("part")).alias("unit")
         labels = merged(labels, _links(pick(homes, to), sets, pick(guests, to)))
-    named = materialise(texts.join(labels, "id", "left").select("exact", "copies", F.coalesce("label", "id").alias("class_id")), "near-named")
-    sizes = materialise(named.groupBy("class_id").agg(F.sum("copies").alias("class_size")), "near-sizes")
-    classes = materialise(named.join(sizes, "class_id").select("exact", "class_id", "class_size"), "near-classes")
-    out = signed.select("doc_id", "exact").join(classes, "exact")
-    copy = F.row_number().over(Window.partitionBy("doc_id", "class_id").orderBy("exact"))
-    known = lambda c: F.nullif(F.col(c), F.lit(2**63 - 1)).alias(c)
-    return out.withColumn("copy", copy).select(
-        known("doc_id"),
-        known("class_id"),
+    named = materialise(texts.join(labels, "id", "left").select("exact", "copies", "head", F.coalesce("label", "id").alias("label")), "near-named")
+    sizes = materialise(named.groupBy("label").agg(F.sum("copies").alias("class_size"), F.min("head").alias("first")), "near-sizes")
+    classes = materialise(named.join(sizes, "label").select("exact", "class_size", "first"), "near-classes")
+    return signed.select("row", "doc_id", "exact").join(classes, "exact").select(
+        *([] if own else [F.col("row").alias(row)]),
+        "doc_id",
+        F.col("first.doc_id").alias("class_id"),
         "class_size",
-        ((F.col("doc_id") == F.col("class_id")) & (F.col("copy") == 1)).alias("kept"),
+        (F.col("row") == F.col("first.row")).alias("kept"),
         F.lower(F.hex("exact")).alias("text_key"),
+        F.lower(F.hex("first.exact")).alias("class_key"),
     )
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each class, with its own columns. Ids are those of an exact dedup: unique."""
-    kept = near_classes(docs).where("kept").select(F.col("doc_id").alias("kept_id"))
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    """Pipeline stage: one document of each class, with its own columns."""
+    rows, row = numbered(docs, "near-input")
+    kept = near_classes(rows, row).where("kept").select(row)
+    return rows.join(kept, row, "left_semi").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -260,6 +260,54 @@ def test_near_dedup_equals_brute_force_over_many_blocks(spark, monkeypatch):
     assert {x.doc_id: x.class_id for x in near_dedup.near_classes(df).collect()} == {i: root(i) for i in range(len(texts))}
 
 
+def near_pieces(texts):
+    """The classes of texts by brute force, as lists of their numbers."""
+    bags = [Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if (w := (t or "").split()) else Counter() for t in texts]
+    classes = []
+    for i, bag in enumerate(bags):
+        alike = [c for c in classes if any((bag & bags[j]).total() >= 0.8 * (bag | bags[j]).total() for j in c)]
+        classes = [c for c in classes if c not in alike] + [[i, *(j for c in alike for j in c)]]
+    return classes
+
+
+def near_rows():
+    """(doc_id, text): clear near copies and unrelated texts; null and repeated ids with different texts."""
+
+    def copy(seed, at):
+        w = text(seed, 120).split()
+        w[at] = "changed"
+        return " ".join(w)
+
+    return [
+        (None, text(41, 120)), (None, text(42, 120)), (None, copy(42, 60)), (None, None), (None, " "), (7, text(43, 120)), (7, text(44, 120)),
+        (7, text(44, 120)), (9, copy(44, 30)), (9, text(45, 120)), (3, copy(45, 90)), (None, copy(43, 50)), (2**63 - 1, text(46, 120)), (None, copy(46, 9)),
+    ]
+
+
+def test_near_dedup_tells_rows_of_null_and_repeated_ids_apart(spark):
+    data = near_rows()
+    found = near_dedup.near_classes(spark.createDataFrame(data, "doc_id bigint, text string")).collect()
+    place = lambda i: (i is None, i or 0)
+    want = Counter()
+    for c in near_pieces([t for _, t in data]):
+        first = min((data[i][0] for i in c), key=place)
+        want.update((data[i][0], first, len(c)) for i in c)
+    assert Counter((r.doc_id, r.class_id, r.class_size) for r in found) == want
+    kept = [r for r in found if r.kept]
+    assert len(kept) == len({r.class_key for r in found}) == len(near_pieces([t for _, t in data]))
+    assert all(r.doc_id == r.class_id and r.text_key == r.class_key for r in kept)
+
+
+def test_near_dedup_stage_keeps_one_row_of_each_class(spark):
+    data = near_rows()
+    docs = spark.createDataFrame(data, "doc_id bigint, text string")
+    left = [(r.doc_id, r.text) for r in near_dedup.stage(spark, docs, "").collect()]
+    classes = near_pieces([t for _, t in data])
+    assert len(left) == len(classes)
+    for c in classes:
+        assert sum((data[i][0], data[i][1]) in left for i in {data.index(data[i]) for i in c}) == 1
+
+
 def test_signatures_estimate_weighted_overlap():
     a, b = " ".join(text(7, 40).split() * 3), " ".join(text(7, 40).split() * 2)
     owner, shingle, weight = near_dedup.multisets([a, b])
