@@ -20,14 +20,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import materialise, scratch, table
+from .common import materialise, numbered, scratch, table
 
 #: State on disk; without room reserved ahead, as there may be many small state stores.
 STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
-LANDED = "text_sha256 string, doc_id bigint, locator string, n_bytes bigint"
+LANDED = "text_sha256 string, doc_id bigint, locator string, n_bytes bigint, row bigint"
 
 
 def normalised(text: Column) -> Column:
@@ -40,10 +40,11 @@ def sha256(text: Column) -> Column:
 
 
 class StreamingDeduplicator:
-    """Keyed state of all documents ingested so far, under ``store``."""
+    """Keyed state of all documents ingested so far, under ``store``; ``row`` names a column that numbers the rows."""
 
-    def __init__(self, spark: SparkSession, store: str | None = None, digest: Callable[[Column], Column] = sha256):
+    def __init__(self, spark: SparkSession, store: str | None = None, digest: Callable[[Column], Column] = sha256, row: str | None = None):
         self.spark, self.digest = spark, digest
+        self.row = (F.col(row) if row else F.lit(None)).cast("bigint").alias("row")
         self.store = store or scratch(spark, "exact-dedup")
 
     def keyed(self, docs: DataFrame) -> DataFrame:
@@ -53,6 +54,7 @@ class StreamingDeduplicator:
             F.col("doc_id").cast("bigint").alias("doc_id"),
             F.input_file_name().alias("locator"),
             F.octet_length(text).cast("bigint").alias("n_bytes"),
+            self.row,
         )
 
     def ingest(self, docs: DataFrame) -> None:
@@ -97,12 +99,12 @@ class StreamingDeduplicator:
         )
 
     def resolve(self, docs: DataFrame) -> DataFrame:
-        """One row per document ingested: doc_id, keep_id, group_size, kept, text_sha256, keep_locator."""
+        """One row per document ingested: doc_id, keep_id, group_size, kept, text_sha256, keep_locator, row."""
         landed = self.spark.read.schema(LANDED).parquet(f"{self.store}/landing")
-        found = materialise(landed.select("doc_id", "text_sha256").join(self.state(), "text_sha256"), "dedup-found")
+        found = materialise(landed.select("doc_id", "text_sha256", "row").join(self.state(), "text_sha256"), "dedup-found")
         # full bytes of the hits: groups of one digest must hold one text
         hit_ids = found.where("group_size > 1").select("doc_id").distinct()
-        texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), normalised(F.col("text")).alias("bytes"))
+        texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), normalised(F.col("text")).alias("bytes"), self.row)
         hits = texts.join(hit_ids, texts.doc_id.eqNullSafe(hit_ids.doc_id), "left_semi")
         digest = self.digest(F.col("bytes")).alias("text_sha256")
         variants = (
@@ -112,13 +114,13 @@ class StreamingDeduplicator:
         )
         clashing = materialise(variants.groupBy("text_sha256").count().where("count > 1").select("text_sha256"), "dedup-clash")
         if clashing.take(1):  # different texts of one digest: their rows are told apart by the bytes
-            rows = texts.select("doc_id", "bytes", digest).join(clashing, "text_sha256", "left_semi")
+            rows = texts.select("doc_id", "bytes", "row", digest).join(clashing, "text_sha256", "left_semi")
             apart = rows.join(
                 variants.withColumnsRenamed({"bytes": "b", "text_sha256": "d"}),
                 (F.col("text_sha256") == F.col("d")) & (F.col("bytes") == F.col("b")),
-            ).select("text_sha256", "doc_id", "keep_id", F.lit(None).cast("string").alias("keep_locator"), "group_size")
+            ).select("text_sha256", "doc_id", "keep_id", F.lit(None).cast("string").alias("keep_locator"), "group_size", "row")
             found = found.join(clashing, "text_sha256", "left_anti").unionByName(apart)
-        copy = F.row_number().over(Window.partitionBy("doc_id", "text_sha256", "keep_id").orderBy("keep_locator"))
+        copy = F.row_number().over(Window.partitionBy("doc_id", "text_sha256", "keep_id").orderBy("keep_locator", "row"))
         return found.withColumn("copy", copy).select(
             "doc_id",
             "keep_id",
@@ -126,6 +128,7 @@ class StreamingDeduplicator:
             (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"),
             "text_sha256",
             "keep_locator",
+            "row",
         )
 
 
@@ -133,27 +136,16 @@ def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256) ->
     """All of ``docs`` in one ingest into fresh state."""
     dedup = StreamingDeduplicator(docs.sparkSession, digest=digest)
     dedup.ingest(docs)
-    return dedup.resolve(docs)
+    return dedup.resolve(docs).drop("row")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents that stay, with their own columns."""
-    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("kept_id"))
-    rows = Window.partitionBy("doc_id", "bytes").orderBy(F.lit(1))
-    survivors = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    repeated = materialise(survivors.groupBy("doc_id").count().where("count > 1").select("doc_id"), "dedup-repeated")
-    if not repeated.take(1):
-        return survivors
-    same_id = F.col("doc_id").eqNullSafe(F.col("repeated_id"))
-    again = repeated.withColumnRenamed("doc_id", "repeated_id")
-    once = (
-        survivors.join(again, same_id, "left_semi")
-        .withColumn("bytes", normalised(F.col("text")))
-        .withColumn("copy", F.row_number().over(rows))
-        .where("copy = 1")
-        .select(*docs.columns)
-    )
-    return survivors.join(again, same_id, "left_anti").unionByName(once)
+    rows, row = numbered(docs, "dedup-input")
+    dedup = StreamingDeduplicator(spark, row=row)
+    dedup.ingest(rows)
+    kept = dedup.resolve(rows).where("kept").select(F.col("row").alias(row))
+    return rows.join(kept, row, "left_semi").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

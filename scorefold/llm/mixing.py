@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialise, table
+from .common import materialise, numbered, table
 
 #: Share of the largest possible entropy that weights are to reach, most epochs of a source, tokens of a block.
 ENTROPY, REPETITION, BLOCK = 0.97, 2.0, 50_000
@@ -78,14 +78,17 @@ def weights(counts: list[int], budget: int | None, target: float = ENTROPY, limi
     return exponent, *spent(exponent)
 
 
-def mix(docs: DataFrame, keep: list[str], budget: int | None, whole: bool = False, seed: int = 17) -> DataFrame:
+def mix(
+    docs: DataFrame, keep: list[str], budget: int | None, whole: bool = False, seed: int = 17, by: list[Column] | None = None
+) -> DataFrame:
     """Rows of the mixed stream: ``keep`` columns, source, n_tokens, epoch, block, position, weight.
 
     ``keep`` should be narrow; texts are joined later by id. With ``whole`` a source's first epoch is
-    always complete.
+    always complete. Documents are permuted by a hash of ``by``, else of ``keep``.
     """
     spark = docs.sparkSession
-    rows = materialise(docs.select(*keep, F.col("source").alias("source"), tokens(F.col("text")).alias("n_tokens")), "mix-rows")
+    names = [F.xxhash64(*by).alias("_name")] if by else []
+    rows = materialise(docs.select(*keep, *names, F.col("source").alias("source"), tokens(F.col("text")).alias("n_tokens")), "mix-rows")
     found = rows.groupBy("source").agg(F.sum("n_tokens").alias("t")).collect()  # one row per source
     if not found:
         return rows.select("*", *[F.lit(0).cast("bigint").alias(c) for c in ("epoch", "block", "position")], F.lit(0.0).alias("weight"))
@@ -95,7 +98,7 @@ def mix(docs: DataFrame, keep: list[str], budget: int | None, whole: bool = Fals
     plan = spark.createDataFrame(spend, "s string, t bigint, weight double, spend double, blocks bigint")
     epochs = F.greatest(F.lit(1), F.ceil(F.col("spend") / F.greatest(F.col("t"), F.lit(1)) - 1e-9)).cast("int")
     dealt = rows.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("s"))).withColumn("epoch", F.explode(F.sequence(F.lit(0), epochs - 1)))
-    dealt = dealt.withColumn("order", F.xxhash64(*keep, "epoch", F.lit(seed))).withColumn("part", F.pmod(F.xxhash64("order", F.lit(1)), F.col("blocks")))
+    dealt = dealt.withColumn("order", F.xxhash64(*(["_name"] if by else keep), "epoch", F.lit(seed))).withColumn("part", F.pmod(F.xxhash64("order", F.lit(1)), F.col("blocks")))
     dealt = materialise(dealt, "mix-dealt")
     # permuted blocks: sums over one row per block, a source has one for each BLOCK tokens and epoch
     sums = dealt.groupBy("s", "epoch", "part").agg(F.sum("n_tokens").alias("held"))
@@ -119,10 +122,13 @@ def mix(docs: DataFrame, keep: list[str], budget: int | None, whole: bool = Fals
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every document at least once, those of small sources again as the weights ask.
 
-    ``docs`` has unique ids here (it follows an exact dedup); the columns are those of documents.
+    Epochs are counted per row, by a number written with it, as doc_ids may be null or repeat. Which
+    documents come again depends on doc_id and text, not on the numbers.
     """
-    times = mix(docs, ["doc_id"], None, whole=True).groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("_times"))
-    joined = docs.join(times.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")))
+    rows, row = numbered(docs, "mix-input")
+    mixed = mix(rows, [row], None, whole=True, by=[F.col("doc_id"), F.col("text")])
+    times = mixed.groupBy(row).agg(F.count(F.lit(1)).cast("int").alias("_times"))
+    joined = rows.join(times, row)
     return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
 
 

@@ -385,6 +385,40 @@ def test_pipeline(spark):
     assert corpus_pipeline.run(spark, FOLDER).count() > 0
 
 
+def kept_by_brute_force(data):
+    """(doc_id, text) after exact and near dedup; no two near texts have equal ids, so one row of each class comes first."""
+    place = lambda r: (r[0] is None, r[0] or 0)
+    first = {}
+    for r in data:
+        first[exact_dedup_key(r[1])] = min(first.get(exact_dedup_key(r[1]), r), r, key=place)
+    left = list(first.values())
+    return Counter(min((left[i] for i in c), key=place) for c in near_pieces([t for _, t in left]))
+
+
+def test_pipeline_of_null_and_repeated_ids_equals_brute_force(spark, tmp_path):
+    a, b = text(51, 120), text(52, 120)
+    # a stays with id 3 only, b without an id; one id holds a and another text
+    data = [(3, a), (None, a), (None, b), (3, text(53, 120)), *near_rows()[:2], *near_rows()[5:]]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    rows = [(i, t, "en", "s", len(t)) for i, t in data]
+    spark.createDataFrame(rows, schema).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id bigint, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    full = _tokenizer()
+    want = Counter()
+    for (i, t), n in kept_by_brute_force(data).items():
+        ids = full.encode(t, add_special_tokens=False).ids + [2]
+        assert len(ids) <= 1024
+        want[i, zlib.crc32(np.array(ids, "<u4").tobytes())] += n
+    found = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.ids_crc32) for r in found) == want
+
+
+def test_mixing_stage_repeats_rows_of_one_id_no_more_than_others(spark):
+    rows = [(None, text(i), "en", "s", 1) for i in range(9)] + [(5, text(i), "en", "s", 1) for i in range(20, 24)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert Counter(map(tuple, mixing.stage(spark, docs, "").collect())) == Counter(rows)
+
+
 def test_vocabulary_must_hold_all_bytes():
     with pytest.raises(ValueError):
         token_counts.Automaton([b"a", base64.b64decode("YWI=")])
