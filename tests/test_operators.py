@@ -21,6 +21,18 @@ def test_diverse_selection_equals_a_plain_loop(spark):
     assert found == want
 
 
+def test_diverse_selection_goes_on_past_many_close_rows(spark):
+    data = [("a", i, 5000.0 - i, [0.0, i % 10 / 10]) for i in range(3000)] + [("a", 3000 + i, float(-i), [4.0 * (i + 1), 0.0]) for i in range(9)]
+    data += [(None, 1, 2.0, None), (None, 2, 1.0, [None, 0.0]), (None, 3, 1.0, [0.0, 0.0]), (None, 4, float("nan"), [1.0, 0.0]), (None, 5, None, [9.0, 9.0])]
+    df = spark.createDataFrame(data, "g string, id long, score double, point array<double>")
+    found = ranking.diverse_top_k(df, ["g"], "score", "point", "id", k=4, distance=2.0)
+    want = {("a", 0, 1), ("a", 3000, 2), ("a", 3001, 3), ("a", 3002, 4), (None, 4, 1)}
+    assert {(r.g, r.id, r.rank) for r in found.collect()} == want
+    assert found.dtypes == [("g", "string"), ("id", "bigint"), ("score", "double"), ("rank", "int")]
+    unreadable = df.where("g is null and not isnan(score)")
+    assert [(r.id, r.rank) for r in ranking.diverse_top_k(unreadable, ["g"], "score", "point", "id").collect()] == [(1, 1), (3, 2)]
+
+
 def test_tied_scores_have_average_ranks_and_the_hand_computed_auc(spark):
     df = spark.createDataFrame([(1, 4.0, 1), (2, 3.0, 0), (3, 3.0, 1), (4, 1.0, 0)], "id long, score double, hit int")
     ranked = ranking.average_ranks(df.withColumn("g", F.lit(1)), ["g"], "score", "r").orderBy("id")
