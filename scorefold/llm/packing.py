@@ -1,27 +1,32 @@
 """Packing tokenised documents into sequences of a fixed capacity by bulk-synchronous best fit.
 
 Documents become pieces of at most ``capacity`` tokens. Pieces of more than half of it can't share a
-sequence and open one each. The others are placed in rounds:
-
-1. Units (pieces, or bundles of short pieces of one length) and the gaps of open sequences are sorted
-   by size, longest first; a row's global rank comes from counts per size and part.
-2. A successor sweep gives each unit the smallest gap that holds it, each gap at most one unit. Read
-   gaps as opening and units as closing brackets: the brackets that match are those pairs. The depth
+sequence with each other and open one each. The others are placed by bands of length, longest first;
+a band's edges are the capacity over 2, 3, 4, ..., so its pieces go as often into an empty sequence.
+A band is packed in rounds:
+
+1. A gap of an open sequence offers a slot for each piece that surely fits. Slots and pieces are sorted by
+   size, longest first; a row's global rank comes from counts per size and part.
+2. A successor sweep gives each piece the smallest slot that holds it, each slot at most one piece. Read
+   slots as opening and pieces as closing brackets: the brackets that match are those pairs. The depth
    of a row follows from its rank, so rows are dealt by depth, and in each depth neighbours match;
    ties of size are resolved by rank. A depth meets each size once, hence at most 2 x capacity rows.
-3. Gaps shrink by what they took, and the next round follows with the units left over.
+3. Gaps shrink by what they took, and the next round follows with the pieces left over.
 
-Where no unit fits any gap, bundles are cut smaller if the free tokens suffice for what is left;
-otherwise the longest units, as many as the missing tokens need at least, open sequences.
+Where no gap is left for a band, or a round placed few of its pieces, sequences are opened: as many as the
+tokens left need at least, or, for the last few pieces of a band, as many as surely hold them. Rounds
+depend on the mix of lengths, not on the number of documents; the driver holds their counts per size.
 
 Defined cases: null and empty texts are one piece of the end token; repeated rows are packed each
-by itself; an empty table gives an empty result; other columns are ignored.
+by itself; an empty table gives an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,22 +35,46 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import map_arrow, materialise, table
+from .common import map_arrow, materialise, scratch, table
 
 CAPACITY, END = 1024, 2
 #: Rows of one size are ranked in parts of about so many, so a frequent size isn't one group.
 PART = 100_000
+#: Upper edges of the bands: the capacity over each of these.
+BANDS = (2, 3, 4, 5, 6, 8, 16, 64)
+#: A round that places no more than this share of a band's pieces is followed by new sequences.
+SLOW = 0.3
+#: With at most this share of all pieces left of a band, new sequences are opened for all of them at once.
+TAIL = 0.02
 #: Pieces of text whose ids a worker keeps.
 REMEMBERED = 300_000
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
+GAP, UNIT, PLACE = 0, 1, 2
+STATE = "key bigint, size bigint, sequence_id bigint, offset bigint, kind int"
+#: ASCII characters that are, or may count as, white space, besides the space.
+_BLANKS = "\t\n\v\f\r\x1c\x1d\x1e\x1f"
+_WIDE_BLANK = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_BETWEEN_WORDS = re.compile(r"(?<=\S) (?=\S)")
+
+
+def words(text: str) -> list[str]:
+    """``text`` cut before each space that stands between two characters that aren't white space."""
+    if " " in (text[0], text[-1]) or "  " in text or any(f" {c}" in text or f"{c} " in text for c in _BLANKS):
+        first, *rest = _BETWEEN_WORDS.split(text)
+    elif not text.isascii() and _WIDE_BLANK.search(text):
+        first, *rest = _BETWEEN_WORDS.split(text)
+    else:
+        first, *rest = text.split(" ")
+    return [first, *[" " + w for w in rest]]
 
 
 def byte_bpe(model: str, ranks: str) -> Callable[[str], bytes]:
     """text -> ids of the byte-level BPE as little-endian 32-bit numbers, without special tokens.
 
-    Words with the space before them never share a token with their neighbours, as long as no two
-    spaces meet; such words are tokenised once and remembered. The names of added tokens are left
-    to the tokenizer of the ``model`` file itself.
+    A space between two characters that aren't white space always begins a new token, so what lies
+    between such spaces is tokenised once and remembered: words of visible ASCII by the rank file, whose
+    pattern is sure to cut them alike, all others, and texts with names of added tokens, by the
+    tokenizer of the ``model`` file itself.
     """
     import base64
 
@@ -60,26 +89,24 @@ def byte_bpe(model: str, ranks: str) -> Callable[[str], bytes]:
     added = [t.content for t in full.get_added_tokens_decoder().values()]
 
     def encoded(text: str) -> bytes:
-        return np.array(plain.encode_ordinary(text), "<u4").tobytes()
+        return np.array(full.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     class Known(dict):
         def __missing__(self, word: str) -> bytes:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            value = self[word] = encoded(word)
+            simple = word.isascii() and word.isprintable()
+            value = np.array(plain.encode_ordinary(word), "<u4").tobytes() if simple else encoded(word)
+            if len(word) <= 64:  # longer ones hardly come again
+                if len(self) >= REMEMBERED:
+                    self.clear()
+                self[word] = value
             return value
 
     known = Known()
 
     def ids(text: str) -> bytes:
         if any(t in text for t in added):
-            return np.array(full.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if "  " in text:
-            return encoded(text)
-        first, *rest = text.split(" ")
-        if rest and not rest[-1]:  # a space at the end
             return encoded(text)
-        return known[first] + b"".join([known[" " + w] for w in rest])
+        return b"".join([known[w] for w in words(text)])
 
     return ids
 
@@ -109,98 +136,114 @@ def cut(model: str, ranks: str, capacity: int, end: int) -> Callable[[Iterator[p
     return run
 
 
-def bundled(pieces: DataFrame, target: int, parts: int) -> DataFrame:
-    """Units (key, size, length, members): pieces of one length, together at most ``target`` tokens, else one alone."""
-    short = F.col("length") * 2 <= target
-    alone = pieces.where(~short).select("key", F.col("length").alias("size"), "length", F.array("key").alias("members"))
-    rank = F.row_number().over(Window.partitionBy("length", "part").orderBy("key")) - 1
-    together = (
-        pieces.where(short)
-        .withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)))
-        .withColumn("number", F.floor(rank / F.floor(F.lit(target) / F.col("length"))))
-        .groupBy("length", "part", "number")
-        .agg(F.min("key").alias("key"), F.sum("length").alias("size"), F.sort_array(F.collect_list("key")).alias("members"))
-    )
-    return alone.unionByName(together.select(alone.columns))
-
-
-def with_before(rows: DataFrame, step: Column, parts: int) -> DataFrame:
-    """Adds ``before``: the sum of ``step``, a number per kind, over all rows earlier by size (longest first), kind, part and key."""
-    at, last = ["size", "kind", "part"], Window.unboundedPreceding
-    dealt = rows.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)))
-    counts = dealt.groupBy(*at).count()
-    # one row per size and kind: at most 2 x capacity, so they may be summed in one task
-    runs = counts.groupBy("size", "kind").agg(F.sum("count").alias("count"))
-    earlier = Window.orderBy(F.desc("size"), "kind").rowsBetween(last, -1)
-    runs = runs.select("size", "kind", F.coalesce(F.sum(step * F.col("count")).over(earlier), F.lit(0)).alias("run"))
-    inside = Window.partitionBy("size", "kind").orderBy("part").rowsBetween(last, -1)
-    base = counts.withColumn("inside", F.coalesce(F.sum("count").over(inside), F.lit(0))).join(runs, ["size", "kind"])
-    base = base.select(*at, (F.col("run") + step * F.col("inside")).alias("base"))
-    ranked = dealt.withColumn("rank", F.row_number().over(Window.partitionBy(*at).orderBy("key")) - 1)
-    return ranked.join(base, at).withColumn("before", F.col("base") + step * F.col("rank")).drop("rank", "base", "part")
-
-
-def sweep(units: DataFrame, gaps: DataFrame, parts: int) -> DataFrame:
-    """Units (kind 1) and gaps (kind 0), each with its mate of the other kind or nulls: key, kind, size, length, members, mate, mate_size."""
-    rows = units.withColumn("kind", F.lit(1)).unionByName(gaps.withColumn("kind", F.lit(0)), allowMissingColumns=True)
-    is_gap = F.col("kind") == 0
-    placed = with_before(rows, F.when(is_gap, 1).otherwise(-1), parts)
-    placed = placed.withColumn("depth", F.col("before") + F.when(is_gap, 1).otherwise(0))
+
+def ranked(rows: DataFrame, before: dict[tuple[int, int], int], parts: int) -> DataFrame:
+    """Adds ``depth``: slots so far minus pieces so far, by size (longest first), kind and rank; a slot counts itself.
+
+    ``before`` holds that difference at the head of each (size, kind): at most 2 x capacity numbers.
+    """
+    at = ["size", "kind", "part"]
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("key", "slot"), F.lit(parts)))
+    heads = rows.sparkSession.createDataFrame([(*k, v) for k, v in before.items()], "size bigint, kind int, head bigint")
+    inside = Window.partitionBy("size", "kind").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    base = dealt.groupBy(*at).count().join(F.broadcast(heads), ["size", "kind"])
+    base = base.select(*at, "head", F.coalesce(F.sum("count").over(inside), F.lit(0)).alias("inside"))
+    rank = F.row_number().over(Window.partitionBy(*at).orderBy("key", "slot")) - 1 + F.col("inside")
+    joined = dealt.join(base, at).withColumn("rank", rank)
+    return joined.withColumn("depth", F.when(F.col("kind") == GAP, F.col("head") + F.col("rank") + 1).otherwise(F.col("head") - F.col("rank")))
+
+
+def sweep(slots: DataFrame, units: DataFrame, before: dict[tuple[int, int], int], parts: int) -> DataFrame:
+    """Slots (key, slot, size, whole, left) and pieces (key, size), each with the mate of the other kind or null."""
+    rows = slots.withColumn("kind", F.lit(GAP)).unionByName(units.select("key", F.lit(0).alias("slot"), "size", F.lit(UNIT).alias("kind")), allowMissingColumns=True)
     order = Window.partitionBy("depth").orderBy(F.desc("size"), "kind")
     row = F.struct("kind", "key", "size")
-    near = F.when(is_gap, F.lead(row).over(order)).otherwise(F.lag(row).over(order))
+    near = F.when(F.col("kind") == GAP, F.lead(row).over(order)).otherwise(F.lag(row).over(order))
+    placed = ranked(rows, before, parts).withColumn("near", near)
     mate = F.when(F.col("near.kind") != F.col("kind"), F.col("near"))
-    placed = placed.withColumn("near", near).withColumn("near", mate)
-    return placed.select("key", "kind", "size", "length", "members", F.col("near.key").alias("mate"), F.col("near.size").alias("mate_size"))
+    return placed.select("kind", "key", "slot", "size", "whole", mate.alias("mate"))
+
+
+def settled(swept: DataFrame, capacity: int) -> DataFrame:
+    """Rows of STATE after a sweep: places of pieces, gaps with what is left of them, pieces left over."""
+    swept = swept.where((F.col("kind") == GAP) | F.col("mate").isNull())
+    owner = Window.partitionBy("kind", "key")
+    taken = F.coalesce(F.sum("mate.size").over(owner.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    left = F.col("whole") - F.coalesce(F.sum("mate.size").over(owner), F.lit(0))
+    swept = swept.withColumns({"taken": taken, "left": left})
+    none = F.lit(None).cast("bigint")
+
+    def row(kind: int, key: Column, size: Column, sequence: Column = none, offset: Column = none) -> Column:
+        values = (key, size, sequence, offset, F.lit(kind))
+        return F.struct(*[v.alias(n.split()[0]) for v, n in zip(values, STATE.split(", "), strict=True)])
+
+    place = row(PLACE, F.col("mate.key"), F.col("mate.size"), F.col("key"), F.lit(capacity) - F.col("whole") + F.col("taken"))
+    made = F.when(F.col("kind") == UNIT, F.array(row(UNIT, F.col("key"), F.col("size")))).otherwise(
+        F.array(F.when(F.col("mate").isNotNull(), place), F.when((F.col("slot") == 0) & (F.col("left") > 0), row(GAP, F.col("key"), F.col("left"))))
+    )
+    return swept.select(F.explode(F.array_compact(made)).alias("row")).select("row.*")
 
 
-def places(units: DataFrame, sequence: Column, offset: Column) -> DataFrame:
-    """key, sequence_id and offset of the pieces of placed units."""
-    found = units.select("length", sequence.alias("sequence_id"), offset.alias("at"), F.posexplode("members").alias("nth", "key"))
-    return found.select("key", "sequence_id", (F.col("at") + F.col("nth") * F.col("length")).alias("offset"))
+def heads_of(slots: Counter, units: Counter) -> dict[tuple[int, int], int]:
+    """Slots minus pieces before each (size, kind), longest first, slots before pieces of one size."""
+    found, depth = {}, 0
+    for size in sorted({*slots, *units}, reverse=True):
+        for kind, step, count in ((GAP, 1, slots[size]), (UNIT, -1, units[size])):
+            if count:
+                found[size, kind] = depth
+                depth += step * count
+    return found
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds sequence_id and offset to pieces (``length`` from 1 to capacity)."""
+    spark = pieces.sparkSession
     rows = materialise(pieces.withColumn("key", F.monotonically_increasing_id()), "pack-rows")
-    small, large = F.col("length") * 2 <= capacity, F.col("length") * 2 > capacity
-    singles = rows.select("key", "length")
-    parts = 1 + singles.count() // PART
-    done = [singles.where(large).select("key", F.col("key").alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))]
-    gaps = singles.where(large).select("key", (F.lit(capacity) - F.col("length")).alias("size")).where("size > 0")
-    target = first = max(1, capacity // 16)
-    units = materialise(bundled(singles.where(small), target, parts), "pack-units")
-    while True:
-        left = units.agg(
-            F.sum("size").alias("tokens"), F.min("size").alias("unit"), F.min("length").alias("piece"), F.max(F.size("members")).alias("bundle")
-        ).first()
-        if left.tokens is None:
-            break
-        gaps = gaps.where(F.col("size") >= left.piece)  # narrower ones hold nothing any more
-        free = gaps.agg(F.sum("size").alias("tokens"), F.max("size").alias("widest")).first()
-        if (free.widest or 0) >= left.unit:
-            swept = materialise(sweep(units, gaps, parts), "pack-swept")
-            won, lost = (swept.where("kind = 1").where(F.col("mate").isNotNull() == x) for x in (True, False))
-            done.append(places(won, F.col("mate"), F.lit(capacity) - F.col("mate_size")))
-            units = lost.select(units.columns)
-            gaps = swept.where("kind = 0").select("key", (F.col("size") - F.coalesce("mate_size", F.lit(0))).alias("size")).where("size > 0")
-            continue
-        pieces_left = units.select(F.explode("members").alias("key"), "length")
-        missing = left.tokens - (free.tokens or 0)
-        if missing <= 0 and left.bundle > 1:
-            target = max(1, target // 4)
-            units = materialise(bundled(pieces_left, target, parts), "pack-units")
-            continue
-        target, opened = first, -(-(missing if missing > 0 else left.tokens) // capacity)
-        whole = bundled(pieces_left, target, parts).withColumn("kind", F.lit(1))
-        ranked = materialise(with_before(whole, F.lit(1), parts), "pack-opened")
-        new = ranked.where(F.col("before") < opened)
-        done.append(places(new, F.col("key"), F.lit(0)))
-        gaps = gaps.unionByName(new.select("key", (F.lit(capacity) - F.col("size")).alias("size")))
-        units = ranked.where(F.col("before") >= opened).select(units.columns)
-    found = done[0]
-    for more in done[1:]:
-        found = found.unionByName(more)
+    singles = rows.select("key", F.col("length").alias("size"))
+    counts = Counter({r["size"]: r["count"] for r in singles.groupBy("size").count().collect()})  # at most capacity
+    large = F.col("size") > capacity // 2
+    parts = 1 + sum(counts.values()) // PART
+    first = singles.where(large).select("key", F.col("key").alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
+    gaps = singles.where(large & (F.col("size") < capacity)).select("key", (F.lit(capacity) - F.col("size")).alias("size"))
+    held = Counter({capacity - n: c for n, c in counts.items() if capacity // 2 < n < capacity})
+    folder, rounds, opened = scratch(spark, "pack-rounds"), 0, 0
+    edges = sorted({capacity // b for b in BANDS} | {0}, reverse=True)
+    for high, low in zip(edges[:-1], edges[1:], strict=True):
+        units = singles.where((F.col("size") > low) & (F.col("size") <= high))
+        waiting = Counter({n: c for n, c in counts.items() if low < n <= high})
+        slow = False
+        while waiting:
+            widest, least, many = max(waiting), min(waiting), sum(waiting.values())
+            usable = sum(c for g, c in held.items() if g >= least)
+            cap = -(-many // max(usable, 1))
+            slots = Counter()
+            for g, c in held.items():
+                if g >= least:
+                    m = min(max(1, g // widest), cap)
+                    slots[g // m] += c * m
+            fit = F.least(F.greatest(F.lit(1), F.floor(F.col("size") / widest)), F.lit(cap)).cast("int")
+            offers = gaps.where(F.col("size") >= least).withColumn("many", fit)
+            if slow or not usable:
+                each = capacity // widest
+                new = -(-many // each) if many <= TAIL * sum(counts.values()) else -(-sum(n * c for n, c in waiting.items()) // capacity)
+                fresh = spark.range(opened, opened + new).select((-1 - F.col("id")).alias("key"), F.lit(capacity).cast("bigint").alias("size"), F.lit(each).alias("many"))
+                offers, opened = offers.unionByName(fresh), opened + new
+                slots[capacity // each] += new * each
+            each_slot = F.floor(F.col("size") / F.col("many"))
+            offered = offers.select("key", F.col("size").alias("whole"), each_slot.alias("size"), F.explode(F.sequence(F.lit(0), F.col("many") - 1)).alias("slot"))
+            done = settled(sweep(offered, units, heads_of(slots, waiting), parts), capacity)
+            idle = gaps.where(F.col("size") < least).select("key", "size", F.lit(GAP).alias("kind"))
+            path = f"{folder}/{rounds}"
+            done.unionByName(idle, allowMissingColumns=True).write.partitionBy("kind").parquet(path)
+            state, rounds = spark.read.schema(STATE).parquet(path), rounds + 1
+            gaps, units = (state.where(F.col("kind") == k).select("key", "size") for k in (GAP, UNIT))
+            held, waiting = Counter(), Counter()
+            for r in state.where(F.col("kind") != PLACE).groupBy("kind", "size").count().collect():  # at most 2 x capacity
+                (held if r["kind"] == GAP else waiting)[r["size"]] = r["count"]
+            slow = many - sum(waiting.values()) <= SLOW * many or sum(waiting.values()) <= TAIL * sum(counts.values())
+    found = first
+    if rounds:
+        found = found.unionByName(spark.read.schema(STATE).parquet(f"{folder}/*/kind={PLACE}").select(found.columns))
     return rows.join(found, "key").drop("key")
 
 

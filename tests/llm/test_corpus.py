@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
@@ -144,7 +144,7 @@ def test_packing(docs, none):
 
 
 @pytest.mark.parametrize("parts", [1, 3])
-def test_sweep_gives_longest_first_the_smallest_gap(spark, parts):
+def test_sweep_gives_longest_first_the_smallest_slot(spark, parts):
     r = random.Random(parts)
     units, gaps = ([r.randint(1, 30) for _ in range(n)] for n in (150, 120))
     open_, want = [], []
@@ -153,17 +153,18 @@ def test_sweep_gives_longest_first_the_smallest_gap(spark, parts):
             open_.append(size)
         else:
             want.append((size, open_.pop() if open_ else None))
-    rows = [(i, s, s, [i]) for i, s in enumerate(units)]
     found = packing.sweep(
-        spark.createDataFrame(rows, "key bigint, size bigint, length bigint, members array<bigint>"),
-        spark.createDataFrame(list(enumerate(gaps)), "key bigint, size bigint"),
+        spark.createDataFrame([(i, s, s, 0) for i, s in enumerate(gaps)], "key bigint, whole bigint, size bigint, slot int"),
+        spark.createDataFrame(list(enumerate(units)), "key bigint, size bigint"),
+        packing.heads_of(Counter(gaps), Counter(units)),
         parts,
     ).collect()
-    mates = [(x.size, x.mate_size) for x in found if x.kind == 1]
+    mates = [(x.size, x.mate.size if x.mate else None) for x in found if x.kind == packing.UNIT]
     assert Counter(mates) == Counter(want)
-    taken = [x.mate for x in found if x.kind == 1 and x.mate is not None]
+    taken = [x.mate.key for x in found if x.kind == packing.UNIT and x.mate]
     assert len(set(taken)) == len(taken)
-    assert {(x.key, x.mate) for x in found if x.kind == 0 and x.mate is not None} == {(x.mate, x.key) for x in found if x.kind == 1 and x.mate is not None}
+    both = lambda kind: {(x.key, x.mate.key) for x in found if x.kind == kind and x.mate}
+    assert both(packing.GAP) == {(b, a) for a, b in both(packing.UNIT)}
 
 
 @pytest.mark.parametrize("lengths", [[1] * 700, [64] * 3, [33, 32, 31] * 20, [random.Random(5).randint(1, 64) for _ in range(300)], [20] * 50 + [7] * 90 + [50] * 9])
@@ -184,8 +185,11 @@ def test_packing_needs_about_as_few_sequences_as_best_fit_decreasing(spark, leng
     assert len(held) <= len(gaps) + max(1, len(gaps) // 50)
 
 
-@settings(deadline=None, max_examples=150)
-@given(st.text(st.sampled_from(" \n\t ab1,.é'<|>　中") | st.characters(exclude_categories=["Cs"]), max_size=40))
+@settings(deadline=None, max_examples=600)
+@given(st.text(st.sampled_from("  \n\t ab1,.é'<|>　中\u00a0\u2003\u0085\x1c") | st.characters(exclude_categories=["Cs"]), min_size=1, max_size=40))
+@example("a \u00a0 \u00a0 \u00a0 b")
+@example("a \u00a0 \u00a0")
+@example("x <|endoftext|> y<|endoftext|>\u00a0 z")
 def test_remembered_words_give_the_tokenizers_ids(t):
     full = _tokenizer()
     assert np.frombuffer(_ids()(t), "<u4").tolist() == full.encode(t, add_special_tokens=False).ids
