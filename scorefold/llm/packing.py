@@ -39,42 +39,27 @@ from .common import map_arrow, materialise, scratch, table
 
 CAPACITY, END = 1024, 2
 #: Rows of one size are ranked in parts of about so many, so a frequent size isn't one group.
-PART = 100_000
+PART = 20_000
 #: Upper edges of the bands: the capacity over each of these.
 BANDS = (2, 3, 4, 5, 6, 8, 16, 64)
 #: A round that places no more than this share of a band's pieces is followed by new sequences.
 SLOW = 0.3
 #: With at most this share of all pieces left of a band, new sequences are opened for all of them at once.
 TAIL = 0.02
-#: Pieces of text whose ids a worker keeps.
-REMEMBERED = 300_000
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 GAP, UNIT, PLACE = 0, 1, 2
 STATE = "key bigint, size bigint, sequence_id bigint, offset bigint, kind int"
-#: ASCII characters that are, or may count as, white space, besides the space.
-_BLANKS = "\t\n\v\f\r\x1c\x1d\x1e\x1f"
-_WIDE_BLANK = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-_BETWEEN_WORDS = re.compile(r"(?<=\S) (?=\S)")
-
-
-def words(text: str) -> list[str]:
-    """``text`` cut before each space that stands between two characters that aren't white space."""
-    if " " in (text[0], text[-1]) or "  " in text or any(f" {c}" in text or f"{c} " in text for c in _BLANKS):
-        first, *rest = _BETWEEN_WORDS.split(text)
-    elif not text.isascii() and _WIDE_BLANK.search(text):
-        first, *rest = _BETWEEN_WORDS.split(text)
-    else:
-        first, *rest = text.split(" ")
-    return [first, *[" " + w for w in rest]]
+#: Any other character than those that the patterns of both tokenizer libraries surely class alike: Latin and
+#: Russian letters, common punctuation, Han characters.
+UNSURE = re.compile("[^\0-\u024f\u0410-\u044f\u2010-\u2027\u4e00-\u9fa5]")
 
 
 def byte_bpe(model: str, ranks: str) -> Callable[[str], bytes]:
     """text -> ids of the byte-level BPE as little-endian 32-bit numbers, without special tokens.
 
-    A space between two characters that aren't white space always begins a new token, so what lies
-    between such spaces is tokenised once and remembered: words of visible ASCII by the rank file, whose
-    pattern is sure to cut them alike, all others, and texts with names of added tokens, by the
-    tokenizer of the ``model`` file itself.
+    The ids are those of the tokenizer of the ``model`` file. The rank file holds the same merges and is
+    several times as fast; it serves the texts whose characters both classify alike and that hold no
+    name of an added token.
     """
     import base64
 
@@ -84,29 +69,14 @@ def byte_bpe(model: str, ranks: str) -> Callable[[str], bytes]:
 
     with open(ranks, "rb") as lines:
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    plain = tiktoken.Encoding("byte-bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
+    fast = tiktoken.Encoding("byte-bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
     full = Tokenizer.from_file(model)
     added = [t.content for t in full.get_added_tokens_decoder().values()]
 
-    def encoded(text: str) -> bytes:
-        return np.array(full.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    class Known(dict):
-        def __missing__(self, word: str) -> bytes:
-            simple = word.isascii() and word.isprintable()
-            value = np.array(plain.encode_ordinary(word), "<u4").tobytes() if simple else encoded(word)
-            if len(word) <= 64:  # longer ones hardly come again
-                if len(self) >= REMEMBERED:
-                    self.clear()
-                self[word] = value
-            return value
-
-    known = Known()
-
     def ids(text: str) -> bytes:
-        if any(t in text for t in added):
-            return encoded(text)
-        return b"".join([known[w] for w in words(text)])
+        if any(t in text for t in added) or (not text.isascii() and UNSURE.search(text)):
+            return np.array(full.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return np.array(fast.encode_ordinary(text), "<u4").tobytes()
 
     return ids
 

@@ -190,11 +190,18 @@ def test_packing_needs_about_as_few_sequences_as_best_fit_decreasing(spark, leng
 @example("a \u00a0 \u00a0 \u00a0 b")
 @example("a \u00a0 \u00a0")
 @example("x <|endoftext|> y<|endoftext|>\u00a0 z")
-def test_remembered_words_give_the_tokenizers_ids(t):
+def test_texts_get_the_tokenizers_ids(t):
     full = _tokenizer()
     assert np.frombuffer(_ids()(t), "<u4").tolist() == full.encode(t, add_special_tokens=False).ids
 
 
+def test_all_sure_characters_get_the_tokenizers_ids():
+    sure = [c for c in map(chr, range(0xD800)) if not packing.UNSURE.match(c)]
+    texts = [f"{a}{c}{b}" for c in sure for a, b in (("a", "b"), ("a ", " b"), (" ", "1"), ("1", ""), ("'s", "'"), (". ", "!"), ("\u00a0 ", "\u00a0"))]
+    for t, want in zip(texts, _tokenizer().encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(_ids()(t), "<u4").tolist() == want.ids, repr(t)
+
+
 _kept: dict = {}
 
 
