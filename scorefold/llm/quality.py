@@ -91,7 +91,7 @@ class FactorisationMachine:
         return 1 / (1 + np.exp(-np.clip(self.raw(*features(texts), len(texts))[0], -30, 30)))
 
     def fit(self, sample: list[tuple[str, int]], seed: int = 5) -> FactorisationMachine:
-        """Minibatch Adagrad on the logistic loss."""
+        """Minibatch Adagrad on the logistic loss, in which both labels have half of the weight."""
         if len({y for _, y in sample}) < 2:
             return self
         rows = []
@@ -100,6 +100,8 @@ class FactorisationMachine:
             cuts = np.flatnonzero(np.diff(text)) + 1
             rows += zip(np.split(feature, cuts), np.split(value, cuts), strict=True)
         y = np.array([v for _, v in sample], np.float64)
+        share = np.where(y > 0, y.mean(), 1 - y.mean())
+        weight = 0.5 / share
         random = np.random.default_rng(seed)
         gw, gv, gb = np.full_like(self.w, 1e-3), np.full_like(self.v, 1e-3), 1e-3
         for _ in range(EPOCHS):
@@ -108,7 +110,7 @@ class FactorisationMachine:
                 feature = np.concatenate([rows[i][0] for i in batch])
                 value = np.concatenate([rows[i][1] for i in batch])
                 z, sums = self.raw(text, feature, value, len(batch))
-                miss = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[batch]) / len(batch)
+                miss = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[batch]) * weight[batch] / len(batch)
                 pull = (miss[text] * value)[:, None]
                 dv = pull * (sums[text] - self.v[feature] * value[:, None])
                 used, where = np.unique(feature, return_inverse=True)

@@ -114,14 +114,15 @@ def fit(sample: list[tuple[str, int]]) -> NoisyOr:
     usable = names[column] == entry
     column, row, owner = column[usable], row[usable], np.array(owner, np.int32)
     y = np.array([v for _, v in sample], np.float64)
-    # the sample holds labels half and half; a plain fit keeps both kinds of errors alike
+    # both labels have half of the loss, whatever their shares in the sample, so a score means the same at every size
+    weight = 0.5 / np.where(y > 0, y.mean(), 1 - y.mean()) / len(y)
     theta, m, v = (np.zeros(len(names) + 1) for _ in range(3))
     theta[-1] = START
     for step in range(1, STEPS + 1):
         z = np.bincount(row, theta[column], len(owner)) + theta[-1]
         p = np.clip(1 / (1 + np.exp(-np.clip(z, -30, 30))), 1e-12, 1 - 1e-12)
         none = np.exp(np.bincount(owner, np.log1p(-p), len(y)))  # probability that no sentence is toxic
-        pull = np.where(y > 0, -none / np.maximum(1 - none, 1e-9), 1.0)[owner] * p / len(y)
+        pull = np.where(y > 0, -none / np.maximum(1 - none, 1e-9), 1.0)[owner] * p * weight[owner]
         gradient = np.append(np.bincount(column, pull[row], len(names)), pull.sum())
         gradient[:-1] += PENALTY * theta[:-1]
         m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient**2
