@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -9,7 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows per Arrow batch handed to a Python worker: bounds a worker's memory when texts are long.
+#: Rows per Arrow batch handed to a Python worker; Spark's ``spark.sql.execution.arrow.maxBytesPerBatch``
+#: (64 MB unless set) bounds a batch's bytes as well, so long texts come in small batches.
 ARROW_ROWS = 512
 
 _own_scratch: list[str] = []
@@ -23,11 +25,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that all executors share.
 
-    The cluster names that folder in ``spark.checkpoint.dir``; only where it is unset, as in tests
-    on one machine, is a temporary folder made.
+    The cluster names that folder in ``spark.checkpoint.dir``. Where it is unset, a temporary folder is
+    made if the session runs on one machine (master ``local``); else this is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         if not _own_scratch:
             _own_scratch.append(tempfile.mkdtemp(prefix="scorefold-"))
         base = f"file://{_own_scratch[0]}"
@@ -50,7 +54,7 @@ def numbered(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
 
 
 def map_arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:
-    """``mapInArrow`` with batches of at most ARROW_ROWS rows."""
+    """``mapInArrow`` with batches of at most ARROW_ROWS rows; sets that bound in the session, where it stays."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     return df.mapInArrow(function, schema)
 

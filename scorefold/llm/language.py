@@ -9,7 +9,7 @@ Trained filters see only 256 byte values, so for application the embedding and t
 multiplied out into tables by byte pairs: two look-ups and one addition give all filters at a place.
 
 The fit uses at most FIT_ROWS documents with a language outside fold 0, of at most FIT_BYTES bytes,
-and FIT_WINDOWS of their windows. Defined cases: null texts and texts without a letter are ``und``
+and FIT_WINDOWS of their windows, equal shares for all languages. Defined cases: null texts and texts without a letter are ``und``
 with score 0; rows repeat as they come; without any language to learn all documents are ``und``; an
 empty table gives an empty result.
 """
@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import fold, map_arrow, table
 from .words import chunks
@@ -126,22 +127,33 @@ class ByteConvolution:
 
 
 def sample(docs: DataFrame, seed: int = 7) -> list[tuple[str, str]]:
-    """(text, lang) of at most FIT_ROWS documents outside fold 0, in the order of a hash of the id."""
+    """(text, lang) of at most FIT_ROWS documents outside fold 0, as many of each language, in the order of a hash of the id.
+
+    The languages are those of all rows outside fold 0; each gets an equal share of the rows.
+    """
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id")) != 0))
     usable = usable.where((F.octet_length("text") <= FIT_BYTES) & F.col("text").rlike("\\p{L}"))
+    names = usable.select("lang").distinct().limit(FIT_ROWS + 1).count()
+    if names > FIT_ROWS:
+        raise ValueError(f"more than {FIT_ROWS} languages")
     order = [F.xxhash64("doc_id", F.lit(seed)), F.col("doc_id")]
-    ids = usable.select("doc_id").orderBy(*order).limit(FIT_ROWS)
-    rows = usable.join(F.broadcast(ids), "doc_id", "left_semi").orderBy(*order, "text").select("text", "lang").limit(FIT_ROWS).collect()
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(*order))
+    each = FIT_ROWS // max(1, names)
+    ids = usable.select("doc_id", "lang").withColumn("_place", place).where(F.col("_place") <= each).select("doc_id", "lang").distinct()
+    joined = usable.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi")  # at most FIT_ROWS rows
+    rows = joined.orderBy("lang", *order, "text").select("text", "lang").limit(FIT_ROWS).collect()
     return [(r.text, r.lang) for r in rows]
 
 
 def fit(rows: list[tuple[str, str]], seed: int = 9) -> ByteConvolution | None:
+    """The network fitted on at most FIT_WINDOWS windows, an equal share of them for each language."""
     languages = sorted({lang for _, lang in rows})
     if not languages:
         return None
     data, owner, _ = windows([t for t, _ in rows])
-    pick = np.random.default_rng(seed).permutation(len(data))[:FIT_WINDOWS]
     y = np.array([languages.index(lang) for _, lang in rows])[owner]
+    mixed = np.random.default_rng(seed).permutation(len(data))
+    pick = np.concatenate([mixed[y[mixed] == i][: FIT_WINDOWS // len(languages)] for i in range(len(languages))])
     return ByteConvolution(languages).fit(data[pick], y[pick])
 
 

@@ -2,8 +2,8 @@
 
 The vocabulary is a trie of byte strings. Every node has a failure link and the number of pieces
 that are popped when it is followed; both are computed once, breadth first. A word is then counted
-in time linear in its length, and no piece is ever built. Distinct words of a batch run through the
-automaton side by side in numpy, one byte per step.
+in time linear in its length, and no piece is ever built. Distinct words of a batch, and segments of
+long ones, run through the automaton side by side in numpy, one byte per step.
 
 A word is a run of bytes that aren't ASCII white space, with one space before it. Every single byte
 must be in the vocabulary, so each word has pieces. Defined cases: null and blank texts have no
@@ -23,6 +23,9 @@ from pyspark.sql import functions as F
 from .common import map_arrow, table
 from .words import chunks, word_spans
 
+#: Bytes of a long word that one run takes; a word of any length takes a few times so many steps.
+SEGMENT = 256
+
 
 class Automaton:
     """Arrays of the trie: sorted transition keys (node x 256 + byte) and targets, failure, popped, rest."""
@@ -62,13 +65,38 @@ class Automaton:
         self.failure, self.popped, self.rest = (np.array(x, np.int32) for x in (failure, popped, rest))
 
     def count(self, buffer: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """Pieces of each word ``buffer[start : start + length]``, a space before it."""
+        """Pieces of each word ``buffer[start : start + length]``, a space before it.
+
+        Words are cut into segments of SEGMENT bytes that all run side by side. A segment starts in the
+        state that the one before it ends in; until that is known it starts at the root, and only segments
+        whose start turns out to be another one run again. A state knows no more than the bytes of the
+        longest piece, so few do.
+        """
+        many = np.maximum(1, -(-length // SEGMENT))
+        word = np.repeat(np.arange(len(start)), many)
+        first = np.cumsum(many) - many
+        nth = np.arange(len(word)) - first[word]
+        at = start[word] + nth * SEGMENT
+        size = np.minimum(length[word] - nth * SEGMENT, SEGMENT)
+        entry, leave, popped = (np.zeros(len(word), np.int64) for _ in range(3))
+        entry[first] = self.targets[np.searchsorted(self.keys, 32)]
+        todo = np.arange(len(word))
+        while len(todo):
+            leave[todo], popped[todo] = self._run(buffer, at[todo], size[todo], entry[todo])
+            inner = todo[nth[todo] + 1 < many[word[todo]]]
+            moved = inner[entry[inner + 1] != leave[inner]]
+            entry[moved + 1] = leave[moved]
+            todo = moved + 1
+        return np.bincount(word, popped, len(start)).astype(np.int64) + self.rest[leave[first + many - 1]]
+
+    def _run(self, buffer: np.ndarray, start: np.ndarray, length: np.ndarray, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(state, popped pieces) after each run of bytes from the state ``entry``, all runs a byte per step."""
         total = np.zeros(len(start), np.int64)
-        state = np.full(len(start), self.targets[np.searchsorted(self.keys, 32)], np.int64)
+        state = entry.copy()
         order = np.argsort(-length, kind="stable")
         start, length = start[order], length[order]
         for step in range(int(length[0]) if len(length) else 0):
-            going = order[: np.searchsorted(-length, -step, "left")]  # words longer than step
+            going = order[: np.searchsorted(-length, -step, "left")]  # longer than step
             byte = buffer[start[: len(going)] + step].astype(np.int64)
             waiting = np.arange(len(going))
             while len(waiting):
@@ -80,7 +108,7 @@ class Automaton:
                 waiting, words = waiting[~found], words[~found]
                 total[words] += self.popped[state[words]]
                 state[words] = self.failure[state[words]]
-        return total + self.rest[state]
+        return state, total
 
 
 def read_vocabulary(path: str) -> list[bytes]:
