@@ -46,9 +46,9 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def numbered(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """``docs`` written with a number that no two rows share, and the name of that column."""
+    """``docs`` written with a number that no two rows share, and the name of that column, with which no name begins."""
     row = "_row"
-    while row in map(str.lower, docs.columns):
+    while any(c.lower().startswith(row) for c in docs.columns):
         row = f"_{row}"
     return materialise(docs.withColumn(row, F.monotonically_increasing_id()), name), row
 

@@ -4,7 +4,8 @@ Each ingest lands the narrow columns (digest, stable identifier, content locator
 in a folder; a Structured Streaming query reads that folder and keeps, per digest, the smallest
 identifier, the locator of its content and a count in RocksDB state stores. The checkpoint holds
 the state, so a later ingest continues from it and a lost executor restores its share. Hits (digests
-met more than once) are then compared by their full bytes.
+met more than once) are then compared by their full bytes, which are read through the locators: the
+files that hold those documents, of earlier ingests as well.
 
 Defined cases: null text counts as empty; of equal texts the smallest doc_id stays, null ids come
 last; rows repeated with the same doc_id and text keep exactly one of them; an empty table gives an
@@ -98,12 +99,28 @@ class StreamingDeduplicator:
             F.col("value")[count].alias("group_size"),
         )
 
-    def resolve(self, docs: DataFrame) -> DataFrame:
-        """One row per document ingested: doc_id, keep_id, group_size, kept, text_sha256, keep_locator, row."""
+    def contents(self, locators: DataFrame) -> DataFrame:
+        """The documents of the files that ``locators`` names; the driver holds the names of files only."""
+        paths = [r.locator for r in locators.select("locator").distinct().collect()]
+        if not all(paths):
+            raise ValueError("documents that don't come from files have no locator: hand them in again")
+        return self.spark.read.parquet(*paths)
+
+    def resolve(self, docs: DataFrame | None = None) -> DataFrame:
+        """One row per document ingested: doc_id, keep_id, group_size, kept, text_sha256, keep_locator, row.
+
+        The bytes of hits are read through their locators; ``docs`` are needed for documents without one.
+        """
         landed = self.spark.read.schema(LANDED).parquet(f"{self.store}/landing")
-        found = materialise(landed.select("doc_id", "text_sha256", "row").join(self.state(), "text_sha256"), "dedup-found")
+        found = materialise(landed.select("doc_id", "text_sha256", "row", "locator").join(self.state(), "text_sha256"), "dedup-found")
+        hit_rows = found.where("group_size > 1")
+        found = found.drop("locator")
+        if docs is None:
+            if not hit_rows.take(1):
+                return self.decided(found)
+            docs = self.contents(hit_rows)
         # full bytes of the hits: groups of one digest must hold one text
-        hit_ids = found.where("group_size > 1").select("doc_id").distinct()
+        hit_ids = hit_rows.select("doc_id").distinct()
         texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), normalised(F.col("text")).alias("bytes"), self.row)
         hits = texts.join(hit_ids, texts.doc_id.eqNullSafe(hit_ids.doc_id), "left_semi")
         digest = self.digest(F.col("bytes")).alias("text_sha256")
@@ -120,6 +137,11 @@ class StreamingDeduplicator:
                 (F.col("text_sha256") == F.col("d")) & (F.col("bytes") == F.col("b")),
             ).select("text_sha256", "doc_id", "keep_id", F.lit(None).cast("string").alias("keep_locator"), "group_size", "row")
             found = found.join(clashing, "text_sha256", "left_anti").unionByName(apart)
+        return self.decided(found)
+
+    @staticmethod
+    def decided(found: DataFrame) -> DataFrame:
+        """Adds which row of each group stays."""
         copy = F.row_number().over(Window.partitionBy("doc_id", "text_sha256", "keep_id").orderBy("keep_locator", "row"))
         return found.withColumn("copy", copy).select(
             "doc_id",
@@ -132,24 +154,25 @@ class StreamingDeduplicator:
         )
 
 
-def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
-    """All of ``docs`` in one ingest into fresh state."""
+def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256, in_files: bool = False) -> DataFrame:
+    """All of ``docs`` in one ingest into fresh state; ``in_files``: they are a plain read of Parquet files."""
     dedup = StreamingDeduplicator(docs.sparkSession, digest=digest)
     dedup.ingest(docs)
-    return dedup.resolve(docs).drop("row")
+    return dedup.resolve(None if in_files else docs).drop("row")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents that stay, with their own columns."""
+    """Pipeline stage: the documents that stay, with their own columns, whatever their names."""
     rows, row = numbered(docs, "dedup-input")
     dedup = StreamingDeduplicator(spark, row=row)
     dedup.ingest(rows)
-    kept = dedup.resolve(rows).where("kept").select(F.col("row").alias(row))
+    kept = dedup.resolve().where("kept").select(F.col("row").alias(row))
     return rows.join(kept, row, "left_semi").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup(table(spark, sf_dir, "documents"))
+    found = exact_dedup(table(spark, sf_dir, "documents"), in_files=True)
+    return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 ORACLE_SQL = r"""
@@ -159,6 +182,7 @@ WITH t AS (
 ), g AS (
   SELECT text_sha256, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY text_sha256
 )
-SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id AS kept, t.text_sha256
+SELECT t.doc_id, g.keep_id, g.group_size, t.text_sha256,
+  t.doc_id IS NOT DISTINCT FROM g.keep_id AND row_number() OVER (PARTITION BY t.text_sha256, t.doc_id) = 1 AS kept
 FROM t JOIN g USING (text_sha256)
 """

@@ -7,13 +7,15 @@ Tokens are counted as white-space separated words.
 
 The weights are realised exactly up to one document per source: each source runs through whole
 epochs, each a permutation of its blocks and of the documents in each block, until its budget is
-spent. Sources are cut into blocks by a hash of the document, so that a source of any size is many
-groups, and positions follow from sums over blocks. The stream is then cut into mixed blocks, each of
+spent. Sources are cut into blocks by a hash of the document, one for each BLOCK tokens but at most
+BLOCKS of them, so that a source of any size is many groups and its blocks are few enough to be added
+up in one; positions follow from sums over blocks. The stream is then cut into mixed blocks, each of
 which holds all sources in proportion to their weights, in permuted order.
 
 Defined cases: a null source is a source of its own; null and empty texts have no tokens and stay with
 the first epoch of their source; repeated rows count each; sources without tokens get weight 0 and
-one epoch; an empty table gives an empty result.
+one epoch; an empty table gives an empty result; more than MAX_SOURCES sources are an error, as the weights
+are found on the driver; further columns of the input may have any names.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ from .common import materialise, numbered, table
 
 #: Share of the largest possible entropy that weights are to reach, most epochs of a source, tokens of a block.
 ENTROPY, REPETITION, BLOCK = 0.97, 2.0, 50_000
+#: Most blocks of a source in an epoch, most sources.
+BLOCKS, MAX_SOURCES = 1 << 16, 100_000
 
 
 def tokens(text: Column) -> Column:
@@ -89,12 +93,14 @@ def mix(
     spark = docs.sparkSession
     names = [F.xxhash64(*by).alias("_name")] if by else []
     rows = materialise(docs.select(*keep, *names, F.col("source").alias("source"), tokens(F.col("text")).alias("n_tokens")), "mix-rows")
-    found = rows.groupBy("source").agg(F.sum("n_tokens").alias("t")).collect()  # one row per source
+    found = rows.groupBy("source").agg(F.sum("n_tokens").alias("t")).limit(MAX_SOURCES + 1).collect()
+    if len(found) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources")
     if not found:
         return rows.select("*", *[F.lit(0).cast("bigint").alias(c) for c in ("epoch", "block", "position")], F.lit(0.0).alias("weight"))
     counts = [r.t for r in found]
     exponent, shares, budget = weights(counts, budget) if sum(counts) else (1.0, [1 / len(counts)] * len(counts), 0)
-    spend = [(r.source, r.t, w, float(w * budget), max(1, -(-r.t // BLOCK))) for r, w in zip(found, shares, strict=True)]
+    spend = [(r.source, r.t, w, float(w * budget), min(BLOCKS, max(1, -(-r.t // BLOCK)))) for r, w in zip(found, shares, strict=True)]
     plan = spark.createDataFrame(spend, "s string, t bigint, weight double, spend double, blocks bigint")
     epochs = F.greatest(F.lit(1), F.ceil(F.col("spend") / F.greatest(F.col("t"), F.lit(1)) - 1e-9)).cast("int")
     dealt = rows.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("s"))).withColumn("epoch", F.explode(F.sequence(F.lit(0), epochs - 1)))
@@ -122,14 +128,15 @@ def mix(
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every document at least once, those of small sources again as the weights ask.
 
-    Epochs are counted per row, by a number written with it, as doc_ids may be null or repeat. Which
+    The rows come in the order of the stream: each block of it lies in one partition, by position.
+    Rows are told apart by a number written with them, as doc_ids may be null or repeat. Which
     documents come again depends on doc_id and text, not on the numbers.
     """
     rows, row = numbered(docs, "mix-input")
     mixed = mix(rows, [row], None, whole=True, by=[F.col("doc_id"), F.col("text")])
-    times = mixed.groupBy(row).agg(F.count(F.lit(1)).cast("int").alias("_times"))
-    joined = rows.join(times, row)
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    block, position = f"{row}_block", f"{row}_position"
+    stream = mixed.select(row, F.col("block").alias(block), F.col("position").alias(position)).join(rows, row)
+    return stream.repartition(block).sortWithinPartitions(block, position).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
