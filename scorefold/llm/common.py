@@ -53,6 +53,12 @@ def numbered(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
     return materialise(docs.withColumn(row, F.monotonically_increasing_id()), name), row
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A read of few files dealt to all cores, so that Python tasks on a small table use them; larger ones stay as they are."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def map_arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:
     """``mapInArrow`` with batches of at most ARROW_ROWS rows; sets that bound in the session, where it stays."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import fold, map_arrow, table
+from .common import fold, map_arrow, spread, table
 from .words import chunks
 
 FIT_ROWS, FIT_BYTES, FIT_WINDOWS = 3000, 65_536, 8000
@@ -189,4 +189,4 @@ def identify(docs: DataFrame, model: ByteConvolution | None) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return identify(docs, fit(sample(docs))).select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "lang_pred", "score")
+    return identify(spread(docs), fit(sample(docs))).select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "lang_pred", "score")

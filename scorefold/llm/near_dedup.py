@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialise, numbered, table
+from .common import map_arrow, materialise, numbered, spread, table
 from .words import chunks, mix, shingles
 
 THRESHOLD, BANDS, ROWS = 0.8, 20, 5
@@ -348,4 +348,4 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_classes(table(spark, sf_dir, "documents"))
+    return near_classes(spread(table(spark, sf_dir, "documents")))

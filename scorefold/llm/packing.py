@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import map_arrow, materialise, scratch, table
+from .common import map_arrow, materialise, scratch, spread, table
 
 CAPACITY, END = 1024, 2
 #: Rows of one size are ranked in parts of about so many, so a frequent size isn't one group.
@@ -235,4 +235,4 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(table(spark, sf_dir, "documents"))
+    return pack_documents(spread(table(spark, sf_dir, "documents")))

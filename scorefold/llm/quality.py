@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, labelled_sample, map_arrow, table
+from .common import fold, labelled_sample, map_arrow, spread, table
 from .words import chunks, word_spans
 
 FIT_ROWS, FIT_BYTES = 4000, 65_536
@@ -141,7 +141,7 @@ def score(docs: DataFrame, model: FactorisationMachine) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     sample = labelled_sample(docs, table(spark, sf_dir, "labels"), "quality", FIT_ROWS, FIT_BYTES)
-    return score(docs, FactorisationMachine().fit(sample)).select(
+    return score(spread(docs), FactorisationMachine().fit(sample)).select(
         "doc_id",
         (fold(F.col("doc_id")) == 0).alias("held_out"),
         "score",

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, table
+from .common import map_arrow, spread, table
 from .words import chunks, word_spans
 
 #: Bytes of a long word that one run takes; a word of any length takes a few times so many steps.
@@ -145,4 +145,4 @@ def token_counts(docs: DataFrame, vocabulary: list[bytes]) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return token_counts(table(spark, sf_dir, "documents"), read_vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken")))
+    return token_counts(spread(table(spark, sf_dir, "documents")), read_vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken")))

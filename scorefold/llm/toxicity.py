@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, labelled_sample, map_arrow, table
+from .common import fold, labelled_sample, map_arrow, spread, table
 
 FIT_ROWS, FIT_BYTES, MIN_DOCS, MAX_FEATURES = 2400, 32_768, 5, 50_000
 STEPS, RATE, PENALTY, START = 80, 0.25, 1e-4, -8.0
@@ -162,12 +162,12 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             keep = [shared.value.score(t or "")[0] < 0.5 for t in batch.column(place).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return map_arrow(docs, run, docs.schema)
+    return map_arrow(spread(docs), run, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return score(docs, fitted(spark, docs, sf_dir)).select(
+    return score(spread(docs), fitted(spark, docs, sf_dir)).select(
         "doc_id",
         (fold(F.col("doc_id")) == 0).alias("held_out"),
         "score",
