@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,12 +46,32 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def place_in_files() -> Column:
+    """Tells the rows of Parquet files apart: file and place in it."""
+    return F.concat_ws("#", F.col("_metadata.file_path"), F.col("_metadata.row_index").cast("string"))
+
+
+def whole_read(docs: DataFrame) -> bool:
+    """Whether ``docs`` is a read of Parquet files with all their rows, by whose places its rows can be told apart.
+
+    What drops or repeats rows of the files has another number of rows; the counts come from the files' footers.
+    """
+    try:
+        docs.select(place_in_files())
+    except AnalysisException:
+        return False
+    return docs.count() == docs.sparkSession.read.parquet(*docs.inputFiles()).count()
+
+
 def numbered(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """``docs`` written with a number that no two rows share, and the name of that column, with which no name begins."""
+    """``docs`` with a column that no two rows share, and its name, with which no other begins.
+
+    Rows of Parquet files are told apart by their place; what isn't a read of whole files is written first.
+    """
     row = "_row"
     while any(c.lower().startswith(row) for c in docs.columns):
         row = f"_{row}"
-    return materialise(docs.withColumn(row, F.monotonically_increasing_id()), name), row
+    return (docs if whole_read(docs) else materialise(docs, name)).withColumn(row, place_in_files()), row
 
 
 def spread(scan: DataFrame) -> DataFrame:

@@ -21,14 +21,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import materialise, numbered, scratch, table
+from .common import materialise, numbered, place_in_files, scratch, table
 
 #: State on disk; without room reserved ahead, as there may be many small state stores.
 STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
-LANDED = "text_sha256 string, doc_id bigint, locator string, n_bytes bigint, row bigint"
+LANDED = "text_sha256 string, doc_id bigint, locator string, n_bytes bigint, row string"
 
 
 def normalised(text: Column) -> Column:
@@ -41,11 +41,12 @@ def sha256(text: Column) -> Column:
 
 
 class StreamingDeduplicator:
-    """Keyed state of all documents ingested so far, under ``store``; ``row`` names a column that numbers the rows."""
+    """Keyed state of all documents ingested so far, under ``store``; ``row`` names a column with the place of a row in its file."""
 
     def __init__(self, spark: SparkSession, store: str | None = None, digest: Callable[[Column], Column] = sha256, row: str | None = None):
         self.spark, self.digest = spark, digest
-        self.row = (F.col(row) if row else F.lit(None)).cast("bigint").alias("row")
+        self.name = row
+        self.row = (F.col(row) if row else F.lit(None)).cast("string").alias("row")
         self.store = store or scratch(spark, "exact-dedup")
 
     def keyed(self, docs: DataFrame) -> DataFrame:
@@ -104,7 +105,8 @@ class StreamingDeduplicator:
         paths = [r.locator for r in locators.select("locator").distinct().collect()]
         if not all(paths):
             raise ValueError("documents that don't come from files have no locator: hand them in again")
-        return self.spark.read.parquet(*paths)
+        found = self.spark.read.parquet(*paths)
+        return found.withColumn(self.name, place_in_files()) if self.name else found
 
     def resolve(self, docs: DataFrame | None = None) -> DataFrame:
         """One row per document ingested: doc_id, keep_id, group_size, kept, text_sha256, keep_locator, row.

@@ -129,8 +129,8 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every document at least once, those of small sources again as the weights ask.
 
     The rows come in the order of the stream: each block of it lies in one partition, by position.
-    Rows are told apart by a number written with them, as doc_ids may be null or repeat. Which
-    documents come again depends on doc_id and text, not on the numbers.
+    Rows are told apart by their place in the files, as doc_ids may be null or repeat. Which
+    documents come again depends on doc_id and text, not on the places.
     """
     rows, row = numbered(docs, "mix-input")
     mixed = mix(rows, [row], None, whole=True, by=[F.col("doc_id"), F.col("text")])

@@ -113,7 +113,7 @@ def band_keys(signatures: np.ndarray, bands: int = BANDS) -> np.ndarray:
 
 
 def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, doc_id, digest, text) to (row, doc_id, digest, exact, n, bands)."""
+    """(place, doc_id, digest, text) to (place, doc_id, digest, exact, n, bands)."""
     for batch in batches:
         texts = [t or "" for t in batch.column(3).to_pylist()]
         for part in chunks(texts):
@@ -134,7 +134,7 @@ def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array(sizes),
                     pa.ListArray.from_arrays(offsets, pa.array(keys.ravel())),
                 ],
-                names=["row", "doc_id", "digest", "exact", "n", "bands"],
+                names=["place", "doc_id", "digest", "exact", "n", "bands"],
             )
 
 
@@ -267,16 +267,15 @@ def near_classes(docs: DataFrame, row: str | None = None) -> DataFrame:
     """doc_id, class_id, class_size, kept, text_key, class_key: one row per row of ``docs``.
 
     class_id and class_key are the doc_id and text_key of the row that stays; where doc_ids are null or
-    repeat, class_key tells classes apart. ``row`` names a column of ``docs`` that numbers its rows, which
-    the result then holds too; without it the signatures are written with such a number.
+    repeat, class_key tells classes apart. ``row`` names a string column of ``docs`` that tells its rows apart,
+    which the result then holds too. Inside, rows have the number that is written with their signatures.
     """
     spark = docs.sparkSession
-    own = row is None
-    number = F.lit(None).cast("bigint") if own else F.col(row)
+    place = F.col(row) if row else F.lit(None).cast("string")
     digest = F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
-    rows = docs.select(number.alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), digest.alias("digest"), "text")
-    signed = map_arrow(rows, sign, "row bigint, doc_id bigint, digest binary, exact binary, n bigint, bands array<bigint>")
-    signed = materialise(signed.withColumn("row", F.monotonically_increasing_id()) if own else signed, "near-signed")
+    rows = docs.select(place.alias("place"), F.col("doc_id").cast("bigint").alias("doc_id"), digest.alias("digest"), "text")
+    signed = map_arrow(rows, sign, "place string, doc_id bigint, digest binary, exact binary, n bigint, bands array<bigint>")
+    signed = materialise(signed.withColumn("row", F.monotonically_increasing_id()), "near-signed")
     # the first row of a text gives the text its number
     head = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "exact", "digest", "row")).alias("head")
     texts = materialise(signed.groupBy("exact").agg(head, F.count(F.lit(1)).alias("copies")).withColumn("id", F.col("head.row")), "near-texts")
@@ -329,8 +328,8 @@ def near_classes(docs: DataFrame, row: str | None = None) -> DataFrame:
     named = materialise(texts.join(labels, "id", "left").select("exact", "copies", "head", F.coalesce("label", "id").alias("label")), "near-named")
     sizes = materialise(named.groupBy("label").agg(F.sum("copies").alias("class_size"), F.min("head").alias("first")), "near-sizes")
     classes = materialise(named.join(sizes, "label").select("exact", "class_size", "first"), "near-classes")
-    return signed.select("row", "doc_id", "exact").join(classes, "exact").select(
-        *([] if own else [F.col("row").alias(row)]),
+    return signed.select("row", "place", "doc_id", "exact").join(classes, "exact").select(
+        *([F.col("place").alias(row)] if row else []),
         "doc_id",
         F.col("first.doc_id").alias("class_id"),
         "class_size",

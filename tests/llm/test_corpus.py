@@ -94,12 +94,25 @@ def test_exact_dedup_reads_hits_through_their_locators(spark, docs, tmp_path):
 
 
 @pytest.mark.parametrize("stage", [exact_dedup.stage, near_dedup.stage, mixing.stage])
-def test_stages_leave_clashing_columns_alone(spark, stage):
+def test_stages_leave_clashing_columns_alone(spark, stage, tmp_path):
     names = ["kept_id", "bytes", "copy", "_id", "_times", "_copy", "_row", "row", "digest", "block", "position", "text_sha256", "locator"]
     data = [(i, text(i // 2, 40), "en", f"s{i % 2}", 1, *[f"{n}{i}" for n in names]) for i in range(8)]
     schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"`{n}` string" for n in names)
-    found = [tuple(r) for r in stage(spark, spark.createDataFrame(data, schema), "").collect()]
-    assert set(found) == (set(data) if stage is mixing.stage else {r for r in data if r[0] % 2 == 0})
+    docs = spark.createDataFrame(data, schema)
+    want = set(data) if stage is mixing.stage else {r for r in data if r[0] % 2 == 0}
+    docs.write.parquet(f"{tmp_path}/docs")
+    for docs in (docs, spark.read.parquet(f"{tmp_path}/docs")):
+        assert {tuple(r) for r in stage(spark, docs, "").collect()} == want
+
+
+def test_only_reads_of_whole_files_are_not_written_again(spark, docs, tmp_path):
+    from scorefold.llm.common import whole_read
+
+    docs.repartition(3).write.parquet(f"{tmp_path}/docs")
+    read = spark.read.parquet(f"{tmp_path}/docs")
+    assert whole_read(read) and whole_read(spark.read.parquet(f"{FOLDER}/documents.parquet"))
+    for other in (docs, read.union(read), read.where("doc_id > 3"), read.selectExpr("*", "explode(array(1, 2)) AS i").drop("i"), read.groupBy("doc_id").count()):
+        assert not whole_read(other)
 
 
 def test_fingerprints(spark, docs, none):
