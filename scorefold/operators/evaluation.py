@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .pools import upper_medians
 from .ranking import place
 
 
@@ -66,23 +67,11 @@ def topk_curve(df: DataFrame, group: list[str], score: str, truth: str, key: lis
     return spread.groupBy("k").agg(F.count(F.lit(1)).alias("n_groups"), rate(F.col("hit")).alias("success"))
 
 
-def upper_median(value: str) -> Column:
-    """The element at n // 2 of the sorted values, not interpolated."""
-    held = F.array_sort(F.collect_list(value))
-    return F.element_at(held, (F.size(held) / 2).cast("int") + 1)
-
-
 def scorer_table(df: DataFrame, group: list[str], scorers: dict[str, bool], truth: str, key: list[str], native: float) -> DataFrame:
     """Per scorer (True: lower is better): groups, top-1 and best-5 successes and upper medians."""
-    out = None
-    for name, ascending in scorers.items():
-        found = outcomes(df, group, name, truth, key, native, ascending)
-        row = found.agg(
-            F.count(F.lit(1)).alias("n"),
-            F.count_if("top1_native").alias("top1_hits"),
-            F.count_if("top5_native").alias("best5_hits"),
-            upper_median("top1").alias("median_top1"),
-            upper_median("top5").alias("median_best5"),
-        ).select(F.lit(name).alias("scorer"), "*")
-        out = row if out is None else out.unionByName(row)
-    return out
+    entries = [F.struct(F.lit(n).alias("scorer"), (-F.col(n) if low else F.col(n)).cast("double").alias("_score")) for n, low in scorers.items()]
+    long = df.select(*group, truth, *key, F.explode(F.array(*entries)).alias("_e")).select("*", "_e.*")
+    found = outcomes(long, ["scorer", *group], "_score", truth, key, native)
+    counts = found.groupBy("scorer").agg(F.count(F.lit(1)).alias("n"), F.count_if("top1_native").alias("top1_hits"), F.count_if("top5_native").alias("best5_hits"))
+    middle = upper_medians(found, ["scorer"], ["top1", "top5"]).withColumnsRenamed({"top1": "median_top1", "top5": "median_best5"})
+    return counts.join(middle, "scorer")

@@ -73,3 +73,28 @@ def roc_points(df: DataFrame, score: str, label: str) -> DataFrame:
     tp, seen = F.col("hits_before") + F.col("hits"), F.col("n_before") + F.col("n")
     points = found.select(F.round((seen - tp) / F.nullif(F.lit(q), F.lit(0)), 6).alias("fpr"), F.round(tp / F.nullif(F.lit(p), F.lit(0)), 6).alias("tpr"))
     return points.unionByName(df.sparkSession.createDataFrame([(0.0, 0.0)], "fpr double, tpr double"))
+
+
+def enrichment(df: DataFrame, score: str, label: str, key: list[str]) -> DataFrame:
+    """Every row with the share of rows and of hits up to it, best score first, ties by the key."""
+    rows = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).withColumns({"_one": F.lit(1).cast("long"), "_hit": F.col(label).cast("long")})
+    total = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("_hit").alias("p")).first()
+    placed = running(rows, score, ["_one", "_hit"], key)
+    recall = (F.col("_hit_before") + F.col("_hit")) / F.nullif(F.lit(total.p or 0), F.lit(0))
+    return placed.select(*key, F.round((F.col("_one_before") + 1) / F.lit(total.n), 6).alias("fraction"), F.round(recall, 6).alias("recall"))
+
+
+def recall_at(df: DataFrame, score: str, label: str, key: list[str], share: float) -> DataFrame:
+    """The recall of the first row at or beyond ``share`` of all rows."""
+    return enrichment(df, score, label, key).where(F.col("fraction") >= share).agg(F.min("recall").alias("recall"))
+
+
+def grouped_auc(df: DataFrame, group: list[str], score: str, label: str) -> DataFrame:
+    """n, hits and ROC-AUC per group; NULL where a group has one class only. Equal scores are counted first."""
+    rows = df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
+    counted = rows.groupBy(*group, score).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("long")).alias("h"))
+    below = F.coalesce(F.sum(F.col("n") - F.col("h")).over(Window.partitionBy(*group).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    won = F.col("h") * (below + (F.col("n") - F.col("h")) / 2)
+    found = counted.withColumn("_won", won).groupBy(*group).agg(F.sum("n").alias("n"), F.sum("h").alias("hits"), F.sum("_won").alias("_won"))
+    pairs = F.col("hits") * (F.col("n") - F.col("hits"))
+    return found.select(*group, "n", "hits", F.when(pairs > 0, F.round(F.col("_won") / pairs, 6)).alias("auc"))

@@ -12,23 +12,10 @@ from pyspark.sql import functions as F
 from ..functions import parsing
 from ..operators import evaluation, evidence, ranking, screening, spatial, statistics
 from ..sources.tables import table
+from .registry import query
 
 NATIVE = 5.0
 KEY = ["l_orderkey", "l_linenumber"]
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None):
-    """Registers a query under its own name, with its SQL where SQL can express it."""
-
-    def register(function):
-        QUERIES[function.__name__] = function
-        if sql:
-            ORACLE_SQL[function.__name__] = sql
-        return function
-
-    return register
 
 
 def candidates(spark: SparkSession, d: str) -> DataFrame:
@@ -134,10 +121,11 @@ def nested_annotation(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     """SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, a.n_chars, b.quality, b.toxic, a.doc_id IS NULL AS only_right, b.doc_id IS NULL AS only_left
-FROM (SELECT * FROM documents WHERE n_chars >= 500) a FULL JOIN labels b ON a.doc_id = b.doc_id"""
+FROM documents a FULL JOIN (SELECT doc_id + 3 AS doc_id, quality, toxic FROM labels) b ON a.doc_id = b.doc_id"""
 )
 def score_collection(spark: SparkSession, d: str) -> DataFrame:
-    a, b = table(spark, d, "documents").where("n_chars >= 500").alias("a"), table(spark, d, "labels").alias("b")
+    """Labels are moved by three ids, so that some have no document."""
+    a, b = table(spark, d, "documents").alias("a"), table(spark, d, "labels").withColumn("doc_id", F.col("doc_id") + 3).alias("b")
     return a.join(b, F.col("a.doc_id") == F.col("b.doc_id"), "full_outer").select(
         F.coalesce("a.doc_id", "b.doc_id").alias("doc_id"), "a.n_chars", "b.quality", "b.toxic", F.col("a.doc_id").isNull().alias("only_right"), F.col("b.doc_id").isNull().alias("only_left")
     )

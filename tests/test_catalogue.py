@@ -3,10 +3,10 @@ import pandas as pd
 import pytest
 
 import __spark_entry__
-from scorefold.plans.catalogue import ORACLE_SQL, QUERIES
+from scorefold.plans.registry import ORACLE_SQL, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings labels".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings labels pages".split()
 
 
 def rows(df: pd.DataFrame) -> list[tuple]:
