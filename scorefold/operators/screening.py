@@ -1,35 +1,29 @@
 """Screening metrics over one ranked list of any length.
 
-Ranks are global, yet no window is: scores are cut into at most PARTS ranges, and the rows of the
-ranges above are added to the running counts within a range.
+Ranks are global, yet no window is: rows are dealt to ranges of (score, key), written, and the sums of
+the ranges above are added to the running sums within a range. Equal scores may lie in several ranges.
+Totals are found, and ranges written, when a query is built.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-PARTS = 64
-
-
-def _ranges(df: DataFrame, score: str) -> Column:
-    cuts = df.agg(F.percentile_approx(score, [i / PARTS for i in range(1, PARTS)], 10_000)).first()[0] or []
-    known = F.array(*[F.lit(float(c)) for c in sorted(set(cuts))]) if cuts else F.array().cast("array<double>")
-    return -F.size(F.filter(known, lambda c: c <= F.col(score).cast("double")))
-
 
 def running(df: DataFrame, score: str, sums: list[str], key: list[str]) -> DataFrame:
     """Adds ``<s>_before``, the sum over all rows that come earlier by (score descending, key)."""
-    parted = df.withColumn("_part", _ranges(df, score))
-    totals = parted.groupBy("_part").agg(*[F.sum(s).alias(f"_{s}") for s in sums])  # at most PARTS rows
+    order = [F.desc(score), *map(F.asc, key)]
+    parted = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).checkpoint()
+    totals = parted.groupBy("_part").agg(*[F.sum(s).alias(f"_{s}") for s in sums])  # a row for each shuffle partition
     above = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select("_part", *[F.coalesce(F.sum(f"_{s}").over(above), F.lit(0)).alias(f"_{s}") for s in sums])
-    order = Window.partitionBy("_part").orderBy(F.desc(score), *map(F.asc, key)).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     joined = parted.join(F.broadcast(totals), "_part")
-    within = {f"{s}_before": F.col(f"_{s}") + F.coalesce(F.sum(s).over(order), F.lit(0)) for s in sums}
+    within = {f"{s}_before": F.col(f"_{s}") + F.coalesce(F.sum(s).over(before), F.lit(0)) for s in sums}
     return joined.withColumns(within).drop("_part", *[f"_{s}" for s in sums])
 
 

@@ -9,13 +9,31 @@ from pyspark.sql.window import Window
 from .ranking import average_ranks
 
 
+def exact_quantiles(df: DataFrame, group: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """Linearly interpolated quantiles per group, under the names of ``shares``; NULLs don't count.
+
+    Equal values are counted first and the counts added up in order, so no group is held in memory.
+    """
+    counted = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_c"))
+    whole = Window.partitionBy(*group)
+    upto = counted.withColumns({"_upto": F.sum("_c").over(whole.orderBy(value)), "_n": F.sum("_c").over(whole)})
+    at = lambda place: F.min(F.when(F.col("_upto") > place, F.col(value).cast("double")))
+    ends = []
+    for name, share in shares.items():
+        place = share * (F.col("_n") - 1)
+        ends += [at(F.floor(place)).alias(f"_{name}_a"), at(F.ceil(place)).alias(f"_{name}_b"), F.max(place - F.floor(place)).alias(f"_{name}_f")]
+    found = upto.groupBy(*group).agg(*ends)
+    between = lambda n: F.col(f"_{n}_a") + (F.col(f"_{n}_b") - F.col(f"_{n}_a")) * F.col(f"_{n}_f")
+    return found.select(*group, *[between(n).alias(n) for n in shares])
+
+
 def spread(df: DataFrame, group: list[str], value: str) -> DataFrame:
     """n, population deviation, range, median and interquartile range of groups of more than one value."""
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     found = df.groupBy(*group).agg(
-        F.count(value).alias("n"), F.round(F.stddev_pop(value), 6).alias("deviation"), F.round(F.max(value) - F.min(value), 6).alias("range"), q.alias("q")
+        F.count(value).alias("n"), F.round(F.stddev_pop(value), 6).alias("deviation"), F.round(F.max(value) - F.min(value), 6).alias("range")
     )
-    return found.where("n > 1").select(*group, "n", "deviation", "range", F.round(F.col("q")[1], 6).alias("median"), F.round(F.col("q")[2] - F.col("q")[0], 6).alias("iqr"))
+    q = exact_quantiles(df, group, value, {"q1": 0.25, "q2": 0.5, "q3": 0.75})
+    return found.where("n > 1").join(q, group).select(*group, "n", "deviation", "range", F.round("q2", 6).alias("median"), F.round(F.col("q3") - F.col("q1"), 6).alias("iqr"))
 
 
 def spearman(df: DataFrame, group: list[str], a: str, b: str, least: int = 5) -> DataFrame:
@@ -44,15 +62,17 @@ def contribution(df: DataFrame, row: str, column: str) -> DataFrame:
 
 def ensemble(df: DataFrame, group: list[str], a: str, b: str, gate: Column) -> DataFrame:
     """Mean of the medians of ``a`` and of the gated ``b``, of whichever exist."""
-    found = df.groupBy(*group).agg(F.median(a).alias("ma"), F.median(F.when(gate, F.col(b))).alias("mb"))
+    gated = df.withColumn("_gated", F.when(gate, F.col(b)))
+    first, second = exact_quantiles(df, group, a, {"ma": 0.5}), exact_quantiles(gated, group, "_gated", {"mb": 0.5})
+    found = df.select(*group).distinct().join(first, group, "left").join(second, group, "left")
     both = F.coalesce((F.col("ma") + F.col("mb")) / 2, "ma", "mb")
     return found.select(*group, F.round("ma", 6).alias("median_a"), F.round("mb", 6).alias("median_b"), F.round(both, 6).alias("ensemble"))
 
 
 def quantiles(df: DataFrame, group: list[str], value: str, shares: dict[str, float]) -> DataFrame:
     """Linearly interpolated quantiles per group, under the names of ``shares``."""
-    found = df.groupBy(*group).agg(F.percentile(value, F.array(*map(F.lit, shares.values()))).alias("q"))
-    return found.select(*group, *[F.round(F.col("q")[i], 6).alias(name) for i, name in enumerate(shares)])
+    found = exact_quantiles(df, group, value, shares)
+    return found.select(*group, *[F.round(name, 6).alias(name) for name in shares])
 
 
 def signal_rollup(df: DataFrame, group: list[str], score: str, other: str, key: list[str], least: float, top: int = 10) -> DataFrame:
@@ -66,7 +86,6 @@ def signal_rollup(df: DataFrame, group: list[str], score: str, other: str, key:
     whole = rows.groupBy(*group).agg(
         F.count(F.lit(1)).alias("n"),
         F.max(score).alias("best"),
-        F.round(F.percentile(score, F.lit(0.9)), 6).alias("p90"),
         mean(F.col(score)).alias("mean"),
         F.round(F.avg((F.col(score) >= least).cast("double")), 6).alias("share"),
     )
@@ -75,7 +94,8 @@ def signal_rollup(df: DataFrame, group: list[str], score: str, other: str, key:
     leading = ranked.groupBy(*group).agg(
         mean(F.col(score)).alias("top_mean"), F.max(F.when(F.col("_at") == 1, F.col(other))).alias("other_at_best")
     )
-    return whole.join(leading, group)
+    high = exact_quantiles(rows, group, score, {"p90": 0.9}).withColumn("p90", F.round("p90", 6))
+    return whole.join(high, group).join(leading, group)
 
 
 def families_within(df: DataFrame, group: list[str], family: str, truth: str, margins: list[int]) -> DataFrame:

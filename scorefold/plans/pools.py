@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import evaluation, pools, screening
+from ..operators import evaluation, pools, screening, statistics
 from ..sources.tables import table
 from .catalogue import _RANKED, _SCREEN, KEY, NATIVE, _screened, _target_outcomes
 from .registry import query
@@ -227,9 +227,9 @@ def spread_confidence(spark: SparkSession, d: str) -> DataFrame:
 FROM customer GROUP BY c_nationkey"""
 )
 def variation_summary(spark: SparkSession, d: str) -> DataFrame:
-    q = F.percentile("c_acctbal", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
-    found = table(spark, d, "customer").groupBy("c_nationkey").agg(q.alias("q"), F.max("c_acctbal").alias("largest"))
-    return found.select("c_nationkey", *[F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(("p05", "p50", "p95"))], "largest")
+    customer, shares = table(spark, d, "customer"), {"p05": 0.05, "p50": 0.5, "p95": 0.95}
+    largest = customer.groupBy("c_nationkey").agg(F.max("c_acctbal").alias("largest"))
+    return largest.join(statistics.quantiles(customer, ["c_nationkey"], "c_acctbal", shares), "c_nationkey")
 
 
 @query(
