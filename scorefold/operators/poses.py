@@ -114,3 +114,12 @@ def template_anchors(points: DataFrame, group: list[str], entry: str, weight: st
     """Per group the entry with the largest weight (then the smallest name), with the mean of its points."""
     means = points.groupBy(*group, entry).agg(F.max(weight).alias("weight"), F.count(F.lit(1)).alias("n"), *[F.round(F.avg(a), 6).alias(a) for a in ("x", "y", "z")])
     return means.withColumn("_at", place(group, F.desc_nulls_last("weight"), F.asc(entry))).where("_at = 1").drop("_at")
+
+
+def anchors(templates: DataFrame, research: DataFrame, modes: DataFrame, group: list[str]) -> DataFrame:
+    """kind, group, x, y, z: the mean template and research points of each group; where it has neither, its density mode."""
+    axes = ("x", "y", "z")
+    mean = lambda points, kind: points.groupBy(*group).agg(*[F.round(F.avg(a), 6).alias(a) for a in axes]).select(F.lit(kind).alias("kind"), *group, *axes)
+    placed = mean(templates, "template").unionByName(mean(research, "research"))
+    rest = modes.select(F.lit("density").alias("kind"), *group, *[F.col(f"mean_{a}").alias(a) for a in axes])
+    return placed.unionByName(rest.join(placed.select(*group).distinct(), group, "left_anti"))

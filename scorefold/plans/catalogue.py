@@ -274,13 +274,6 @@ def density_modes(spark: SparkSession, d: str) -> DataFrame:
     return spatial.density_mode(_points(spark, d), ["label"], "vec_id", RADIUS)
 
 
-@query(None)
-def diverse_selection(spark: SparkSession, d: str) -> DataFrame:
-    """Greedy, hence sequential: held against a plain loop in the tests."""
-    rows = _points(spark, d).withColumn("score", (F.col("vec_id") * 37 % 101).cast("double")).withColumn("point", F.array(*spatial.AXES))
-    return ranking.diverse_top_k(rows, ["label"], "score", "point", "vec_id", distance=RADIUS)
-
-
 @query(
     """SELECT CASE WHEN n_chars < 100 THEN 0 WHEN n_chars < 500 THEN 1 WHEN n_chars < 2000 THEN 2 WHEN n_chars <= 10000 THEN 3 END AS bin, count(*) AS n
 FROM documents GROUP BY 1"""
