@@ -52,14 +52,17 @@ STATE = "key bigint, size bigint, sequence_id bigint, offset bigint, kind int"
 #: Any other character than those that the patterns of both tokenizer libraries surely class alike: Latin and
 #: Russian letters, common punctuation, Han characters.
 UNSURE = re.compile("[^\0-\u024f\u0410-\u044f\u2010-\u2027\u4e00-\u9fa5]")
+#: Longer runs of white space exhaust the rank file's pattern matcher; such texts go to the model's own tokenizer.
+RUN = 1024
+LONG_RUN = re.compile(rf"\s{{{RUN}}}")
 
 
-def byte_bpe(model: str, ranks: str) -> Callable[[str], bytes]:
+def byte_bpe(model: str, ranks: str, plain: bool = False) -> Callable[[str], bytes]:
     """text -> ids of the byte-level BPE as little-endian 32-bit numbers, without special tokens.
 
     The ids are those of the tokenizer of the ``model`` file. The rank file holds the same merges and is
     several times as fast; it serves the texts whose characters both classify alike and that hold no
-    name of an added token.
+    name of an added token and no long run of white space. With ``plain`` such names are ordinary text.
     """
     import base64
 
@@ -71,10 +74,12 @@ def byte_bpe(model: str, ranks: str) -> Callable[[str], bytes]:
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     fast = tiktoken.Encoding("byte-bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
     full = Tokenizer.from_file(model)
-    added = [t.content for t in full.get_added_tokens_decoder().values()]
+    full.encode_special_tokens = plain
+    added = [] if plain else [t.content for t in full.get_added_tokens_decoder().values()]
 
     def ids(text: str) -> bytes:
-        if any(t in text for t in added) or (not text.isascii() and UNSURE.search(text)):
+        odd = any(t in text for t in added) or (not text.isascii() and UNSURE.search(text))
+        if odd or (len(text) >= RUN and LONG_RUN.search(text)):
             return np.array(full.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return np.array(fast.encode_ordinary(text), "<u4").tobytes()
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fingerprints, language, mixing, near_dedup, packing, quality, sharding, token_counts, toxicity
+from . import alignment, exact_dedup, filter_audit, fingerprints, language, mixing, near_dedup, packing, quality, sharding, token_counts, topk_search, toxicity
 
 QUERIES = {
     "op1_fingerprints": fingerprints.query,
@@ -15,6 +15,13 @@ QUERIES = {
     "op8_language": language.query,
     "op9_near_dedup": near_dedup.query,
     "op10_exact_dedup": exact_dedup.query,
+    "op11_filter_audit": filter_audit.query,
+    "op12_alignment": alignment.query,
+    "op13_topk_search": topk_search.query,
 }
 
-ORACLE_SQL = {"op10_exact_dedup": exact_dedup.ORACLE_SQL}
+ORACLE_SQL = {
+    "op10_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op11_filter_audit": filter_audit.ORACLE_SQL,
+    "op13_topk_search": topk_search.ORACLE_SQL,
+}
