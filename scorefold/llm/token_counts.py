@@ -2,8 +2,8 @@
 
 The vocabulary is a trie of byte strings. Every node has a failure link and the number of pieces
 that are popped when it is followed; both are computed once, breadth first. A word is then counted
-in time linear in its length, and no piece is ever built. Distinct words of a batch, and segments of
-long ones, run through the automaton side by side in numpy, one byte per step.
+in time linear in its length, and no piece is ever built. Distinct words of a batch, and distinct
+segments of long ones, run through the automaton side by side in numpy, one byte per step.
 
 A word is a run of bytes that aren't ASCII white space, with one space before it. Every single byte
 must be in the vocabulary, so each word has pieces. Defined cases: null and blank texts have no
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import map_arrow, spread, table
 from .words import chunks, word_spans
 
-#: Bytes of a long word that one run takes; a word of any length takes a few times so many steps.
+#: Words of more bytes are cut into segments of so many.
 SEGMENT = 256
 
 
@@ -67,27 +67,55 @@ class Automaton:
     def count(self, buffer: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
         """Pieces of each word ``buffer[start : start + length]``, a space before it.
 
-        Words are cut into segments of SEGMENT bytes that all run side by side. A segment starts in the
-        state that the one before it ends in; until that is known it starts at the root, and only segments
-        whose start turns out to be another one run again. A state knows no more than the bytes of the
-        longest piece, so few do.
+        Words of up to SEGMENT bytes run side by side. Longer ones are cut into segments, and of each distinct
+        segment the runs (start state to end state and popped pieces) are composed: all run from the root, then
+        from each state that a segment before them ends in, until no start state is new. A state is an ending of the
+        bytes read, so a segment has no more of them than the longest piece has bytes, and mostly one or two.
         """
-        many = np.maximum(1, -(-length // SEGMENT))
+        space = self.targets[np.searchsorted(self.keys, 32)]
+        out = np.empty(len(start), np.int64)
+        short = length <= SEGMENT
+        state, popped = self._run(buffer, start[short], length[short], np.full(short.sum(), space, np.int64))
+        out[short] = popped + self.rest[state]
+        long = np.flatnonzero(~short)
+        if len(long):
+            out[long] = self._count_long(buffer, start[long], length[long], int(space))
+        return out
+
+    def _count_long(self, buffer: np.ndarray, start: np.ndarray, length: np.ndarray, space: int) -> np.ndarray:
+        many = -(-length // SEGMENT)
         word = np.repeat(np.arange(len(start)), many)
-        first = np.cumsum(many) - many
-        nth = np.arange(len(word)) - first[word]
-        at = start[word] + nth * SEGMENT
-        size = np.minimum(length[word] - nth * SEGMENT, SEGMENT)
-        entry, leave, popped = (np.zeros(len(word), np.int64) for _ in range(3))
-        entry[first] = self.targets[np.searchsorted(self.keys, 32)]
-        todo = np.arange(len(word))
+        nth = np.arange(len(word)) - (np.cumsum(many) - many)[word]
+        at, size = start[word] + nth * SEGMENT, np.minimum(length[word] - nth * SEGMENT, SEGMENT)
+        # equal whole segments are one; the last one of a word is its own
+        whole = np.flatnonzero(size == SEGMENT)
+        bytes_of = np.lib.stride_tricks.sliding_window_view(buffer, SEGMENT)[at[whole]].view(f"V{SEGMENT}").ravel()
+        _, sample, which = np.unique(bytes_of, return_index=True, return_inverse=True)
+        rest = np.flatnonzero(size < SEGMENT)
+        content = np.empty(len(word), np.int64)
+        content[whole], content[rest] = which, len(sample) + np.arange(len(rest))
+        shown = np.concatenate([whole[sample], rest])  # a place of each content
+        inner = np.flatnonzero(nth + 1 < many[word])
+        follow = np.unique(np.stack([content[inner], content[inner + 1]], 1), axis=0)
+        nodes = len(self.failure)
+        todo = np.unique(np.concatenate([np.arange(len(shown)) * nodes, content[nth == 0] * nodes + space]))
+        runs: dict[int, tuple[int, int]] = {}
         while len(todo):
-            leave[todo], popped[todo] = self._run(buffer, at[todo], size[todo], entry[todo])
-            inner = todo[nth[todo] + 1 < many[word[todo]]]
-            moved = inner[entry[inner + 1] != leave[inner]]
-            entry[moved + 1] = leave[moved]
-            todo = moved + 1
-        return np.bincount(word, popped, len(start)).astype(np.int64) + self.rest[leave[first + many - 1]]
+            here, entry = np.divmod(todo, nodes)
+            leave, popped = self._run(buffer, at[shown[here]], size[shown[here]], entry)
+            runs.update(zip(todo.tolist(), zip(leave.tolist(), popped.tolist(), strict=True), strict=True))
+            first, last = (np.searchsorted(follow[:, 0], here, side) for side in ("left", "right"))
+            n = last - first
+            after = follow[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum()), 1]
+            new = np.unique(after * nodes + np.repeat(leave, n))
+            todo = np.array([k for k in new.tolist() if k not in runs], np.int64)
+        total, state = np.zeros(len(start), np.int64), space
+        for w, k, c in zip(word.tolist(), nth.tolist(), content.tolist(), strict=True):
+            state, popped = runs[c * nodes + (state if k else space)]
+            total[w] += popped
+            if k + 1 == many[w]:
+                total[w] += self.rest[state]
+        return total
 
     def _run(self, buffer: np.ndarray, start: np.ndarray, length: np.ndarray, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(state, popped pieces) after each run of bytes from the state ``entry``, all runs a byte per step."""
