@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import settled
 from .ranking import diverse_top_k, place
 from .spatial import AXES, neighbours
 from .statistics import exact_quantiles
@@ -15,21 +16,22 @@ def seeds(points: DataFrame, group: list[str], key: str, order: list[Column], ra
 
     Walking each group in ``order`` (then by key), a point is kept if it isn't near one kept before. A round
     settles all points whose earlier neighbours are settled, so rounds are as many as the longest chain of
-    points that wait for each other, and only waiting points and their links take part in the next one.
+    points that wait for each other, and only waiting points and their links take part in the next one. Keys
+    may recur between groups.
     """
-    rows = points.withColumn("_o", F.struct(*[c.alias(f"_{i}") for i, c in enumerate(order)], F.col(key).alias("_k")))
-    links = neighbours(rows, group, "_o", radius, strict).select("a", "b").checkpoint()
+    rows = points.withColumn("_o", F.struct(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], *[c.alias(f"_{i}") for i, c in enumerate(order)], F.col(key).alias("_k")))
+    links = neighbours(rows, group, "_o", radius, strict).select("a", "b").transform(settled)
     waiting = rows.select("_o")
     kept, left = None, links
     while True:
         ahead = left.select(F.col("b").alias("_o")).distinct()
-        free = waiting.join(ahead, "_o", "left_anti").checkpoint()
+        free = waiting.join(ahead, "_o", "left_anti").transform(settled)
         if not free.take(1):
             break
         kept = free if kept is None else kept.unionByName(free)
-        near = left.join(free, left.a == free._o, "left_semi").select(F.col("b").alias("_o")).distinct().checkpoint()
-        waiting = waiting.join(free, "_o", "left_anti").join(near, "_o", "left_anti").checkpoint()
-        left = left.join(waiting, left.a == waiting._o, "left_semi").join(waiting, left.b == waiting._o, "left_semi").checkpoint()
+        near = left.join(free, left.a == free._o, "left_semi").select(F.col("b").alias("_o")).distinct().transform(settled)
+        waiting = waiting.join(free, "_o", "left_anti").join(near, "_o", "left_anti").transform(settled)
+        left = left.join(waiting, left.a == waiting._o, "left_semi").join(waiting, left.b == waiting._o, "left_semi").transform(settled)
     if kept is None:
         return points.withColumn("seed", F.col(key))
     first = links.join(kept, links.a == kept._o, "left_semi").groupBy("b").agg(F.min("a").alias("_first"))

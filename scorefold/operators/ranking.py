@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .lineage import settled
+
 
 def place(group: list[str], *order: Column) -> Column:
     return F.row_number().over(Window.partitionBy(*group).orderBy(*order))
@@ -41,31 +43,31 @@ def average_ranks(df: DataFrame, group: list[str], score: str, out: str) -> Data
     return df.withColumn(out, F.rank().over(Window.partitionBy(*group).orderBy(F.desc(score))) + (ties - 1) / 2)
 
 
-def diverse_top_k(df: DataFrame, group: list[str], score: str, vector: str, key: str, k: int = 5, distance: float = 2.0) -> DataFrame:
-    """Greedy selection per group: best first, each at least ``distance`` from all chosen before.
+def diverse_top_k(df: DataFrame, group: list[str], score: str, vector: str, key: str, k: int = 5, distance: float = 2.0, copies_apart: bool = False) -> DataFrame:
+    """Greedy selection per group: best first, each at least ``distance`` from all chosen before (or at 0, where copies count as apart).
 
     A round chooses the best row left in each group and drops the rows too close to it, so no group
     is walked in one task. The first of a group is chosen with any vector; later ones need a whole one.
     """
     order = F.struct(~F.isnan(F.col(score).cast("double")), -F.col(score), F.col(key))
-    left = df.where(F.col(score).isNotNull()).select(*group, key, score, vector).checkpoint()
+    left = df.where(F.col(score).isNotNull()).select(*group, key, score, vector).transform(settled)
     squares = F.zip_with(F.col(vector), F.col("_best")[vector], lambda a, b: (a.cast("double") - b) * (a.cast("double") - b))
     apart = F.sqrt(F.aggregate(squares, F.lit(0.0), lambda total, x: total + x))
     whole = lambda v: F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x.cast("double"))), F.lit(False))
-    far = ~whole(F.col("_best")[vector]) | ((apart >= distance) & ~F.isnan(apart))
+    far = ~whole(F.col("_best")[vector]) | ((apart >= distance) & ~F.isnan(apart)) | (F.lit(copies_apart) & (apart == 0))
     same = F.lit(True)
     for g in group:
         same = same & F.col(g).eqNullSafe(F.col(f"_{g}"))
     chosen = []
     for rank in range(1, max(k, 1) + 1):
-        best = left.groupBy(*group).agg(F.min_by(F.struct(key, score, vector), order).alias("_best")).checkpoint()
+        best = left.groupBy(*group).agg(F.min_by(F.struct(key, score, vector), order).alias("_best")).transform(settled)
         chosen.append(best.select(*group, F.col("_best")[key].alias(key), F.col("_best")[score].alias(score), F.lit(rank).alias("rank")))
         if rank >= k or not best.take(1):
             break
         # one row per group; the chosen row itself goes, even where the distance is zero
         near = best.withColumnsRenamed({g: f"_{g}" for g in group})
         itself = F.col(key).eqNullSafe(F.col("_best")[key])
-        left = left.join(near, same).where(whole(F.col(vector)) & far & ~itself).select(left.columns).checkpoint()
+        left = left.join(near, same).where(whole(F.col(vector)) & far & ~itself).select(left.columns).transform(settled)
     found = chosen[0]
     for more in chosen[1:]:
         found = found.unionByName(more)

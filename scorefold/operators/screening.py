@@ -16,11 +16,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .lineage import settled
+
 
 def running(df: DataFrame, score: str, sums: list[str], key: list[str]) -> DataFrame:
     """Adds ``<s>_before``, the sum over all rows that come earlier by (score descending, key)."""
     order = [F.desc(score), *map(F.asc, key)]
-    parted = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).checkpoint()
+    parted = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).transform(settled)
     totals = parted.groupBy("_part").agg(*[F.sum(s).alias(f"_{s}") for s in sums])  # a row for each shuffle partition
     above = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select("_part", *[F.coalesce(F.sum(f"_{s}").over(above), F.lit(0)).alias(f"_{s}") for s in sums])

@@ -6,10 +6,19 @@ adjoining cells only, an equi-join on (group, cell), never a cross join.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.window import Window
+
+from .lineage import settled
 
 AXES = ("x", "y", "z")
+#: So many links at most are joined by one task.
+SMALL = 100_000
 
 
 def neighbours(points: DataFrame, group: list[str], key: str, radius: float, strict: bool = False) -> DataFrame:
@@ -25,24 +34,95 @@ def neighbours(points: DataFrame, group: list[str], key: str, radius: float, str
 
 
 def components(ids: DataFrame, links: DataFrame) -> DataFrame:
-    """(id, label): the smallest id that links lead to; minimum labels with pointer jumping, checkpointed each round."""
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
+    """(id, label): the smallest id that links (a, b) lead to.
+
+    In a round every node goes to its least neighbour, if that is less than itself, and on to where that one goes;
+    links are drawn anew between what is left, so they become fewer. The least id of a component never moves. Once
+    at most SMALL links are left, one task settles them.
+    """
+    left, moves = links.select("a", "b").where("a != b").distinct().transform(settled), []
+    while left.count() > SMALL:
+        both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        to = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("to")).transform(settled)
+        on = to.join(to.toDF("to", "further"), "to").select("node", F.col("further").alias("to")).transform(settled)
+        moves.append(on)
+        moved = left.join(on.toDF("a", "_a"), "a").join(on.toDF("b", "_b"), "b").where("_a != _b")
+        left = moved.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct().transform(settled)
+    moves.append(left.coalesce(1).mapInArrow(_joined(to_arrow_schema(left.schema)), left.schema).toDF("node", "to"))
     labels = ids.select("id", F.col("id").alias("label"))
+    for to in moves:
+        labels = labels.join(to.toDF("label", "_to"), "label", "left").select("id", F.coalesce("_to", "label").alias("label"))
+    return labels.transform(settled)
+
+
+def in_order(value: object) -> tuple:
+    """A key that orders a value of a column as Spark does: NULL first, structs by their fields."""
+    if value is None:
+        return (False,)
+    return (True, tuple(map(in_order, value.values())) if isinstance(value, dict) else value)
+
+
+def _joined(schema: pa.Schema):
+    """(node, least node of its component) of at most SMALL links."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up, value = {}, {}
+
+        def root(x: tuple) -> tuple:
+            while up[x] != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        for batch in batches:
+            for link in batch.to_pylist():
+                ends = []
+                for v in link.values():
+                    k = in_order(v)
+                    value[k] = v
+                    ends.append(root(up.setdefault(k, k) and k))
+                up[max(ends)] = min(ends)
+        a, b = schema.names
+        yield pa.RecordBatch.from_pylist([{a: value[k], b: value[root(k)]} for k in up], schema)
+
+    return run
+
+
+def parts(points: DataFrame, group: list[str], edge: float, out: str = "_part") -> DataFrame:
+    """Adds a part such that points of different parts of a group lie more than ``edge`` apart along some axis.
+
+    Cells as wide as ``edge`` are cut wherever an axis has an empty cell between two occupied ones, again within each
+    part until nothing more comes apart. Only distinct cells of an axis are ordered, as many as its extent has.
+    """
+    cells = points.withColumns({out: F.lit(""), **{f"_c{a}": F.floor(F.col(a) / edge) for a in AXES}}).transform(settled)
+    before = 0
     while True:
-        near = both.join(labels, both.a == labels.id).groupBy("b").agg(F.min("label").alias("near"))
-        lower = labels.join(near, F.col("id") == F.col("b"), "left").select("id", "label", F.least("label", F.coalesce("near", "label")).alias("new")).checkpoint()
-        jump = lower.select(F.col("id").alias("new"), F.col("new").alias("further"))
-        step = lower.join(jump, "new").select("id", F.col("label").alias("old"), F.least("new", "further").alias("label")).checkpoint()
-        labels = step.select("id", "label")
-        if not step.where("label != old").take(1):
-            return labels
+        at = Window.partitionBy(*group, out).orderBy("_c")
+        runs = cells
+        for a in AXES:
+            seen = cells.select(*group, out, F.col(f"_c{a}").alias("_c")).distinct()
+            gap = F.coalesce((F.col("_c") - F.lag("_c").over(at) > 1).cast("int"), F.lit(0))
+            numbered = seen.withColumn("_gap", gap).withColumn(f"_r{a}", F.sum("_gap").over(at)).drop("_gap")
+            same = [runs[c].eqNullSafe(numbered[c]) for c in (*group, out)]
+            keep = [runs[c] for c in runs.columns]
+            runs = runs.join(numbered, [*same, runs[f"_c{a}"].eqNullSafe(numbered["_c"])]).select(*keep, f"_r{a}")
+        cells = runs.withColumn(out, F.concat_ws(".", out, *[f"_r{a}" for a in AXES])).select(*cells.columns).transform(settled)
+        after = cells.select(*group, out).distinct().count()
+        if after == before:
+            return cells.drop(*[f"_c{a}" for a in AXES])
+        before = after
+
+
+def whole_key(group: list[str], key: str) -> Column:
+    """Tells points apart where keys recur between groups; points of a group are ordered by key."""
+    return F.struct(*[F.col(g) for g in group], F.col(key).alias("_key"))
 
 
 def single_link(points: DataFrame, group: list[str], key: str, radius: float, strict: bool = False) -> DataFrame:
-    """Every point with the cluster it is in, named by its smallest key."""
-    ids = points.select(F.col(key).alias("id"))
-    labels = components(ids, neighbours(points, group, key, radius, strict)).select(F.col("id").alias(key), F.col("label").alias("cluster"))
-    return points.join(labels, key)
+    """Every point with the cluster it is in, named by its smallest key; keys may recur between groups."""
+    marked = points.withColumn("_id", whole_key(group, key))
+    labels = components(marked.select(F.col("_id").alias("id")), neighbours(marked, group, "_id", radius, strict)).toDF("_id", "_label")
+    return marked.join(labels, "_id").select(*points.columns, F.col("_label._key").alias("cluster"))
 
 
 def cluster_summary(clustered: DataFrame, group: list[str], weight: str) -> DataFrame:
@@ -55,10 +135,10 @@ def cluster_summary(clustered: DataFrame, group: list[str], weight: str) -> Data
 def support(points: DataFrame, group: list[str], key: str, family: str, radius: float) -> DataFrame:
     """Every point's number of neighbours of other families."""
     pairs = neighbours(points, group, key, radius, strict=True)
-    kinds = points.select(F.col(key).alias("_k"), F.col(family).alias("_f"))
-    known = pairs.join(kinds.toDF("a", "fa"), "a").join(kinds.toDF("b", "fb"), "b").where("fa != fb")
-    counted = known.select(F.explode(F.array("a", "b")).alias(key)).groupBy(key).agg(F.count(F.lit(1)).alias("support"))
-    return points.select(*group, key).join(counted, key, "left").withColumn("support", F.coalesce("support", F.lit(0)))
+    kinds = points.select(*group, F.col(key).alias("_k"), F.col(family).alias("_f"))
+    known = pairs.join(kinds.toDF(*group, "a", "fa"), [*group, "a"]).join(kinds.toDF(*group, "b", "fb"), [*group, "b"]).where("fa != fb")
+    counted = known.select(*group, F.explode(F.array("a", "b")).alias(key)).groupBy(*group, key).agg(F.count(F.lit(1)).alias("support"))
+    return points.select(*group, key).join(counted, [*group, key], "left").withColumn("support", F.coalesce("support", F.lit(0)))
 
 
 def density_mode(points: DataFrame, group: list[str], key: str, radius: float) -> DataFrame:
@@ -68,7 +148,7 @@ def density_mode(points: DataFrame, group: list[str], key: str, radius: float) -
     ends = ends.unionByName(points.select(*group, key, F.col(key).alias("n")))
     counted = ends.groupBy(*group, key).agg(F.count(F.lit(1)).alias("neighbours"))
     best = counted.groupBy(*group).agg(F.max_by(key, F.struct("neighbours", -F.col(key))).alias(key), F.max("neighbours").alias("neighbours"))
-    around = ends.join(best, [*group, key]).join(points.select(F.col(key).alias("n"), *AXES), "n")
+    around = ends.join(best, [*group, key]).join(points.select(*group, F.col(key).alias("n"), *AXES), [*group, "n"])
     return around.groupBy(*group, key, "neighbours").agg(*[F.round(F.avg(c), 6).alias(f"mean_{c}") for c in AXES])
 
 

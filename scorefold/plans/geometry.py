@@ -68,7 +68,7 @@ e AS (SELECT * FROM t WHERE pl <= 20), {_walk('< 0.06', 'score + CASE WHEN famil
 SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY i) AS rank FROM w WHERE took
 UNION ALL SELECT * FROM (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY tie DESC NULLS LAST, vec_id) AS rank FROM p WHERE label = 3 AND tie IS NOT NULL) WHERE rank <= 4"""
 )
-def cascaded_selection(spark: SparkSession, d: str) -> DataFrame:
+def cascaded_diverse_selection(spark: SparkSession, d: str) -> DataFrame:
     """Label 3 has no score and falls back on its ties."""
     score = F.when((F.col("label") != 3) & (F.col("vec_id") % 11 != 0), (F.col("vec_id") * 37 % 101).cast("double") / 100)
     rows = _points(spark, d).withColumns({"score": score, "tie": F.nullif(F.col("weight"), F.lit(1.0)), "point": F.array(*spatial.AXES)})

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vectors
-from ..operators import poses, ranking, spatial
+from ..operators import contacts, poses, ranking, spatial
 from ..sources.tables import table
 from .catalogue import _POINTS, KEY, RADIUS, _points
 from .registry import query
@@ -154,14 +154,14 @@ def per_ligand_selection(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH s AS (SELECT p_brand, p_type, sum(p_size) AS evidence, count(*) AS entries FROM part WHERE p_partkey % 7 < 3 GROUP BY p_brand, p_type),
+    """WITH s AS (SELECT p_brand, p_type, sum(p_size) AS evidence, count(*) AS entries FROM part GROUP BY p_brand, p_type),
 w AS (SELECT *, evidence / sum(evidence) OVER (PARTITION BY p_brand) AS share, row_number() OVER (PARTITION BY p_brand ORDER BY evidence DESC, p_type) AS pl FROM s),
 g AS (SELECT *, share >= 0.2 AND entries >= 2 AS good FROM w), h AS (SELECT *, bool_or(good) OVER (PARTITION BY p_brand) AS any_good FROM g),
 m AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY evidence DESC, p_type) AS rank FROM h WHERE good OR (NOT any_good AND pl = 1 AND share >= 0.3 AND entries >= 3))
 SELECT p_brand, p_type, evidence, entries, rank, round(1 + share, 3) AS weight FROM m WHERE rank <= 2"""
 )
 def site_shares(spark: SparkSession, d: str) -> DataFrame:
-    sites = table(spark, d, "part").where("p_partkey % 7 < 3").groupBy("p_brand", "p_type").agg(F.sum("p_size").alias("evidence"), F.count(F.lit(1)).alias("entries"))
+    sites = table(spark, d, "part").groupBy("p_brand", "p_type").agg(F.sum("p_size").alias("evidence"), F.count(F.lit(1)).alias("entries"))
     return poses.sites_by_share(sites, "p_brand", "evidence", "entries", "p_type")
 
 
@@ -195,7 +195,7 @@ def box_priority(spark: SparkSession, d: str) -> DataFrame:
     return found.select("l_partkey", "l_returnflag", "l_discount")
 
 
-@query("SELECT o_custkey, arg_max(o_orderkey, o_totalprice * 1000000 - o_orderkey / 1000000000) AS best, max(o_totalprice) AS price FROM orders GROUP BY o_custkey")
+@query("SELECT o_custkey, o_orderkey AS best, o_totalprice AS price FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS pl FROM orders) WHERE pl = 1")
 def best_models(spark: SparkSession, d: str) -> DataFrame:
     best = F.max_by("o_orderkey", F.struct("o_totalprice", -F.col("o_orderkey")))
     return table(spark, d, "orders").groupBy("o_custkey").agg(best.alias("best"), F.max("o_totalprice").alias("price"))
@@ -207,8 +207,5 @@ SELECT a.label, a.vec_id, round(sqrt(min((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (
 )
 def nearest_instance(spark: SparkSession, d: str) -> DataFrame:
     rows = _points(spark, d)
-    # the instances of a target are few
-    native = rows.where("vec_id % 10 = 0").select("label", *[F.col(a).alias(f"{a}2") for a in spatial.AXES])
-    square = sum((F.pow(F.col(a) - F.col(f"{a}2"), F.lit(2)) for a in spatial.AXES[1:]), F.pow(F.col("x") - F.col("x2"), F.lit(2)))
-    joined = rows.where("vec_id % 2 = 1").join(native, "label")
-    return joined.groupBy("label", "vec_id").agg(F.round(F.sqrt(F.min(square)), 6).alias("distance"))
+    found = contacts.nearest(rows.where("vec_id % 2 = 1"), rows.where("vec_id % 10 = 0"), ["label"], "vec_id", RADIUS)
+    return found.select("label", F.col("a").alias("vec_id"), F.round("distance", 6).alias("distance"))
