@@ -102,10 +102,12 @@ def parts(points: DataFrame, group: list[str], edge: float, out: str = "_part")
         for a in AXES:
             seen = cells.select(*group, out, F.col(f"_c{a}").alias("_c")).distinct()
             gap = F.coalesce((F.col("_c") - F.lag("_c").over(at) > 1).cast("int"), F.lit(0))
-            numbered = seen.withColumn("_gap", gap).withColumn(f"_r{a}", F.sum("_gap").over(at)).drop("_gap")
-            same = [runs[c].eqNullSafe(numbered[c]) for c in (*group, out)]
-            keep = [runs[c] for c in runs.columns]
-            runs = runs.join(numbered, [*same, runs[f"_c{a}"].eqNullSafe(numbered["_c"])]).select(*keep, f"_r{a}")
+            numbered = seen.withColumn("_gap", gap).withColumn(f"_r{a}", F.sum("_gap").over(at))
+            numbered = numbered.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate((*group, out, "_c"))], f"_r{a}")
+            same = F.lit(True)
+            for i, c in enumerate((*group, out, f"_c{a}")):
+                same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+            runs = runs.join(numbered, same).drop(*[f"_k{i}" for i in range(len(group) + 2)])
         cells = runs.withColumn(out, F.concat_ws(".", out, *[f"_r{a}" for a in AXES])).select(*cells.columns).transform(settled)
         after = cells.select(*group, out).distinct().count()
         if after == before:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import anchored, contacts, forest, ranking, spatial
+from ..operators import anchored, contacts, forest, ranking, running, spatial
 from .catalogue import _POINTS, RADIUS, _points
 from .registry import query
 
@@ -89,3 +89,34 @@ def local_clashes(spark: SparkSession, d: str) -> DataFrame:
     rows = _points(spark, d).withColumn("pose", F.floor(F.col("vec_id") / 80))
     rows = rows.withColumn("atom", ranking.place(["label", "pose"], F.asc("vec_id")))
     return contacts.clashing(rows.where("vec_id % 2 = 1"), rows.where("vec_id % 2 = 0"), ["label"], "pose", "atom", 0.2, 2)
+
+
+@query(None)
+def running_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Centres move as points join in order: held against a plain loop in the tests."""
+    return running.populated(running.first_match(_points(spark, d), ["label"], [F.asc("vec_id")], 0.1), ["label"], "family")
+
+
+_KINDS = ("HOH", "MG", "K", "NA")
+
+
+def _solvent(spark: SparkSession, d: str) -> DataFrame:
+    """Points thirty times as far apart, each an atom of one of four kinds from one of seven donors."""
+    rows = _points(spark, d).withColumns({a: F.col(a) * 30 for a in spatial.AXES})
+    kind = F.element_at(F.array(*map(F.lit, _KINDS)), (F.col("vec_id") * 7 % 13 % 4 + 1).cast("int"))
+    return rows.select("label", "vec_id", *spatial.AXES, kind.alias("kind"), (F.col("vec_id") % 7).alias("donor"))
+
+
+@query(None)
+def solvent_sites(spark: SparkSession, d: str) -> DataFrame:
+    """Nearest sites, then merges until all contacts are kept: held against a plain loop in the tests."""
+    matched = running.nearest_site(_solvent(spark, d), ["label"], "kind", [F.asc("donor"), F.asc("vec_id")])
+    found = running.repaired(running.sites_of(matched, ["label"], "kind", "donor"), ["label"])
+    return found.select("label", "site", *[F.round(a, 6).alias(a) for a in spatial.AXES], "n", "kind", F.size("donors").alias("support"))
+
+
+@query(None)
+def pooled_sites(spark: SparkSession, d: str) -> DataFrame:
+    """Sites of two donors or more: held against a plain loop in the tests."""
+    found = running.pooled(_solvent(spark, d), ["label"], "kind", "donor", [F.asc("vec_id")], 1.5, 2)
+    return found.select("label", "site", "kind", "support", *[F.round(a, 6).alias(a) for a in spatial.AXES])
