@@ -84,3 +84,21 @@ def chunk(df: DataFrame, group: list[str], order: list[str], chunks: int, stride
     """Adds the row's chunk (its place modulo ``chunks``) and whether it's one of every ``stride``-th."""
     at = place(group, *map(F.asc, order)) - 1
     return df.withColumns({"chunk": (at % chunks).cast("int"), "strided": at % stride == 0})
+
+
+def canonical_names(names: DataFrame, staged: DataFrame, name: str, stem: str) -> DataFrame:
+    """Adds ``canonical``: the longest prefix of whole tokens that is staged, with the number that follows it.
+
+    Tokens are parted by underscores. A name that is staged itself, or none of whose prefixes is, stays as it is;
+    after a shorter prefix the next token is kept if it is a number, else 0 stands for it. Prefixes meet the
+    staged names in one join, so neither side has to be small.
+    """
+    tokens = F.split(name, "_")
+    known = staged.select(F.col(stem).alias("_prefix")).distinct()
+    numbered = names.select(name).distinct().withColumn("_at", F.explode(F.sequence(F.lit(1), F.size(tokens))))
+    hits = numbered.withColumn("_prefix", F.array_join(F.slice(tokens, F.lit(1), F.col("_at")), "_")).join(known, "_prefix")
+    longest = hits.groupBy(name).agg(F.max("_at").alias("_at"))
+    following = F.get(tokens, F.col("_at"))
+    number = F.when(following.rlike("^[0-9]+$"), following).otherwise("0")
+    short = F.concat_ws("_", F.array_join(F.slice(tokens, F.lit(1), F.col("_at")), "_"), number)
+    return names.join(longest, name, "left").withColumn("canonical", F.when(F.col("_at") < F.size(tokens), short).otherwise(F.col(name))).drop("_at")

@@ -232,11 +232,48 @@ def pooled(points: DataFrame, group: list[str], kind: str, donor: str, order: li
     close = neighbours(ranked, group, "site", max([*CONTACTS.values(), OTHER]) + margin, strict=True)
     close = close.join(kinds.toDF(*group, "a", "ka"), [*group, "a"]).join(kinds.toDF(*group, "b", "kb"), [*group, "b"])
     left = close.where(F.col("distance") < floor_of(F.col("ka"), F.col("kb")) + margin).select(*group, "a", "b").transform(settled)
+    return _without(ranked, _dropped(left, group), group)
+
+
+def _dropped(left: DataFrame, group: list[str]) -> DataFrame | None:
+    """Sites that a walk in order drops: those with a link (a, b) from a kept earlier one; all links of settled sites go each round."""
     dropped = None
     while left.take(1):
         ahead = left.select(*group, F.col("b").alias("a")).distinct()
         lost = left.join(ahead, [*group, "a"], "left_anti").select(*group, F.col("b").alias("site")).distinct().transform(settled)
         dropped = lost if dropped is None else dropped.unionByName(lost)
-        gone = lambda c: lost.withColumnRenamed("site", c)  # noqa: B023, E731
-        left = left.join(gone("a"), [*group, "a"], "left_anti").join(gone("b"), [*group, "b"], "left_anti").transform(settled)
-    return ranked if dropped is None else ranked.join(dropped, [*group, "site"], "left_anti")
+        gone = [lost.withColumnRenamed("site", c) for c in "ab"]
+        left = left.join(gone[0], [*group, "a"], "left_anti").join(gone[1], [*group, "b"], "left_anti").transform(settled)
+    return dropped
+
+
+def _without(sites: DataFrame, gone: DataFrame | None, group: list[str]) -> DataFrame:
+    return sites if gone is None else sites.join(gone.select(*group, "site"), [*group, "site"], "left_anti")
+
+
+def budget(sites: DataFrame, group: list[str], order: list[Column], kind: str, core: Column, count: int, spacing: float = 3.5, margin: float = 0.005) -> DataFrame:
+    """``count`` sites of each group that keep their contacts, as far as it has so many: group, site, pass and the columns of ``sites``.
+
+    Three walks in order: core sites at least ``spacing`` from all kept before, core sites without that, other sites. A
+    walk ends with the budget. Which sites a walk keeps doesn't depend on later ones, so each keeps all that it can
+    in rounds and its first ones up to the budget stay. ``order`` must be total.
+    """
+    ranked = sites.withColumns({"site": place(group, *order), "_core": F.coalesce(core, F.lit(False))}).transform(settled)
+    kinds = ranked.select(*group, "site", kind, "_core")
+    close = neighbours(ranked, group, "site", max([*CONTACTS.values(), OTHER, spacing]) + margin, strict=True)
+    close = close.join(kinds.toDF(*group, "a", "ka", "ca"), [*group, "a"]).join(kinds.toDF(*group, "b", "kb", "cb"), [*group, "b"])
+    floor = floor_of(F.col("ka"), F.col("kb")) + margin
+    close = close.select(*group, "a", "b", "ca", "cb", (F.col("distance") < floor).alias("touch"), (F.col("distance") < spacing).alias("near")).transform(settled)
+    both = close.select(*group, F.col("a").alias("site"), F.col("b").alias("other"), "touch", "near").unionByName(close.select(*group, F.col("b").alias("site"), F.col("a").alias("other"), "touch", "near"))
+    kept = ranked.where("false").select(*group, "site", F.lit(0).alias("pass"))
+    for number, (inner, spaced) in enumerate(((True, True), (True, False), (False, False)), 1):
+        bad = (F.col("touch") | F.col("near")) if spaced else F.col("touch")
+        blocked = both.where(bad).join(kept.select(*group, F.col("site").alias("other")), [*group, "other"], "left_semi").select(*group, "site").distinct()
+        free = _without(_without(ranked.where(F.col("_core") == inner).select(*group, "site"), kept, group), blocked, group).transform(settled)
+        links = close.where(bad & (F.col("ca") == inner) & (F.col("cb") == inner)).select(*group, "a", "b")
+        links = links.join(free.withColumnRenamed("site", "a"), [*group, "a"], "left_semi").join(free.withColumnRenamed("site", "b"), [*group, "b"], "left_semi")
+        walked = _without(free, _dropped(links.transform(settled), group), group)
+        have = kept.groupBy(*group).agg(F.count(F.lit(1)).alias("_have"))
+        placed = walked.join(have, group, "left").withColumn("_at", place(group, F.asc("site")) + F.coalesce("_have", F.lit(0)))
+        kept = kept.unionByName(placed.where(F.col("_at") <= count).select(*group, "site", F.lit(number).alias("pass"))).transform(settled)
+    return ranked.drop("_core").join(kept, [*group, "site"])

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +41,50 @@ def superposed_rmsd(pairs: DataFrame, group: list[str], p: list[str], q: list[st
     return sums.select(*group, "n", F.round(root(F.col("power") - 2 * fit), 6).alias("rmsd"))
 
 
+FRAME = [f"r{i}{j}" for i in range(3) for j in range(3)] + [f"t{i}" for i in range(3)]
+
+
+def frames(pairs: DataFrame, group: list[str], p: list[str], q: list[str]) -> DataFrame:
+    """group, n and the best rigid motion q = r p + t of paired points: rotation r00 to r22, shift t0 to t2.
+
+    The rotation is the quaternion of the largest eigenvalue of a symmetric 4 x 4 matrix of the covariances, so it
+    never mirrors. One aggregation gives the matrix; eigenvectors are taken for a batch of groups at a time. Points on
+    a line or in one place have several best rotations, of which one is given; pairs with a NULL take no part.
+    """
+    whole = pairs.where(" AND ".join(f"{c} IS NOT NULL" for c in [*p, *q]))
+    parts = {f"h{i}{j}": F.covar_pop(a, b) for i, a in enumerate(p) for j, b in enumerate(q)}
+    means = {f"m{side}{i}": F.avg(c) for side, axes in (("p", p), ("q", q)) for i, c in enumerate(axes)}
+    sums = whole.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in (parts | means).items()])
+    matrix = list(parts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = lambda c: batch.column(c).to_numpy(zero_copy_only=False)  # noqa: B023, E731
+            h = np.stack([column(k) for k in matrix], -1).reshape(-1, 3, 3)
+            m = [np.stack([column(f"m{side}{i}") for i in range(3)], -1) for side in "pq"]
+            turned = h - h.transpose(0, 2, 1)
+            k = np.empty((len(h), 4, 4))
+            k[:, 0, 0] = np.trace(h, axis1=1, axis2=2)
+            k[:, 0, 1:] = k[:, 1:, 0] = np.stack([turned[:, 1, 2], turned[:, 2, 0], turned[:, 0, 1]], -1)
+            k[:, 1:, 1:] = h + h.transpose(0, 2, 1) - k[:, :1, :1] * np.eye(3)
+            w, x, y, z = np.linalg.eigh(k)[1][:, :, -1].T
+            r = np.stack(
+                [1 - 2 * (y * y + z * z), 2 * (x * y - w * z), 2 * (x * z + w * y), 2 * (x * y + w * z), 1 - 2 * (x * x + z * z), 2 * (y * z - w * x), 2 * (x * z - w * y), 2 * (y * z + w * x), 1 - 2 * (x * x + y * y)], -1
+            )
+            t = m[1] - np.einsum("nij,nj->ni", r.reshape(-1, 3, 3), m[0])
+            columns = [batch.column(c) for c in (*group, "n")] + [pa.array(v) for v in (*r.T, *t.T)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*group, "n", *FRAME])
+
+    kept = sums.select(*group, "n").schema
+    return sums.mapInArrow(run, ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in kept.fields], *[f"{c} double" for c in FRAME]]))
+
+
+def moved(points: DataFrame, motions: DataFrame, group: list[str], axes: list[str]) -> DataFrame:
+    """Points of the groups that have a motion, moved by it."""
+    shift = lambda i: sum((F.col(f"r{i}{j}") * F.col(axes[j]) for j in range(3)), F.col(f"t{i}"))
+    return points.join(motions.select(*group, *FRAME), group).select(*[shift(axes.index(c)).alias(c) if c in axes else c for c in points.columns])
+
+
 def positional_rmsd(predicted: DataFrame, reference: DataFrame, group: list[str], residue: list[str], order: list[Column], axes: list[str]) -> DataFrame:
     """group, n, rmsd of atoms with the same residue, the first in order of each side; rmsd is NULL where none is shared."""
     first = lambda side: side.withColumn("_at", place([*group, *residue], *order)).where("_at = 1")

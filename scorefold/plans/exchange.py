@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import anchored, contacts, forest, ranking, running, spatial
+from ..operators import anchored, assembly, contacts, forest, lineage, ranking, running, spatial, spread, superposition
+from ..sources.tables import table
+from . import geometry  # noqa: F401  registers the SQL that superposed_frames is held against
 from .catalogue import _POINTS, RADIUS, _points
-from .registry import query
+from .registry import ORACLE_SQL, query
 
 
 def _poses(spark: SparkSession, d: str) -> DataFrame:
@@ -120,3 +122,80 @@ def pooled_sites(spark: SparkSession, d: str) -> DataFrame:
     """Sites of two donors or more: held against a plain loop in the tests."""
     found = running.pooled(_solvent(spark, d), ["label"], "kind", "donor", [F.asc("vec_id")], 1.5, 2)
     return found.select("label", "site", "kind", "support", *[F.round(a, 6).alias(a) for a in spatial.AXES])
+
+
+@query(None)
+def solvent_budget(spark: SparkSession, d: str) -> DataFrame:
+    """Exactly nine atoms of each label, core ones well apart first: held against a plain loop in the tests."""
+    found = running.budget(_solvent(spark, d), ["label"], [F.asc("donor"), F.asc("vec_id")], "kind", F.col("vec_id") % 3 > 0, 9, 4.0)
+    return found.select("label", "vec_id", "site", "pass")
+
+
+_FAR = """v AS (SELECT label, vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+p AS (SELECT a.label, a.vec_id AS a, b.vec_id AS b, a.v AS va, b.v AS vb, list_distance(a.v, b.v) AS distance FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id),
+f AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY label ORDER BY distance DESC, a, b) = 1)"""
+
+
+@query(
+    f"""WITH {_FAR}, s AS (SELECT v.label, vec_id, list_distance(v, va) > list_distance(v, vb) AS second, distance FROM v JOIN f USING (label)),
+h AS (SELECT label, arg_min(second, vec_id) AS turned FROM s WHERE vec_id % 7 = 3 GROUP BY label)
+SELECT label, vec_id, CASE WHEN second = coalesce(turned, false) THEN 1 ELSE 2 END AS side, round(distance, 9) AS apart FROM s LEFT JOIN h USING (label)"""
+)
+def two_conformations(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "embeddings").withColumn("primary", F.col("vec_id") % 7 == 3)
+    return spread.split_by_farthest(rows, ["label"], "vec_id", "embedding", "primary").withColumn("apart", F.round("apart", 9))
+
+
+def _picked(k: int) -> str:
+    """One table per pick, each the row farthest from all before."""
+    out = ["s1 AS (SELECT label, vec_id, v FROM m QUALIFY row_number() OVER (PARTITION BY label ORDER BY mean, vec_id) = 1)"]
+    for n in range(2, k + 1):
+        least = ", ".join(f"list_distance(v.v, s{i}.v)" for i in range(1, n))
+        joins = " ".join(f"JOIN s{i} ON s{i}.label = v.label AND s{i}.vec_id <> v.vec_id" for i in range(1, n))
+        out.append(f"s{n} AS (SELECT v.label, v.vec_id, v.v FROM v {joins} QUALIFY row_number() OVER (PARTITION BY v.label ORDER BY least({least}) DESC, v.vec_id) = 1)")
+    return ", ".join(out)
+
+
+@query(
+    f"""WITH {_FAR}, m AS (SELECT a.label, a.vec_id, any_value(a.v) AS v, round(avg(list_distance(a.v, b.v)), 12) AS mean FROM v a JOIN v b ON a.label = b.label GROUP BY a.label, a.vec_id),
+{_picked(4)}, x AS ({" UNION ALL ".join(f"SELECT label, {i} AS rank, vec_id, v FROM s{i}" for i in range(1, 5))})
+SELECT x.label, x.rank, x.vec_id, round(min(list_distance(x.v, y.v)), 9) AS apart FROM x JOIN x y ON x.label = y.label AND x.rank <> y.rank GROUP BY x.label, x.rank, x.vec_id"""
+)
+def spread_templates(spark: SparkSession, d: str) -> DataFrame:
+    found = spread.farthest_points(table(spark, d, "embeddings"), ["label"], "vec_id", "embedding", 4)
+    return found.withColumn("apart", F.round("apart", 9))
+
+
+@query(f"SELECT *, 1.0::DOUBLE AS turn FROM ({ORACLE_SQL['superposed_rmsd']})")
+def superposed_frames(spark: SparkSession, d: str) -> DataFrame:
+    """Points moved by the frames of their label: what is left is the least root mean square distance, and no frame mirrors."""
+    names = [f"{side}{i}" for side in "pq" for i in range(3)]
+    rows = table(spark, d, "embeddings").select("label", *[F.get("embedding", F.lit(i)).cast("double").alias(n) for i, n in enumerate(names)])
+    frames = superposition.frames(rows, ["label"], names[:3], names[3:]).transform(lineage.settled)
+    near = superposition.moved(rows, frames, ["label"], names[:3])
+    square = sum((F.pow(F.col(f"p{i}") - F.col(f"q{i}"), F.lit(2)) for i in range(1, 3)), F.pow(F.col("p0") - F.col("q0"), F.lit(2)))
+    left = near.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.sqrt(F.avg(square)), 6).alias("rmsd"))
+    r = lambda i, j: F.col(f"r{i}{j}")
+    turn = r(0, 0) * (r(1, 1) * r(2, 2) - r(1, 2) * r(2, 1)) - r(0, 1) * (r(1, 0) * r(2, 2) - r(1, 2) * r(2, 0)) + r(0, 2) * (r(1, 0) * r(2, 1) - r(1, 1) * r(2, 0))
+    return left.join(frames.select("label", F.round(turn, 6).alias("turn")), "label")
+
+
+# names of parts, their words joined; of every third part's name all but the last word is staged, of every fortieth all
+_STAGED = """s AS (SELECT DISTINCT array_to_string(string_split(p_name, ' ')[1:-2], '_') AS stem FROM part WHERE p_partkey % 3 = 0 AND p_name LIKE '% %'
+UNION SELECT replace(p_name, ' ', '_') FROM part WHERE p_partkey % 40 = 1)"""
+
+
+@query(
+    f"""WITH {_STAGED}, n AS (SELECT p_partkey, replace(p_name, ' ', '_') || '_' || p_size || '_' || p_partkey % 10 AS name FROM part),
+c AS (SELECT p_partkey, name, stem, substr(name, length(stem) + 2) AS rest FROM n JOIN s ON name = stem OR starts_with(name, stem || '_')),
+b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY length(stem) DESC) = 1)
+SELECT n.p_partkey, n.name, CASE WHEN stem IS NULL OR stem = n.name THEN n.name WHEN regexp_full_match(split_part(rest, '_', 1), '[0-9]+') THEN stem || '_' || split_part(rest, '_', 1) ELSE stem || '_0' END AS canonical
+FROM n LEFT JOIN b USING (p_partkey)"""
+)
+def staged_names(spark: SparkSession, d: str) -> DataFrame:
+    part = table(spark, d, "part")
+    words = F.split("p_name", " ")
+    staged = part.where((F.col("p_partkey") % 3 == 0) & (F.size(words) > 1)).select(F.array_join(F.slice(words, 1, F.size(words) - 1), "_").alias("stem"))
+    staged = staged.unionByName(part.where("p_partkey % 40 = 1").select(F.replace("p_name", F.lit(" "), F.lit("_")).alias("stem")))
+    names = part.select("p_partkey", F.concat_ws("_", F.replace("p_name", F.lit(" "), F.lit("_")), F.col("p_size").cast("string"), (F.col("p_partkey") % 10).cast("string")).alias("name"))
+    return assembly.canonical_names(names, staged, "name", "stem").select("p_partkey", "name", "canonical")
