@@ -148,3 +148,31 @@ def shifted_id(number: Column) -> Column:
 def flag(text: Column) -> Column:
     """true, 1, yes and on are true, whatever their case; anything else is false."""
     return F.coalesce(F.lower(F.trim(text)).isin("true", "1", "yes", "on"), F.lit(False))
+
+
+# Fixed values that reports depend on: labels by the start of a source, and of template sources by what they hold.
+_COFOLD = {f"cofold_{m}_": f"cofold_{m}" for m in ("boltz2x", "boltz2", "protenix", "af3")}
+REPORTS = {
+    "score": (
+        _COFOLD | {f"vina_{m}": f"vina_{m}" for m in ("cofolding", "p2rank", "swinsite")} | {f"autodock_gpu_{m}": f"adg_{m}" for m in ("cofolding", "p2rank", "swinsite")} | {"protenix_dock": "protenix_dock"},
+        {"_lig_align_": "template_lig_align(MCS)", "_vina_": "template_vina", "_adg_": "template_adg"},
+    ),
+    "consensus": (
+        _COFOLD | {"vina_cofolding": "vina_cofold", "vina_p2rank": "vina_p2rank", "vina_swinsite": "vina_swinsite"}
+        | {"autodock_gpu_cofolding": "adg_cofold", "autodock_gpu_p2rank": "adg_p2rank", "autodock_gpu_swinsite": "adg_swinsite"} | {"protenix_dock": "pxdock"},
+        {"_lig_align_": "template_lig_align", "_vina_": "template_vina", "_adg_": "template_adg"},
+    ),
+}
+
+
+def report_label(source: Column, report: str) -> Column:
+    """A source's family as the ``report`` (a key of REPORTS) names it; other sources are their own family."""
+    starts, inside = REPORTS[report]
+    known = [(source.startswith(p), F.lit(f)) for p, f in starts.items()]
+    return first_of([*known, *[(source.contains("template_") & source.contains(p), F.lit(f)) for p, f in inside.items()]], source)
+
+
+def ablation_family(source: Column) -> Column:
+    """The cofolding model, the longest name first, else what stands before the first ``_seed``."""
+    models = [(source.startswith(p[:-1]), F.lit(p[:-1])) for p in _COFOLD]
+    return first_of(models, F.split_part(source, F.lit("_seed"), F.lit(1)))

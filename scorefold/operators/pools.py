@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .ranking import place
+from .screening import running
 
 
 def percent(part: Column, whole: Column) -> Column:
@@ -120,8 +121,8 @@ def tiers(df: DataFrame, value: Column, high: float, middle: float, counted: str
 
 def value_counts(df: DataFrame, value: str) -> DataFrame:
     """How often each value occurs, with its place from the most frequent one on; one row per distinct value."""
-    counted = df.groupBy(value).agg(F.count(F.lit(1)).alias("n"))
-    return counted.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), value)))
+    counted = df.groupBy(value).agg(F.count(F.lit(1)).alias("n"), F.lit(1).alias("_one"))
+    return running(counted, "n", ["_one"], [value]).withColumn("place", (F.col("_one_before") + 1).cast("int")).drop("_one", "_one_before")
 
 
 def headline(targets: DataFrame, cluster: str) -> DataFrame:

@@ -143,17 +143,23 @@ def support(points: DataFrame, group: list[str], key: str, family: str, radius:
     return points.select(*group, key).join(counted, [*group, key], "left").withColumn("support", F.coalesce("support", F.lit(0)))
 
 
-def density_mode(points: DataFrame, group: list[str], key: str, radius: float) -> DataFrame:
-    """Per group the point with most neighbours (itself counted) and the mean of its neighbourhood."""
+def density_mode(points: DataFrame, group: list[str], key: str, radius: float, least: int = 1) -> DataFrame:
+    """Per group the point with most neighbours (itself counted) and the mean of its neighbourhood, where it has ``least`` or more."""
     pairs = neighbours(points, group, key, radius)
     ends = pairs.select(*group, F.col("a").alias(key), F.col("b").alias("n")).unionByName(pairs.select(*group, F.col("b").alias(key), F.col("a").alias("n")))
     ends = ends.unionByName(points.select(*group, key, F.col(key).alias("n")))
     counted = ends.groupBy(*group, key).agg(F.count(F.lit(1)).alias("neighbours"))
-    best = counted.groupBy(*group).agg(F.max_by(key, F.struct("neighbours", -F.col(key))).alias(key), F.max("neighbours").alias("neighbours"))
+    best = counted.groupBy(*group).agg(F.max_by(key, F.struct("neighbours", -F.col(key))).alias(key), F.max("neighbours").alias("neighbours")).where(F.col("neighbours") >= least)
     around = ends.join(best, [*group, key]).join(points.select(*group, F.col(key).alias("n"), *AXES), [*group, "n"])
     return around.groupBy(*group, key, "neighbours").agg(*[F.round(F.avg(c), 6).alias(f"mean_{c}") for c in AXES])
 
 
+def representatives(clustered: DataFrame, group: list[str], key: str, quality: Column) -> DataFrame:
+    """group, cluster, size, key: the row of the least ``quality`` (of equal ones the first key, NULL last) of each cluster."""
+    order = F.struct(quality.isNull(), quality, F.col(key))
+    return clustered.groupBy(*group, "cluster").agg(F.count(F.lit(1)).alias("size"), F.min_by(key, order).alias(key))
+
+
 def voxels(points: DataFrame, group: list[str], edge: float) -> DataFrame:
     """Points per cell of a grid whose cells are centred on multiples of ``edge``; halves go to the even cell."""
     cells = [F.bround(F.col(a) / edge).cast("bigint").alias(f"cell_{a}") for a in AXES]

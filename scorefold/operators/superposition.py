@@ -95,8 +95,8 @@ def positional_rmsd(predicted: DataFrame, reference: DataFrame, group: list[str]
     return predicted.select(*group).distinct().join(found, group, "left").select(*group, F.coalesce("n", F.lit(0)).alias("n"), "rmsd")
 
 
-def best_offset(reference: Column, predicted: Column) -> Column:
-    """offset and matches: the shift of ``reference`` at which most letters equal those of ``predicted``, the first of equal ones; 0 and 0 for none."""
+def best_offset(reference: Column, predicted: Column, least: int = 1) -> Column:
+    """offset and matches: the shift of ``reference`` at which most letters equal those of ``predicted``, the first of equal ones; 0 where fewer than ``least`` match."""
     letters = lambda s, at: F.substr(s, at + 1, F.lit(1))
     places = F.sequence(F.lit(0), F.length(reference) - 1)
 
@@ -108,7 +108,7 @@ def best_offset(reference: Column, predicted: Column) -> Column:
     some = (F.length(reference) > 0) & (F.length(predicted) > 0)
     found = F.when(some, best)
     hit = F.coalesce(found["matches"], F.lit(0))
-    return F.struct(F.when(hit > 0, -found["back"]).otherwise(0).alias("offset"), hit.alias("matches"))
+    return F.struct(F.when((hit > 0) & (hit >= least), -found["back"]).otherwise(0).alias("offset"), hit.alias("matches"))
 
 
 def matched_pairs(a: DataFrame, b: DataFrame, key: list[str], sequence: str, offset: Column) -> DataFrame:

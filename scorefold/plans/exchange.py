@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import anchored, assembly, contacts, forest, lineage, ranking, running, spatial, spread, superposition
+from ..operators import anchored, assembly, contacts, evidence, forest, lineage, ranking, running, spatial, spread, superposition
 from ..sources.tables import table
 from . import geometry  # noqa: F401  registers the SQL that superposed_frames is held against
 from .catalogue import _POINTS, RADIUS, _points
@@ -199,3 +199,34 @@ def staged_names(spark: SparkSession, d: str) -> DataFrame:
     staged = staged.unionByName(part.where("p_partkey % 40 = 1").select(F.replace("p_name", F.lit(" "), F.lit("_")).alias("stem")))
     names = part.select("p_partkey", F.concat_ws("_", F.replace("p_name", F.lit(" "), F.lit("_")), F.col("p_size").cast("string"), (F.col("p_partkey") % 10).cast("string")).alias("name"))
     return assembly.canonical_names(names, staged, "name", "stem").select("p_partkey", "name", "canonical")
+
+
+@query(
+    f"""WITH RECURSIVE {_POINTS}, both_ways AS (SELECT a, b FROM n UNION ALL SELECT b, a FROM n),
+reach(a, b) AS (SELECT vec_id, vec_id FROM e UNION SELECT r.a, w.b FROM reach r JOIN both_ways w ON r.b = w.a), c AS (SELECT a AS vec_id, min(b) AS cluster FROM reach GROUP BY a),
+q AS (SELECT *, CASE WHEN vec_id % 5 > 0 THEN vec_id * 13 % 17 END AS resolution FROM c JOIN e USING (vec_id))
+SELECT label, cluster, (count(*) OVER (PARTITION BY label, cluster)) AS size, vec_id FROM q QUALIFY row_number() OVER (PARTITION BY label, cluster ORDER BY resolution NULLS LAST, vec_id) = 1"""
+)
+def best_resolved(spark: SparkSession, d: str) -> DataFrame:
+    """The member of best resolution of each cluster; every fifth one has none."""
+    clustered = spatial.single_link(_points(spark, d), ["label"], "vec_id", RADIUS)
+    return spatial.representatives(clustered, ["label"], "vec_id", F.when(F.col("vec_id") % 5 > 0, F.col("vec_id") * 13 % 17))
+
+
+@query(
+    """SELECT o_orderkey, count(l_orderkey) AS entries, count(*) FILTER (l_returnflag IN ('R', 'N')) AS kept,
+coalesce(string_agg(CASE WHEN l_returnflag IN ('R', 'N') THEN l_partkey::VARCHAR END, ',' ORDER BY l_linenumber, l_partkey), '') AS parts
+FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey"""
+)
+def typed_entries(spark: SparkSession, d: str) -> DataFrame:
+    """All orders with their entries, of which those of two kinds are kept."""
+    items = table(spark, d, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey")
+    rows = evidence.annotate(table(spark, d, "orders").select("o_orderkey"), items, ["o_orderkey"], ["l_linenumber", "l_partkey", "l_returnflag"], "entries")
+    kept = F.filter("entries", lambda x: x["l_returnflag"].isin("R", "N"))
+    parts = F.array_join(F.transform(kept, lambda x: x["l_partkey"].cast("string")), ",")
+    return rows.select("o_orderkey", F.size("entries").cast("long").alias("entries"), F.size(kept).cast("long").alias("kept"), parts.alias("parts"))
+
+
+@query("SELECT DISTINCT l_partkey, l_linestatus FROM lineitem WHERE l_returnflag = 'R'")
+def distinct_candidates(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").where("l_returnflag = 'R'").select("l_partkey", "l_linestatus").distinct()

@@ -39,8 +39,12 @@ def search_hits(spark: SparkSession, sequence_path: str, structure_path: str) ->
 
 
 def predictions(spark: SparkSession, pattern: str, prefix: str, values: list[str]) -> DataFrame:
-    """Headed tables named ``prefix`` + tool: Name and numeric ``values``; rows with a blank name or a bad number are skipped."""
-    df = spark.read.csv(pattern, sep="\t", header=True)
+    """Headed tables named ``prefix`` + tool: Name and numeric ``values``; rows with a blank name or a bad number are skipped.
+
+    Of a tool's repeated names the last row counts.
+    """
+    df = spark.read.csv(pattern, sep="\t", header=True).withColumn("_at", F.monotonically_increasing_id())
     named = df.withColumn("tool", F.regexp_extract(F.input_file_name(), rf"{prefix}([^/]*?)\.[^./]*$", 1))
     kept = numeric(named, values).where(F.trim("Name") != "")
-    return kept.dropna(subset=values).select("tool", F.trim("Name").alias("name"), *values)
+    rows = kept.dropna(subset=values).groupBy("tool", F.trim("Name").alias("name"))
+    return rows.agg(F.max_by(F.struct(*values), "_at").alias("_v")).select("tool", "name", "_v.*")

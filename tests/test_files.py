@@ -37,3 +37,12 @@ def test_components_and_pockets(spark, write):
     assert [tuple(r) for r in files.components(spark, write(text)).orderBy("id", "nth").collect()] == [("T1", 0, "LIG", "C,C", 2), ("T1", 1, "ZN", "[Zn]", 1)]
     text = "name , center_x, center_y, center_z, score\np1 , 1.0, 2.0, 3.0, 9.5\np2 , 4, 5, 6, \np3 , 7, 8, 9, 1\n"
     assert [tuple(r) for r in files.pockets(spark, write(text), 2).orderBy("rank").collect()] == [(1, 1.0, 2.0, 3.0, 9.5), (2, 4.0, 5.0, 6.0, 0.0)]
+
+
+def test_the_last_of_a_tools_repeated_predictions_counts(spark, tmp_path):
+    from scorefold.sources import tables
+
+    (tmp_path / "ba_vina.tsv").write_text("Name\tpKd\na\t5\nb\tbad\na\t7.5\n \t1\nc\t2\n")
+    (tmp_path / "ba_af3.tsv").write_text("Name\tpKd\na\t1\n")
+    found = tables.predictions(spark, f"{tmp_path}/ba_*.tsv", "ba_", ["pKd"]).collect()
+    assert {tuple(r) for r in found} == {("vina", "a", 7.5), ("vina", "c", 2.0), ("af3", "a", 1.0)}
