@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -15,8 +13,6 @@ from pyspark.sql import functions as F
 #: (64 MB unless set) bounds a batch's bytes as well, so long texts come in small batches.
 ARROW_ROWS = 512
 
-_own_scratch: list[str] = []
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder."""
@@ -26,16 +22,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that all executors share.
 
-    The cluster names that folder in ``spark.checkpoint.dir``. Where it is unset, a temporary folder is
-    made if the session runs on one machine (master ``local``); else this is an error.
+    The cluster names that folder in ``spark.checkpoint.dir``; where it is unset, a folder in the warehouse serves,
+    which driver and executors share as well.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        if not _own_scratch:
-            _own_scratch.append(tempfile.mkdtemp(prefix="scorefold-"))
-        base = f"file://{_own_scratch[0]}"
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_rounds"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

@@ -31,6 +31,8 @@ FIT_ROWS, FIT_BYTES, FIT_WINDOWS = 3000, 65_536, 8000
 WINDOW, WIDTHS, FILTERS, EMBEDDING = 128, (2, 3, 4), 16, 8
 EPOCHS, BATCH, RATE = 5, 64, 0.005
 PLACES = WINDOW - max(WIDTHS) + 1
+#: Shares of a language's rows in which the first ones of the sample are looked for.
+DEALT = 256
 #: Windows that are convolved at once.
 STEP = 64
 
@@ -139,7 +141,11 @@ def sample(docs: DataFrame, seed: int = 7) -> list[tuple[str, str]]:
     order = [F.xxhash64("doc_id", F.lit(seed)), F.col("doc_id")]
     place = F.row_number().over(Window.partitionBy("lang").orderBy(*order))
     each = FIT_ROWS // max(1, names)
-    ids = usable.select("doc_id", "lang").withColumn("_place", place).where(F.col("_place") <= each).select("doc_id", "lang").distinct()
+    # first among the rows of each of DEALT shares of a language, so that no task orders a whole language
+    dealt = usable.select("doc_id", "lang").distinct().withColumn("_share", F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(DEALT)))
+    near = F.row_number().over(Window.partitionBy("lang", "_share").orderBy(*order))
+    dealt = dealt.withColumn("_near", near).where(F.col("_near") <= each)
+    ids = dealt.withColumn("_place", place).where(F.col("_place") <= each).select("doc_id", "lang")
     joined = usable.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi")  # at most FIT_ROWS rows
     rows = joined.orderBy("lang", *order, "text").select("text", "lang").limit(FIT_ROWS).collect()
     return [(r.text, r.lang) for r in rows]

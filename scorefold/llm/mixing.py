@@ -14,8 +14,8 @@ which holds all sources in proportion to their weights, in permuted order.
 
 Defined cases: a null source is a source of its own; null and empty texts have no tokens and stay with
 the first epoch of their source; repeated rows count each; sources without tokens get weight 0 and
-one epoch; an empty table gives an empty result; more than MAX_SOURCES sources are an error, as the weights
-are found on the driver; further columns of the input may have any names.
+one epoch; an empty table gives an empty result; further columns of the input may have any names. Weights are
+found on the driver from the distinct sizes of sources, which are few however many sources there are.
 """
 
 from __future__ import annotations
@@ -30,8 +30,8 @@ from .common import materialise, numbered, table
 
 #: Share of the largest possible entropy that weights are to reach, most epochs of a source, tokens of a block.
 ENTROPY, REPETITION, BLOCK = 0.97, 2.0, 50_000
-#: Most blocks of a source in an epoch, most sources.
-BLOCKS, MAX_SOURCES = 1 << 16, 100_000
+#: Most blocks of a source in an epoch; so many sources are broadcast, more are joined by a shuffle.
+BLOCKS, FEW_SOURCES = 1 << 16, 100_000
 
 
 def tokens(text: Column) -> Column:
@@ -39,14 +39,15 @@ def tokens(text: Column) -> Column:
     return F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, " "))).cast("bigint")
 
 
-def tempered(counts: list[int], exponent: float) -> list[float]:
-    total = sum(counts)
+def tempered(counts: list[int], exponent: float, many: list[int]) -> list[float]:
+    total = sum(c * m for c, m in zip(counts, many, strict=True))
     raw = [(c / total) ** exponent if c else 0.0 for c in counts]
-    return [r / sum(raw) for r in raw]
+    whole = sum(r * m for r, m in zip(raw, many, strict=True))
+    return [r / whole for r in raw]
 
 
-def entropy(weights: list[float]) -> float:
-    return -sum(w * math.log(w) for w in weights if w)
+def entropy(weights: list[float], many: list[int] | None = None) -> float:
+    return -sum(m * w * math.log(w) for w, m in zip(weights, many or [1] * len(weights), strict=True) if w)
 
 
 def bisect(holds, steps: int = 60) -> float:
@@ -60,16 +61,19 @@ def bisect(holds, steps: int = 60) -> float:
     return low
 
 
-def weights(counts: list[int], budget: int | None, target: float = ENTROPY, limit: float = REPETITION) -> tuple[float, list[float], int]:
+def weights(
+    counts: list[int], budget: int | None, target: float = ENTROPY, limit: float = REPETITION, many: list[int] | None = None
+) -> tuple[float, list[float], int]:
     """(exponent, weights, budget): the exponent for the entropy, raised until the repetition limit holds.
 
-    Without a budget it is the one that gives every source at least one epoch, so no document is left out.
+    With ``many`` each count stands for so many sources, and its weight is that of one of them. Without a budget it is the one that gives every source at least one epoch, so no document is left out.
     """
-    full = math.log(max(2, sum(c > 0 for c in counts)))
-    exponent = bisect(lambda e: entropy(tempered(counts, e)) >= target * full)
+    many = many or [1] * len(counts)
+    full = math.log(max(2, sum(m for c, m in zip(counts, many, strict=True) if c)))
+    exponent = bisect(lambda e: entropy(tempered(counts, e, many), many) >= target * full)
 
     def spent(e: float) -> tuple[list[float], int]:
-        w = tempered(counts, e)
+        w = tempered(counts, e, many)
         return w, budget if budget is not None else math.ceil(max(c / x for c, x in zip(counts, w, strict=True) if c))
 
     def repeats(e: float) -> float:
@@ -93,17 +97,20 @@ def mix(
     spark = docs.sparkSession
     names = [F.xxhash64(*by).alias("_name")] if by else []
     rows = materialise(docs.select(*keep, *names, F.col("source").alias("source"), tokens(F.col("text")).alias("n_tokens")), "mix-rows")
-    found = rows.groupBy("source").agg(F.sum("n_tokens").alias("t")).limit(MAX_SOURCES + 1).collect()
-    if len(found) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    if not found:
+    sources = materialise(rows.groupBy("source").agg(F.sum("n_tokens").alias("t")), "mix-sources")
+    number = sources.count()
+    if not number:
         return rows.select("*", *[F.lit(0).cast("bigint").alias(c) for c in ("epoch", "block", "position")], F.lit(0.0).alias("weight"))
-    counts = [r.t for r in found]
-    exponent, shares, budget = weights(counts, budget) if sum(counts) else (1.0, [1 / len(counts)] * len(counts), 0)
-    spend = [(r.source, r.t, w, float(w * budget), min(BLOCKS, max(1, -(-r.t // BLOCK)))) for r, w in zip(found, shares, strict=True)]
-    plan = spark.createDataFrame(spend, "s string, t bigint, weight double, spend double, blocks bigint")
+    # sources of one size have one weight; n sizes take n^2 / 2 tokens at least, so sizes are few whatever the sources
+    found = sources.groupBy("t").count().orderBy("t").collect()
+    counts, many = [r["t"] for r in found], [r["count"] for r in found]
+    exponent, shares, budget = weights(counts, budget, many=many) if sum(counts) else (1.0, [1 / number], 0)
+    spend = [(t, w, float(w * budget), min(BLOCKS, max(1, -(-t // BLOCK)))) for t, w in zip(counts, shares, strict=True)]
+    sizes = spark.createDataFrame(spend, "t bigint, weight double, spend double, blocks bigint")
+    plan = sources.join(F.broadcast(sizes), "t").withColumnRenamed("source", "s")
+    plan = F.broadcast(plan) if number <= FEW_SOURCES else plan
     epochs = F.greatest(F.lit(1), F.ceil(F.col("spend") / F.greatest(F.col("t"), F.lit(1)) - 1e-9)).cast("int")
-    dealt = rows.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("s"))).withColumn("epoch", F.explode(F.sequence(F.lit(0), epochs - 1)))
+    dealt = rows.join(plan, F.col("source").eqNullSafe(F.col("s"))).withColumn("epoch", F.explode(F.sequence(F.lit(0), epochs - 1)))
     dealt = dealt.withColumn("order", F.xxhash64(*(["_name"] if by else keep), "epoch", F.lit(seed))).withColumn("part", F.pmod(F.xxhash64("order", F.lit(1)), F.col("blocks")))
     dealt = materialise(dealt, "mix-dealt")
     # permuted blocks: sums over one row per block, a source has one for each BLOCK tokens and epoch

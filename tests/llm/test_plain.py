@@ -1,15 +1,17 @@
 """Operators against plain versions of their method, and the registered queries on odd rows."""
 
+import hashlib
 import math
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from scorefold.llm import fingerprints, mixing, quality, queries, sharding, toxicity
+from scorefold.llm import fingerprints, language, mixing, quality, queries, sharding, toxicity
 
 
 def prose(seed: int, n: int = 60) -> str:
@@ -75,8 +77,7 @@ def test_one_more_shard_moves_a_limited_share_at_exact_balance(spark):
     df = spark.range(4000).select(F.col("id").alias("doc_id"))
     before, after = ({r.doc_id: r.shard for r in sharding.bounded_ring(df, ["doc_id"], n).collect()} for n in (40, 41))
     moved = sum(before[i] != after[i] for i in before) / len(before)
-    print("moved", moved)
-    assert moved < 0.4
+    assert moved < 0.1  # 1/41 is the least, 0.042 was measured on sf0.1
 
 
 def test_noisy_or_equals_the_plain_product():
@@ -145,3 +146,71 @@ def test_stream_is_whole_epochs_up_to_each_budget(spark):
         for epoch in range(last + 1):
             seen = Counter(x.doc_id for x in own if x.epoch == epoch)
             assert max(seen.values()) == 1 and (epoch == last or set(seen) == ids)
+
+
+def test_sizes_stand_for_sources_and_joins_for_broadcasts(spark, monkeypatch):
+    counts = [5, 5, 5, 90, 90, 1000, 0]
+    one = mixing.weights(counts, 700)
+    many = mixing.weights([0, 5, 90, 1000], 700, many=[1, 3, 2, 1])
+    assert many[0] == pytest.approx(one[0]) and many[2] == one[2]
+    assert [many[1][[0, 5, 90, 1000].index(c)] for c in counts] == pytest.approx(one[1])
+    rows = [(i, " ".join(["w"] * (i % 7)), f"s{i % 40}" if i % 11 else None) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    want = Counter(map(tuple, mixing.mix(df, ["doc_id"], 900).collect()))
+    monkeypatch.setattr(mixing, "FEW_SOURCES", 1)
+    assert Counter(map(tuple, mixing.mix(df, ["doc_id"], 900).collect())) == want
+
+
+def test_whole_queries_equal_plain_values(spark, folder):
+    """What op1, op2 and op8 say of every row, from the rows alone."""
+    path, rows = folder
+    texts = [(r[0], r[1] or "") for r in rows]
+    found = queries.QUERIES["op2_sharding"](spark, path).collect()
+    assert Counter((r.doc_id, r["size"], r.text_crc32, r.law, r.grown_shard) for r in found) == Counter((i, len(t.encode()) + 16, zlib.crc32(t.encode()), "rows", None) for i, t in texts)
+    slots = {}
+    for r in found:
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert set(slots) <= set(range(40)) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    sizes = [len(slots.get(s, [])) for s in range(40)]
+    assert max(sizes) - min(sizes) <= 1
+
+    known = [(i, t) for i, t in texts if i is not None and i not in (5, 7)]  # ids that occur once
+    ordered = sorted({i for i, _ in texts if i is not None}, reverse=True)
+    by = dict(known)
+    one = {r.doc_id: r for r in queries.QUERIES["op1_fingerprints"](spark, path).collect() if r.doc_id in by}
+    prints = {}
+    for i, t in known:
+        assert one[i].n_chars == len(t)
+        assert prints.setdefault(t, one[i].fingerprint) == one[i].fingerprint
+        after = ordered[ordered.index(i) + 1] if ordered.index(i) + 1 < len(ordered) else None
+        if after in by:
+            half = len(t) // 2
+            edited = t[: len(t) - half] + by[after][:half]
+            assert one[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+            assert (one[i].edited_fingerprint == one[i].fingerprint) or edited != t
+            assert one[i].near_next == 1 or t.split() != by[after].split()
+    assert len(set(prints.values())) > 20
+
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    model = language.fit(language.sample(docs))
+
+    def plain(text):
+        if not re.search(r"[^\W\d_]", text):
+            return "und", 0.0
+        data, mass = text.encode(), np.zeros(len(model.languages))
+        for at in range(0, len(data), language.WINDOW):
+            window = np.frombuffer(data[at : at + language.WINDOW].ljust(language.WINDOW, b"\0"), np.uint8)
+            seen = model.embedding[window]
+            hidden = [max(sum(seen[p + j] @ kernel[j][:, f] for j in range(width)) for p in range(language.PLACES)) for width, kernel in zip(language.WIDTHS, model.filters, strict=True) for f in range(language.FILTERS)]
+            z = np.maximum(hidden, 0) @ model.out + model.bias
+            e = np.exp(z - z.max())
+            mass += e / e.sum() * min(language.WINDOW, len(data) - at)
+        return model.languages[int(mass.argmax())], float(mass.max() / mass.sum())
+
+    short = {i: t for i, t in known if len(t) < 600}
+    for r in queries.QUERIES["op8_language"](spark, path).collect():
+        if r.doc_id is not None:
+            assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+        if r.doc_id in short and r.doc_id % 3 == 0:
+            name, score = plain(short[r.doc_id])
+            assert r.score == pytest.approx(score, abs=1e-4) and (r.lang_pred == name or abs(score - 0.5) < 1e-4)
