@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice, permutations
 
 import numpy as np
 import pyarrow as pa
@@ -111,6 +112,83 @@ def best_offset(reference: Column, predicted: Column, least: int = 1) -> Column:
     return F.struct(F.when((hit > 0) & (hit >= least), -found["back"]).otherwise(0).alias("offset"), hit.alias("matches"))
 
 
+def offsets(pairs: DataFrame, key: list[str], reference: str, predicted: str, least: int = 1) -> DataFrame:
+    """key, offset, matches of each pair of strings, as ``best_offset`` gives them.
+
+    Letters are taken apart once and meet where they are equal, so a shift's matches are a count and shifts without any
+    are never looked at; strings of any length are many rows.
+    """
+    letters = lambda c, at: pairs.select(*key, F.posexplode(F.split(c, "")).alias(at, "_letter")).where("_letter != ''")
+    counted = letters(reference, "_i").join(letters(predicted, "_j"), [*key, "_letter"]).groupBy(*key, (F.col("_j") - F.col("_i")).alias("offset")).agg(F.count(F.lit(1)).cast("int").alias("matches"))
+    best = counted.groupBy(*key).agg(F.min(F.struct(-F.col("matches"), F.col("offset"))).alias("m")).select(*key, F.col("m.offset").alias("offset"), (-F.col("m.col1")).alias("matches"))
+    found = pairs.select(*key).join(best, key, "left")
+    return found.select(*key, F.when(F.col("matches") >= least, F.col("offset")).otherwise(0).alias("offset"), F.coalesce("matches", F.lit(0)).alias("matches"))
+
+
+SUMS = ["n", *[f"{s}{i}" for s in "pq" for i in range(3)], *[f"h{i}{j}" for i in range(3) for j in range(3)], "square"]
+#: Assignments of chains that are fitted at once.
+ASSIGNED = 20_000
+
+
+def assemblies(first: DataFrame, second: DataFrame, group: list[str], chain: str, residue: str) -> DataFrame:
+    """group, chains, rmsd: the least root mean square distance of two structures over all assignments of their chains.
+
+    Rows of both sides are residues with x, y, z; chains meet by their shared residues. The fit of an assignment follows
+    from sums over its pairs of chains, so points are added up once for each pair of chains and an assignment is a sum of
+    few numbers. All assignments are tried, in blocks. Groups with other numbers of chains on the two sides, or without
+    a shared residue in any assignment, have a NULL rmsd.
+    """
+    rows = []
+    for side, name in ((first, "p"), (second, "q")):
+        whole = side.where(" AND ".join(f"abs({a}) < double('infinity')" for a in "xyz"))
+        middle = whole.groupBy(*group).agg(*[F.avg(a).alias(f"_{a}") for a in "xyz"])
+        # near the middle, so that sums of squares keep their digits
+        rows.append(whole.join(middle, group).select(*group, F.col(chain).alias(f"c{name}"), F.col(residue).alias("r"), *[(F.col(a) - F.col(f"_{a}")).alias(f"{name}{i}") for i, a in enumerate("xyz")]))
+    chains = [d.groupBy(*group).agg(F.array_sort(F.collect_set(c)).alias(f"all_{c}")) for d, c in zip(rows, ("cp", "cq"), strict=True)]
+    met = rows[0].join(rows[1], [*group, "r"])
+    square = sum((F.col(c) * F.col(c) for c in ("p1", "p2", "q0", "q1", "q2")), F.col("p0") * F.col("p0"))
+    sums = [F.count(F.lit(1)).cast("double").alias("n"), *[F.sum(f"{s}{i}").alias(f"{s}{i}") for s in "pq" for i in range(3)]]
+    sums += [F.sum(F.col(f"p{i}") * F.col(f"q{j}")).alias(f"h{i}{j}") for i in range(3) for j in range(3)] + [F.sum(square).alias("square")]
+    between = met.groupBy(*group, "cp", "cq").agg(*sums)
+    # a row for each pair of chains
+    table = between.groupBy(*group).agg(F.collect_list(F.struct("cp", "cq", F.array(*SUMS).alias("v"))).alias("pairs"))
+    known = chains[0].join(chains[1], group).join(table, group, "left")
+    names = known.select(*group).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                a, b = row["all_cp"], row["all_cq"]
+                best = None
+                if len(a) == len(b):
+                    v = np.zeros((len(a), len(b), len(SUMS)))
+                    for m in row["pairs"] or []:
+                        v[a.index(m["cp"]), b.index(m["cq"])] = m["v"]
+                    tried = permutations(range(len(b)))
+                    while block := list(islice(tried, ASSIGNED)):
+                        value = fitted(v[np.arange(len(a)), np.array(block)].sum(1))
+                        if len(value) and (best is None or value.min() < best):
+                            best = float(value.min())
+                out.append({g: row[g] for g in group} | {"chains": len(a), "rmsd": best})
+            if out:
+                fields = [batch.schema.field(g) for g in group]
+                yield pa.RecordBatch.from_pylist(out, pa.schema([*fields, ("chains", pa.int32()), ("rmsd", pa.float64())]))
+
+    return known.mapInArrow(run, ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in names.fields], "chains int, rmsd double"]))
+
+
+def fitted(sums: np.ndarray) -> np.ndarray:
+    """Least root mean square distances from rows of SUMS; rows without points are left out."""
+    sums = sums[sums[:, 0] > 0]
+    n, p, q = sums[:, :1], sums[:, 1:4], sums[:, 4:7]
+    h = sums[:, 7:16].reshape(-1, 3, 3) - p[:, :, None] * q[:, None, :] / n[:, :, None]
+    power = sums[:, 16] - ((p * p).sum(1) + (q * q).sum(1)) / n[:, 0]
+    single = np.linalg.svd(h, compute_uv=False)
+    single[:, 2] *= np.where(np.linalg.det(h) < 0, -1, 1)
+    return np.sqrt(np.maximum(power - 2 * single.sum(1), 0) / n[:, 0])
+
+
 def matched_pairs(a: DataFrame, b: DataFrame, key: list[str], sequence: str, offset: Column) -> DataFrame:
     """key, i, j, letter: positions of ``a`` and ``b`` (``offset`` further on) whose letters agree; pairs by join on position."""
     letters = lambda d, at: d.select(*key, F.posexplode(F.split(sequence, "")).alias(at, "letter"), *([offset.alias("_by")] if at == "i" else [])).where("letter != ''")

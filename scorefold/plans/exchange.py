@@ -230,3 +230,17 @@ def typed_entries(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT DISTINCT l_partkey, l_linestatus FROM lineitem WHERE l_returnflag = 'R'")
 def distinct_candidates(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").where("l_returnflag = 'R'").select("l_partkey", "l_linestatus").distinct()
+
+
+def _chains(spark: SparkSession, d: str) -> DataFrame:
+    """Labels as structures of three chains, their points as residues."""
+    rows = _points(spark, d).withColumn("chain", F.col("vec_id") % 3)
+    return rows.withColumn("residue", ranking.place(["label", "chain"], F.asc("vec_id"))).select("label", "chain", "residue", *spatial.AXES)
+
+
+@query(None)
+def assembly_distances(spark: SparkSession, d: str) -> DataFrame:
+    """Each structure against the next one: held against all permutations in the tests."""
+    rows = _chains(spark, d)
+    found = superposition.assemblies(rows, rows.withColumn("label", F.col("label") - 1), ["label"], "chain", "residue")
+    return found.withColumn("rmsd", F.round("rmsd", 6))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import contacts, greedy, poses, ranking, screening, spatial, superposition
@@ -218,13 +218,14 @@ c AS (SELECT p_partkey, o, count(*) FILTER (i + o >= 0 AND i + o < len(p) AND r[
 m AS (SELECT p_partkey, CASE WHEN n > 0 THEN o ELSE 0 END AS shift, n AS matches FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY n DESC, o) AS pl FROM c) WHERE pl = 1)"""
 
 
-def _offset() -> Column:
-    return superposition.best_offset(F.upper("p_name"), F.col("p_type"))
+def _offsets(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "part").select("p_partkey", F.upper("p_name").alias("r"), F.col("p_type").alias("p"))
+    return superposition.offsets(rows, ["p_partkey"], "r", "p")
 
 
 @query(f"WITH {_OFFSETS.replace('p_name AS r', 'upper(p_name) AS r')} SELECT p.p_partkey, coalesce(shift, 0) AS shift, coalesce(matches, 0) AS matches FROM part p LEFT JOIN m USING (p_partkey)")
 def sequence_offsets(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").select("p_partkey", _offset().alias("o")).select("p_partkey", F.col("o.offset").cast("bigint").alias("shift"), F.col("o.matches").cast("bigint").alias("matches"))
+    return _offsets(spark, d).select("p_partkey", F.col("offset").cast("bigint").alias("shift"), F.col("matches").cast("bigint").alias("matches"))
 
 
 @query(
@@ -232,7 +233,8 @@ def sequence_offsets(spark: SparkSession, d: str) -> DataFrame:
 SELECT p_partkey, i, i + shift AS j, r[i + 1] AS letter FROM k WHERE i + shift >= 0 AND i + shift < len(p) AND r[i + 1] = p[i + shift + 1]"""
 )
 def sequence_pairs(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "part").select("p_partkey", F.upper("p_name").alias("r"), F.col("p_type").alias("p"), _offset()["offset"].alias("by"))
+    rows = table(spark, d, "part").select("p_partkey", F.upper("p_name").alias("r"), F.col("p_type").alias("p"))
+    rows = rows.join(_offsets(spark, d).select("p_partkey", F.col("offset").alias("by")), "p_partkey")
     left, right = rows.select("p_partkey", F.col("r").alias("s"), "by"), rows.select("p_partkey", F.col("p").alias("s"))
     return superposition.matched_pairs(left, right, ["p_partkey"], "s", F.col("by"))
 

@@ -2,6 +2,7 @@
 
 import math
 import random
+from itertools import permutations
 
 import numpy as np
 import pytest
@@ -123,3 +124,60 @@ def test_canonical_names(spark):
     found = assembly.canonical_names(df, spark.createDataFrame([(s,) for s in staged], "stem string"), "name", "stem").collect()
     assert len(found) == len(names) + 2
     assert {r.name: r.canonical for r in found if r.name is not None} == names
+
+
+def plain_assembly(x, y):
+    """x and y: chains as dicts of residue to point; the least fit over all permutations."""
+    if len(x) != len(y):
+        return None
+    best = None
+    for order in permutations(range(len(y))):
+        shared = [(x[i][k], y[j][k]) for i, j in enumerate(order) for k in set(x[i]) & set(y[j])]
+        if not shared:
+            continue
+        a, b = (np.array(side) - np.mean(side, axis=0) for side in zip(*shared, strict=True))
+        u, _, vt = np.linalg.svd(a.T @ b)
+        turn = u @ np.diag([1, 1, np.sign(np.linalg.det(u @ vt))]) @ vt
+        rmsd = math.sqrt(((a @ turn - b) ** 2).sum() / len(a))
+        best = rmsd if best is None else min(best, rmsd)
+    return best
+
+
+def test_assemblies_equal_all_permutations(spark, monkeypatch):
+    monkeypatch.setattr(superposition, "ASSIGNED", 100)
+    rng = np.random.default_rng(8)
+    sides, want = ([], []), {}
+    for g, n in enumerate([1, 2, 3, 6, 3]):
+        base = [{int(k): rng.normal(size=3) * [3, 2, 1] + 500 for k in rng.choice(9, 6, replace=False)} for _ in range(n)]
+        turn, _ = np.linalg.qr(rng.normal(size=(3, 3)))
+        turn *= np.sign(np.linalg.det(turn))
+        other = [{k: turn @ v + rng.normal(size=3) * 0.2 + 40 for k, v in c.items() if k != 2} for c in base]
+        other = [other[i] for i in rng.permutation(n)]
+        if g == 4:
+            other = other[:2]
+        want[g] = plain_assembly(base, other)
+        for side, chains in zip(sides, (base, other), strict=True):
+            side += [(g, f"c{i}", k, *map(float, v)) for i, c in enumerate(chains) for k, v in c.items()]
+    sides[0].append((7, "a", 1, 0.0, 0.0, 0.0))
+    sides[1].append((7, "a", 2, 0.0, 0.0, 0.0))
+    a, b = (spark.createDataFrame(s, "g long, chain string, residue long, x double, y double, z double") for s in sides)
+    found = {r.g: r.rmsd for r in superposition.assemblies(a, b, ["g"], "chain", "residue").collect()}
+    assert found.pop(7) is None and found.pop(4) is None and want.pop(4) is None
+    assert found == pytest.approx(want, abs=1e-6)
+
+
+def test_the_registered_assemblies_equal_all_permutations(spark):
+    chains = {}
+    for r in exchange._chains(spark, FOLDER).collect():
+        chains.setdefault(r.label, {}).setdefault(r.chain, {})[r.residue] = [r.x, r.y, r.z]
+    found = {r.label: r.rmsd for r in registry.QUERIES["assembly_distances"](spark, FOLDER).collect()}
+    want = {g: plain_assembly([chains[g][c] for c in sorted(chains[g])], [chains[g + 1][c] for c in sorted(chains[g + 1])]) for g in chains if g + 1 in chains}
+    assert found == pytest.approx(want, abs=2e-6) and len(want) == 9
+
+
+def test_offsets_equal_the_column_that_slides(spark):
+    pairs = [(i, a, b) for i, (a, b) in enumerate([("ABCD", "XXABCD"), ("ABAB", "BABA"), ("", "A"), ("A", ""), ("AB", "CD"), (None, "A"), ("CDEF", "ABCDE"), ("äbä", "xäbä"), ("A" * 30, "A" * 40)])]
+    df = spark.createDataFrame(pairs, "id long, a string, b string")
+    for least in (1, 3):
+        slid = {r.id: (r.o.offset, r.o.matches) for r in df.select("id", superposition.best_offset(F.col("a"), F.col("b"), least).alias("o")).collect()}
+        assert {r.id: (r.offset, r.matches) for r in superposition.offsets(df, ["id"], "a", "b", least).collect()} == slid
