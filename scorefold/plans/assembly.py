@@ -19,7 +19,7 @@ def _side(spark: SparkSession, d: str, flag: str, value: str, out: str) -> DataF
 
 
 def _side_sql(flag: str, value: str, out: str) -> str:
-    return f"SELECT 'pose_' || l_partkey AS name, arg_min({value}, (l_orderkey * 10 + l_linenumber) * 1000000 + {value}) AS {out} FROM lineitem WHERE l_returnflag = '{flag}' GROUP BY l_partkey"
+    return f"SELECT 'pose_' || l_partkey AS name, {value} AS {out} FROM lineitem WHERE l_returnflag = '{flag}' QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, {value}) = 1"
 
 
 @query(f"SELECT coalesce(a.name, b.name) AS name, affinity, deviation FROM ({_side_sql('R', 'l_suppkey', 'affinity')}) a FULL JOIN ({_side_sql('A', 'l_suppkey', 'deviation')}) b ON a.name = b.name")
