@@ -44,6 +44,14 @@ def spearman(df: DataFrame, group: list[str], a: str, b: str, least: int = 5) ->
     return ranked.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), rho.alias("rho")).where(F.col("n") >= least)
 
 
+def right_bins(value: Column, edges: list[float]) -> Column:
+    """Index of the bin of fixed edges that are closed on the right and open on the left, the first one too; outside is NULL."""
+    found = F.lit(None).cast("int")
+    for i, (low, high) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+        found = F.when((value > low) & (value <= high), F.lit(i)).otherwise(found)
+    return found
+
+
 def bins(value: Column, edges: list[float]) -> Column:
     """Index of the half-open bin of fixed edges; the last bin holds its right edge; outside is NULL."""
     found = F.lit(None).cast("int")
@@ -69,6 +77,28 @@ def ensemble(df: DataFrame, group: list[str], a: str, b: str, gate: Column) -> D
     return found.select(*group, F.round("ma", 6).alias("median_a"), F.round("mb", 6).alias("median_b"), F.round(both, 6).alias("ensemble"))
 
 
+def affinities(df: DataFrame, group: list[str], a: str, b: str, gate: Column) -> DataFrame:
+    """``ensemble`` of decimal logarithms with the affinity itself, 10 to its power; NULL where neither median exists."""
+    return ensemble(df, group, a, b, gate).withColumn("affinity", F.round(F.pow(F.lit(10.0), F.col("ensemble")), 6))
+
+
+def seeded_sample(df: DataFrame, group: list[str], key: str, k: int, seed: int) -> DataFrame:
+    """``k`` rows of each group, or all: those that come first by a hash of seed and key, so a sample is the same each time."""
+    drawn = F.sha2(F.concat_ws("/", F.lit(str(seed)), F.col(key).cast("string")), 256)
+    return df.withColumn("_at", F.row_number().over(Window.partitionBy(*group).orderBy(drawn, key))).where(F.col("_at") <= k).drop("_at")
+
+
+def cluster_statistics(members: DataFrame, group: list[str], cluster: str, top: int = 10) -> DataFrame:
+    """group, n, clusters, singletons, multiple, largest (the ``top`` sizes, largest first), reduction (clusters a row)."""
+    sizes = members.groupBy(*group, cluster).agg(F.count(F.lit(1)).alias("size"))
+    # sizes that occur, with how often: the largest ones of few numbers
+    ranked = sizes.withColumn("_at", F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("size"), cluster)))
+    first = ranked.where(F.col("_at") <= top).groupBy(*group).agg(F.sort_array(F.collect_list("size"), False).alias("largest"))
+    whole = sizes.groupBy(*group).agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("clusters"), F.count_if(F.col("size") == 1).alias("singletons"))
+    counted = whole.join(first, group).withColumns({"multiple": F.col("clusters") - F.col("singletons"), "reduction": F.round(F.col("clusters") / F.col("n"), 6)})
+    return counted.select(*group, "n", "clusters", "singletons", "multiple", F.array_join("largest", ";").alias("largest"), "reduction")
+
+
 def quantiles(df: DataFrame, group: list[str], value: str, shares: dict[str, float]) -> DataFrame:
     """Linearly interpolated quantiles per group, under the names of ``shares``."""
     found = exact_quantiles(df, group, value, shares)

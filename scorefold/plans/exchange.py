@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import anchored, assembly, contacts, evidence, forest, lineage, ranking, running, spatial, spread, superposition
+from ..operators import anchored, assembly, contacts, evidence, forest, lineage, ranking, running, spatial, spread, statistics, superposition
 from ..sources.tables import table
 from . import geometry  # noqa: F401  registers the SQL that superposed_frames is held against
 from .catalogue import _POINTS, RADIUS, _points
@@ -244,3 +244,41 @@ def assembly_distances(spark: SparkSession, d: str) -> DataFrame:
     rows = _chains(spark, d)
     found = superposition.assemblies(rows, rows.withColumn("label", F.col("label") - 1), ["label"], "chain", "residue")
     return found.withColumn("rmsd", F.round("rmsd", 6))
+
+
+@query(
+    f"""WITH RECURSIVE {_POINTS}, both_ways AS (SELECT a, b FROM n UNION ALL SELECT b, a FROM n),
+reach(a, b) AS (SELECT vec_id, vec_id FROM e UNION SELECT r.a, w.b FROM reach r JOIN both_ways w ON r.b = w.a), c AS (SELECT a AS vec_id, min(b) AS cluster FROM reach GROUP BY a),
+s AS (SELECT label, cluster, count(*) AS size FROM c JOIN e USING (vec_id) GROUP BY label, cluster), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY size DESC, cluster) AS pl FROM s)
+SELECT label, sum(size)::BIGINT AS n, count(*) AS clusters, count(*) FILTER (size = 1) AS singletons, count(*) FILTER (size > 1) AS multiple,
+string_agg(CASE WHEN pl <= 10 THEN size::VARCHAR END, ';' ORDER BY pl) AS largest, round(count(*) / sum(size), 6) AS reduction FROM r GROUP BY label"""
+)
+def cluster_statistics(spark: SparkSession, d: str) -> DataFrame:
+    clustered = spatial.single_link(_points(spark, d), ["label"], "vec_id", RADIUS)
+    return statistics.cluster_statistics(clustered, ["label"], "cluster")
+
+
+@query(
+    """SELECT CASE WHEN n_chars > 0 AND n_chars <= 100 THEN 0 WHEN n_chars > 100 AND n_chars <= 200 THEN 1 WHEN n_chars > 200 AND n_chars <= 1000 THEN 2 WHEN n_chars > 1000 AND n_chars <= 20000 THEN 3 END AS bin,
+count(*) AS n, round(avg(n_chars), 6) AS mean, max(n_chars) AS most FROM documents GROUP BY 1"""
+)
+def pool_size_bins(spark: SparkSession, d: str) -> DataFrame:
+    binned = table(spark, d, "documents").groupBy(statistics.right_bins(F.col("n_chars"), [0, 100, 200, 1000, 20000]).alias("bin"))
+    return binned.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("n_chars"), 6).alias("mean"), F.max("n_chars").alias("most"))
+
+
+@query(
+    """WITH m AS (SELECT l_suppkey, median(l_discount * 20) AS a, median(CASE WHEN l_quantity >= 45 THEN l_tax * 20 END) AS b FROM lineitem GROUP BY l_suppkey),
+x AS (SELECT *, round(coalesce((a + b) / 2, a, b), 6) AS ensemble FROM m)
+SELECT l_suppkey, round(a, 6) AS median_a, round(b, 6) AS median_b, ensemble, round(pow(10, ensemble), 6) AS affinity FROM x"""
+)
+def ensemble_affinities(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "lineitem").withColumns({"a": F.col("l_discount") * 20, "b": F.col("l_tax") * 20})
+    return statistics.affinities(rows, ["l_suppkey"], "a", "b", F.col("l_quantity") >= 45)
+
+
+@query(
+    """SELECT c_nationkey, c_custkey FROM customer QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY sha256('42/' || c_custkey), c_custkey) <= 5"""
+)
+def audited_sample(spark: SparkSession, d: str) -> DataFrame:
+    return statistics.seeded_sample(table(spark, d, "customer").select("c_nationkey", "c_custkey"), ["c_nationkey"], "c_custkey", 5, 42)
