@@ -73,14 +73,14 @@ def truth_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     """WITH r AS (SELECT n_regionkey AS g, p_partkey AS k, p_type AS code, p_size AS size FROM part JOIN nation ON n_nationkey = p_partkey % 25 WHERE p_partkey % 9 = 0),
-q AS (SELECT n_regionkey AS g, p_partkey AS k, p_brand || p_type AS c2, p_type AS code, p_size AS size FROM part JOIN nation ON n_nationkey = p_partkey % 25 WHERE p_partkey % 9 = 1 AND p_size > 10)
+q AS (SELECT n_regionkey AS g, p_partkey AS k, p_brand || p_type AS c2, p_type AS code, p_size AS size FROM part JOIN nation ON n_nationkey = p_partkey % 25 WHERE p_partkey % 9 > 0)
 SELECT q.k, coalesce((SELECT min(r.k) FROM r WHERE r.g = q.g AND r.code = q.code AND q.k % 2 = 0), (SELECT arg_min(r.k, CAST(abs(r.size - q.size) AS BIGINT) * 1000000000 + r.k) FROM r WHERE r.g = q.g)) AS ref FROM q"""
 )
 def reference_match(spark: SparkSession, d: str) -> DataFrame:
-    """Odd keys have a code that no reference has."""
+    """Every ninth part is a reference; odd keys of the others have a code that no reference has."""
     nation = table(spark, d, "nation").select((F.col("n_nationkey").cast("long")).alias("_n"), F.col("n_regionkey").alias("g"))
     parts = table(spark, d, "part").withColumn("_n", F.col("p_partkey") % 25).join(nation, "_n").select("g", F.col("p_partkey").alias("k"), F.col("p_type").alias("code"), F.col("p_size").alias("size"))
-    rows = parts.where("k % 9 = 1 AND size > 10").withColumn("code", F.when(F.col("k") % 2 == 0, F.col("code")).otherwise(F.lit("none")))
+    rows = parts.where("k % 9 > 0").withColumn("code", F.when(F.col("k") % 2 == 0, F.col("code")).otherwise(F.lit("none")))
     return assembly.matched_or_nearest(rows, parts.where("k % 9 = 0"), "g", "code", "size", "k").select("k", "ref")
 
 
