@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import anchored, assembly, contacts, evidence, forest, lineage, ranking, running, spatial, spread, statistics, superposition
+from ..sources import files
 from ..sources.tables import table
 from . import geometry  # noqa: F401  registers the SQL that superposed_frames is held against
 from .catalogue import _POINTS, RADIUS, _points
@@ -282,3 +283,12 @@ def ensemble_affinities(spark: SparkSession, d: str) -> DataFrame:
 )
 def audited_sample(spark: SparkSession, d: str) -> DataFrame:
     return statistics.seeded_sample(table(spark, d, "customer").select("c_nationkey", "c_custkey"), ["c_nationkey"], "c_custkey", 5, 42)
+
+
+@query(
+    r"""WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="[^"]*">[^<]*<')) AS link, generate_subscripts(regexp_extract_all(html, '<a href="[^"]*">[^<]*<'), 1) AS nth FROM pages),
+n AS (SELECT page_id, nth, upper(replace(regexp_extract(link, '<a href="([^"]*)">([^<]*)<', 2), 'ß', 'SS')) AS name, regexp_extract(link, '<a href="([^"]*)">([^<]*)<', 1) AS target FROM l)
+SELECT page_id, name, target FROM n QUALIFY row_number() OVER (PARTITION BY page_id, name ORDER BY nth DESC) = 1"""
+)
+def named_links(spark: SparkSession, d: str) -> DataFrame:
+    return files.named_links(table(spark, d, "pages"), "page_id", "html", '<a href="([^"]*)">([^<]*)<')

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.parsing import key_parts, number
+from ..functions.parsing import key_parts, number, once_indexed
+from .records import lines_of, numbered
 from .tables import headerless
 
 MODEL_HITS = {"target": 1, "pident": 2, "evalue": 10, "lddt": 14, "tmscore": 15}
@@ -81,3 +82,42 @@ def pockets(spark: SparkSession, path: str, k: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("_file").orderBy("_at"))
     found = numbered.withColumn("rank", rank).where(F.col("rank") <= k)
     return found.select("rank", *[value(f"center_{a}").alias(a) for a in "xyz"], F.coalesce(value("score"), F.lit(0.0)).alias("score"))
+
+
+def named_links(pages: DataFrame, key: str, html: str, pattern: str) -> DataFrame:
+    """key, name (upper case), target: the links of each page, where ``pattern`` has the target and the name as groups 1 and 2.
+
+    Of links of one name the last one counts.
+    """
+    found = pages.select(key, F.posexplode(F.regexp_extract_all(html, F.lit(pattern), F.lit(0))).alias("_at", "_link"))
+    parts = found.select(key, "_at", F.upper(F.regexp_extract("_link", pattern, 2)).alias("name"), F.regexp_extract("_link", pattern, 1).alias("target"))
+    return parts.groupBy(key, "name").agg(F.max_by("target", "_at").alias("target"))
+
+
+def alignment_records(spark: SparkSession, path: str) -> DataFrame:
+    """file, nth, header, sequence of tables of keys and sequences; the first record is the query, others are named by place and key.
+
+    Files whose first line doesn't begin with ``key`` give nothing; lines without a comma are skipped but counted.
+    """
+    lines = numbered(lines_of(spark, path))
+    good = lines.where((F.col("record") == 1) & F.col("value").startswith("key")).select("file")
+    rows = lines.where("record > 1").join(good, "file", "left_semi").withColumn("nth", F.col("record") - 2)
+    comma = F.instr("value", ",")
+    name = F.when(F.col("nth") == 0, ">query").otherwise(F.concat(F.lit(">seq_"), F.col("nth"), F.lit("_key_"), F.substring(F.col("value"), F.lit(1), comma - 1)))
+    return rows.where(comma > 0).select("file", "nth", name.alias("header"), F.substring(F.col("value"), comma + 1, F.length("value")).alias("sequence"))
+
+
+def pose_metrics(spark: SparkSession, families: dict[str, dict[str, str]]) -> DataFrame:
+    """name and the metrics of all families: {pattern of tab-separated files: {column: metric}}.
+
+    Names lose a repeated index; of a name's values of a metric the last one that is a number counts, NULL if none is.
+    """
+    whole = None
+    for pattern, columns in families.items():
+        rows = spark.read.csv(pattern, sep="\t", header=True).withColumns({"_at": F.monotonically_increasing_id(), "name": once_indexed(F.trim(F.coalesce("Name", F.lit(""))))})
+        values = {out: number(F.trim(F.col(f"`{c}`"))) if c in rows.columns else F.lit(None).cast("double") for c, out in columns.items()}
+        rows = rows.where("name != ''").select("name", "_at", *[v.alias(out) for out, v in values.items()])
+        last = [F.max_by(out, F.when(F.col(out).isNotNull(), F.col("_at"))).alias(out) for out in values]
+        found = rows.groupBy("name").agg(*last)
+        whole = found if whole is None else whole.join(found, "name", "full_outer")
+    return whole

@@ -13,20 +13,20 @@ from pyspark.sql.window import Window
 HYDROGEN = ("H", "D")
 
 
-def _text(spark: SparkSession, path: str, end: str | None = None) -> DataFrame:
+def lines_of(spark: SparkSession, path: str, end: str | None = None) -> DataFrame:
     """file, at (grows along a file), value: the lines of all files, or the records between two ``end``."""
     rows = spark.read.text(path, lineSep=end) if end else spark.read.text(path)
     return rows.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"), "value")
 
 
-def _numbered(rows: DataFrame) -> DataFrame:
+def numbered(rows: DataFrame) -> DataFrame:
     """Adds ``record``, a row's number in its file from 1: rows of a file follow each other in a task, so counts by file and task do."""
     task = F.shiftright("at", 33)
     runs = rows.groupBy("file", task.alias("task")).agg(F.min("at").alias("start"), F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy("file").orderBy("task").rowsBetween(Window.unboundedPreceding, -1))
     runs = runs.select("file", "task", "start", F.coalesce(before, F.lit(0)).alias("before"))
-    numbered = rows.withColumn("task", task).join(runs, ["file", "task"])
-    return numbered.withColumn("record", F.col("before") + F.col("at") - F.col("start") + 1).drop("task", "start", "before")
+    joined = rows.withColumn("task", task).join(runs, ["file", "task"])
+    return joined.withColumn("record", F.col("before") + F.col("at") - F.col("start") + 1).drop("task", "start", "before")
 
 
 def _field(line: Column, start: int, end: int) -> Column:
@@ -52,7 +52,7 @@ def ca_atoms(spark: SparkSession, path: str, chain: str | None = "A") -> DataFra
     kept = line.startswith("ATOM") & (F.trim(_field(line, 12, 16)) == "CA")
     if chain is not None:
         kept = kept & (_field(line, 21, 22) == chain)
-    atoms = _text(spark, path).where(kept).select("file", "at", _number(_field(line, 22, 26), "int").alias("resid"), *_point(line)).dropna()
+    atoms = lines_of(spark, path).where(kept).select("file", "at", _number(_field(line, 22, 26), "int").alias("resid"), *_point(line)).dropna()
     last = atoms.groupBy("file", "resid").agg(F.max_by(F.struct("x", "y", "z"), "at").alias("p"))
     return last.select("file", "resid", "p.*")
 
@@ -65,7 +65,7 @@ def heavy_atoms(spark: SparkSession, path: str) -> DataFrame:
     line = F.col("value")
     given = F.trim(_field(line, 76, 78))
     element = F.when(given != "", given).otherwise(F.substring(F.trim(_field(line, 12, 16)), 1, 1))
-    rows = _text(spark, path).where(line.startswith("ATOM") | line.startswith("HETATM"))
+    rows = lines_of(spark, path).where(line.startswith("ATOM") | line.startswith("HETATM"))
     atoms = rows.select("file", "at", _field(line, 21, 22).alias("chain"), element.alias("element"), *_point(line))
     return atoms.where(~F.col("element").isin(*HYDROGEN)).dropna(subset=["x", "y", "z"])
 
@@ -78,15 +78,15 @@ def molecules(spark: SparkSession, path: str) -> DataFrame:
     """
     lines = F.split(F.regexp_replace("value", "\r", ""), "\n")
     # what follows the end of a record is the rest of its line
-    rows = _numbered(_text(spark, path, "$$$$")).select("file", "record", lines.alias("l"))
-    numbered = rows.withColumn("l", F.when(F.col("record") == 1, F.col("l")).otherwise(F.slice("l", 2, F.greatest(F.lit(0), F.size("l") - 1))))
+    rows = numbered(lines_of(spark, path, "$$$$")).select("file", "record", lines.alias("l"))
+    rows = rows.withColumn("l", F.when(F.col("record") == 1, F.col("l")).otherwise(F.slice("l", 2, F.greatest(F.lit(0), F.size("l") - 1))))
     count = _number(_field(F.get("l", F.lit(3)), 0, 3), "int")
     atoms = F.transform(
         F.slice("l", 5, F.greatest(F.lit(0), F.col("n"))),
         lambda a: F.struct(*[_number(_field(a, i * 10, i * 10 + 10)).alias(c) for i, c in enumerate("xyz")], F.trim(_field(a, 31, 34)).alias("element"), (F.length(a) >= 34).alias("long")),
     )
     heavy = F.filter(atoms, lambda a: a["long"] & a["x"].isNotNull() & a["y"].isNotNull() & a["z"].isNotNull() & ~a["element"].isin(*HYDROGEN))
-    found = numbered.where(F.size("l") >= 4).withColumn("n", count).where("n IS NOT NULL").withColumn("atoms", heavy).where(F.size("atoms") > 0)
+    found = rows.where(F.size("l") >= 4).withColumn("n", count).where("n IS NOT NULL").withColumn("atoms", heavy).where(F.size("atoms") > 0)
     point = F.transform("atoms", lambda a: F.struct(a["x"].alias("x"), a["y"].alias("y"), a["z"].alias("z")))
     return found.select("file", "record", F.trim(F.col("l")[0]).alias("name"), F.transform("atoms", lambda a: a["element"]).alias("elements"), point.alias("atoms"))
 
@@ -98,7 +98,7 @@ def models(spark: SparkSession, path: str) -> DataFrame:
     neither nor a record, its molecule what follows up to another LIGAND, without ATOM, HETATM, TER, LSCORE and AFFNTY
     lines. The last LSCORE and AFFNTY that can be read count, and of the whole file, wherever it stands, the last AFFNTY.
     """
-    rows = _numbered(_text(spark, path, "\nMODEL")).select("file", "record", F.regexp_replace("value", "\r", "").alias("value"))
+    rows = numbered(lines_of(spark, path, "\nMODEL")).select("file", "record", F.regexp_replace("value", "\r", "").alias("value"))
     head = (F.col("record") == 1) & ~F.col("value").startswith("MODEL")
     body = F.when((F.col("record") == 1) & ~head, F.substring("value", 6, 1 << 30)).otherwise(F.col("value"))
     rows = rows.select("file", "record", head.alias("head"), F.split(body, "\n").alias("l"))

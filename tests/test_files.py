@@ -46,3 +46,18 @@ def test_the_last_of_a_tools_repeated_predictions_counts(spark, tmp_path):
     (tmp_path / "ba_af3.tsv").write_text("Name\tpKd\na\t1\n")
     found = tables.predictions(spark, f"{tmp_path}/ba_*.tsv", "ba_", ["pKd"]).collect()
     assert {tuple(r) for r in found} == {("vina", "a", 7.5), ("vina", "c", 2.0), ("af3", "a", 1.0)}
+
+
+def test_links_alignments_and_metrics(spark, tmp_path):
+    pages = spark.createDataFrame([(1, '<a href="target.cgi?id=7&x"> r2001 </a><A HREF="target.cgi?id=8">D2002<'), (2, '<a href="target.cgi?id=1">R2001</a><a href="target.cgi?id=9">r2001</a>'), (3, None)], "id long, html string")
+    found = files.named_links(pages, "id", "html", r'(?i)target\.cgi\?id=(\d+)[^"]*"[^>]*>\s*([RTHDML]2\d{3})\s*<')
+    assert {tuple(r) for r in found.collect()} == {(1, "R2001", "7"), (1, "D2002", "8"), (2, "R2001", "9")}
+    (tmp_path / "a.csv").write_text("key,sequence\nk0,AB,C\nbroken\n7,DEF\n")
+    (tmp_path / "b.csv").write_text("other\nx,y\n")
+    rows = files.alignment_records(spark, f"{tmp_path}/*.csv").orderBy("nth").collect()
+    assert [(r.nth, r.header, r.sequence) for r in rows] == [(0, ">query", "AB,C"), (2, ">seq_2_key_7", "DEF")]
+    (tmp_path / "rmsd_pred_a.tsv").write_text("Name\tpRMSD\tIs_Above_2A\na_10_10\t1.5\t0.2\nb_2_3\tnan\t0.5\na_10\tx\t0.3\n \t1\t1\n")
+    (tmp_path / "ba_pred_a.tsv").write_text("Name\tpKd\na_10\t6\nc\t\n")
+    families = {f"{tmp_path}/rmsd_pred_*.tsv": {"pRMSD": "prmsd", "Is_Above_2A": "above"}, f"{tmp_path}/ba_pred_*.tsv": {"pKd": "pkd", "Kcal/mol": "kcal"}}
+    found = {r.name: (r.prmsd, r.above, r.pkd, r.kcal) for r in files.pose_metrics(spark, families).collect()}
+    assert found == {"a_10": (1.5, 0.3, 6.0, None), "b_2_3": (None, 0.5, None, None), "c": (None,) * 4}
