@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from .lineage import settled
 from .ranking import place
 
-#: Rows of a block; two blocks are compared at a time.
-BLOCK = 512
+#: Rows of a part at most, about; two parts meet in a cell.
+BLOCK = 32_768
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -25,24 +27,83 @@ def _usable(rows: DataFrame, group: list[str], key: str, vector: str) -> DataFra
     return rows.where(F.col(vector).isNotNull() & whole).select(*group, F.col(key).alias("key"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
 
 
-def _blocks(pairs: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(group..., here, there: arrays of (key, v), same) to the farthest pair of the two blocks, of equal ones the first."""
-    for batch in pairs:
-        names, out = batch.schema.names[:-2], []
-        for row in batch.to_pylist():
-            a, b = ([np.array([m["v"] for m in row[c]], float) for c in ("here", "there")])
-            far = np.sqrt(((a[:, None, :] - b[None, :, :]) ** 2).sum(-1)) if a.size * len(b) <= 1 << 24 else np.stack([np.sqrt(((b - x) ** 2).sum(-1)) for x in a])
-            keys = [[m["key"] for m in row[c]] for c in ("here", "there")]
-            far[np.equal.outer(*(np.array(k, object) for k in keys)).astype(bool)] = -1
-            top = far.max()
-            if top < 0:
-                continue
-            best = min(tuple(sorted((keys[0][i], keys[1][j]))) for i, j in zip(*np.nonzero(far == top), strict=True))
-            out.append({c: row[c] for c in names} | {"a": best[0], "b": best[1], "distance": float(top)})
-        if out:
-            fields = [batch.schema.field(c) for c in names]
-            kind = batch.schema.field("here").type.value_type.field("key").type
-            yield pa.RecordBatch.from_pylist(out, pa.schema([*fields, ("a", kind), ("b", kind), ("distance", pa.float64())]))
+def _classes(rows: DataFrame, group: list[str], key: str, vector: str) -> DataFrame:
+    """group, key, v, n: the distinct vectors of each group, each with its first key and its number of rows."""
+    return _usable(rows, group, key, vector).groupBy(*group, "v").agg(F.min("key").alias("key"), F.count(F.lit(1)).cast("double").alias("n")).select(*group, "key", "v", "n").transform(settled)
+
+
+def _middle(usable: DataFrame, group: list[str]) -> DataFrame:
+    """group, _m: the mean vector."""
+    middle = usable.select(*group, F.posexplode("v").alias("at", "x")).groupBy(*group, "at").agg(F.avg("x").alias("x"))
+    return middle.groupBy(*group).agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "x"))), lambda s: s["x"]).alias("_m"))  # one number a component
+
+
+def _farthest(rows: DataFrame, group: list[str], by: str) -> DataFrame:
+    """group, key, v, by: the row of each group with the largest ``by``, of equal ones the first; no sort of vectors."""
+    top = rows.groupBy(*group).agg(F.max(by).alias("_t"))
+    first = rows.join(top, group).where(F.col(by) == F.col("_t")).groupBy(*group).agg(F.min("key").alias("key"))
+    return rows.join(first, [*group, "key"]).select(*group, "key", "v", by)
+
+
+def _matrix(side: pa.Table) -> np.ndarray:
+    v = side["v"].combine_chunks()
+    return v.flatten().to_numpy(zero_copy_only=False).reshape(len(side), -1)
+
+
+def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances by products: fast, but off by about the rounding of the squared lengths."""
+    return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * (a @ b.T), 0)
+
+
+def _tiles(a: int, b: int, rows: int = 256, columns: int = 2048):
+    for i in range(0, a, rows):
+        for j in range(0, b, columns):
+            yield slice(i, i + rows), slice(j, j + columns)
+
+
+def _typed(df: DataFrame, more: str) -> str:
+    return ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields], more])
+
+
+def _met(a: DataFrame, b: DataFrame, group: list[str], run: Callable[[pa.Table, pa.Table], pa.Table], more: str) -> DataFrame:
+    """group and what ``run`` gives for each cell of rows of ``a`` and ``b`` with the same group, _i and _j."""
+    names = [*group, "_i", "_j"]
+    schema = StructType.fromDDL(_typed(a.select(*group), more))
+    nothing = to_arrow_schema(schema).empty_table()
+
+    def cell(key: tuple, here: pa.Table, there: pa.Table) -> pa.Table:
+        if not (len(here) and len(there)):
+            return nothing
+        out = run(here, there)
+        kept = [pa.array([k.as_py()] * len(out), k.type) for k in key[: len(group)]]
+        return pa.table([*kept, *out.columns], names=[*group, *out.column_names])
+
+    a, b = a.toDF(*a.columns), b.toDF(*b.columns)  # columns of their own, where both come from one table
+    return a.groupBy(*names).cogroup(b.groupBy(*names)).applyInArrow(cell, schema)
+
+
+def _best_pair(here: pa.Table, there: pa.Table) -> pa.Table:
+    """The farthest pair of two parts, of equal ones the first."""
+    a, b = _matrix(here), _matrix(there)
+    middle = a.mean(0)
+    near, far = a - middle, b - middle
+    keys = [side["key"].to_pylist() for side in (here, there)]
+    off = 1e-11 * ((near * near).sum(1).max() + (far * far).sum(1).max())
+    best, least = None, -1.0
+    for rows, columns in _tiles(len(a), len(b)):
+        squares = _squares(near[rows], far[columns])
+        i, j = np.nonzero(squares >= max(squares.max(), least) - off)
+        for at in range(0, len(i), 1 << 16):
+            x, y = i[at : at + (1 << 16)] + rows.start, j[at : at + (1 << 16)] + columns.start
+            exact = np.sqrt(((a[x] - b[y]) ** 2).sum(1))
+            for n in np.flatnonzero(exact >= max(exact.max(), best[0] if best else 0)):
+                p, q = keys[0][x[n]], keys[1][y[n]]
+                found = (exact[n], *sorted((p, q)))
+                if p != q and (best is None or found[0] > best[0] or (found[0] == best[0] and found[1:] < best[1:])):
+                    best, least = found, max(least, float(squares[i[at + n], j[at + n]]))
+    kind = here["key"].type
+    d, x, y = ([v] for v in best) if best else ([], [], [])
+    return pa.table([pa.array(x, kind), pa.array(y, kind), pa.array(d, pa.float64())], names=["a", "b", "distance"])
 
 
 def farthest_pair(rows: DataFrame, group: list[str], key: str, vector: str) -> DataFrame:
@@ -50,34 +111,40 @@ def farthest_pair(rows: DataFrame, group: list[str], key: str, vector: str) -> D
 
     With r the distance to the group's mean, two rows are at most r + r' apart. The row farthest from the mean and the
     one farthest from it give a distance that the answer has at least, so rows with r + max(r') below it drop out. What
-    is left meets in blocks of rows with about the same r, and pairs of blocks that can't reach it aren't formed. Groups of
+    is left meets in cells of two parts of at most about BLOCK rows with about the same r, and cells that can't reach it
+    aren't formed; copies of a vector meet once. A cell holds its two parts and a tile of distances. Groups of
     one row give none; rows without a finite vector take no part.
     """
-    usable = _usable(rows, group, key, vector).transform(settled)
-    middle = usable.select(*group, F.posexplode("v").alias("at", "x")).groupBy(*group, "at").agg(F.avg("x").alias("x"))
-    middle = middle.groupBy(*group).agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "x"))), lambda s: s["x"]).alias("_m"))  # one number a component
-    placed = usable.join(middle, group).withColumn("r", distance(F.col("v"), F.col("_m"))).drop("_m").transform(settled)
-    first = placed.groupBy(*group).agg(F.max_by("v", "r").alias("_f"), F.max("r").alias("_top"))
+    usable = _classes(rows, group, key, vector)
+    placed = usable.join(_middle(usable, group), group).withColumn("r", distance(F.col("v"), F.col("_m"))).drop("_m", "n").transform(settled)
+    first = _farthest(placed, group, "r").select(*group, F.col("v").alias("_f"), F.col("r").alias("_top"))
     second = placed.join(first, group).groupBy(*group).agg(F.max(distance(F.col("v"), F.col("_f"))).alias("_least"), F.max("_top").alias("_top"))
     # rounding of the bound
     low = F.col("_least") * (1 - 1e-9)
     left = placed.join(second, group).where(F.col("r") + F.col("_top") >= low)
-    wide = left.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"), F.min("r").alias("_low"))
+    wide = left.groupBy(*group).agg(F.min("r").alias("_low"))
     # shells of equal width in r, each dealt into parts of about BLOCK rows
     shell = F.when(F.col("_top") > F.col("_low"), F.floor((F.col("_top") - F.col("r")) / (F.col("_top") - F.col("_low")) * 8)).otherwise(0)
-    left = left.join(wide, group).withColumn("shell", shell)
+    left = left.join(wide, group).withColumn("shell", shell).drop("_low")
     sizes = left.groupBy(*group, "shell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("_parts"))
-    dealt = left.join(sizes, [*group, "shell"]).withColumn("part", F.pmod(F.xxhash64("key"), F.col("_parts")))
-    blocks = dealt.groupBy(*group, "shell", "part").agg(F.collect_list(F.struct("key", "v")).alias("here"), F.max("r").alias("reach"), F.first("_least").alias("_least"))  # about BLOCK rows
-    blocks = blocks.withColumn("block", F.struct("shell", "part")).transform(settled)
-    names = blocks.groupBy(*group).agg(F.collect_list(F.struct("block", "reach")).alias("_all"))
-    asked = blocks.join(names, group).withColumn("to", F.explode(F.filter("_all", lambda o: (o["block"] >= F.col("block")) & (o["reach"] + F.col("reach") >= low))))
-    asked = asked.select(*group, "here", F.col("to.block").alias("block"))
-    met = asked.join(blocks.select(*group, "block", F.col("here").alias("there")), [*group, "block"]).select(*group, "here", "there")
+    left = left.join(sizes, [*group, "shell"]).withColumn("block", F.struct("shell", F.pmod(F.xxhash64("key"), F.col("_parts")).alias("part"))).transform(settled)
+    blocks = left.groupBy(*group, "block.shell", "block.part").agg(F.max("r").alias("reach"))
+    blocks = blocks.select(*group, F.struct("shell", "part").alias("block"), "reach").transform(settled)
+    names = blocks.groupBy(*group).agg(F.collect_list(F.struct("block", "reach")).alias("_all"))  # one a part
+    known = left.join(blocks, [*group, "block"]).join(names, group)
+    reached = lambda o: o["reach"] + F.col("reach") >= low
+    here = known.withColumn("to", F.explode(F.filter("_all", lambda o: (o["block"] >= F.col("block")) & reached(o))))
+    there = known.withColumn("to", F.explode(F.filter("_all", lambda o: (o["block"] <= F.col("block")) & reached(o))))
+    here = here.select(*group, "key", "v", F.col("block").alias("_i"), F.col("to.block").alias("_j"))
+    there = there.select(*group, "key", "v", F.col("to.block").alias("_i"), F.col("block").alias("_j"))
     kind = usable.schema["key"].dataType.simpleString()
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in usable.select(*group).schema.fields], f"a {kind}, b {kind}, distance double"])
-    found = met.mapInArrow(_blocks, schema)
-    return found.groupBy(*group).agg(F.min_by(F.struct("a", "b", "distance"), F.struct(-F.col("distance"), F.col("a"), F.col("b"))).alias("m")).select(*group, "m.*")
+    found = _met(*[d.withColumns({c: F.to_json(c) for c in ("_i", "_j")}) for d in (here, there)], group, _best_pair, f"a {kind}, b {kind}, distance double")
+    found = found.groupBy(*group).agg(F.min_by(F.struct("a", "b", "distance"), F.struct(-F.col("distance"), F.col("a"), F.col("b"))).alias("m")).select(*group, "m.*").where("distance > 0").transform(settled)
+    # where all lie in one place, the first two rows
+    rest = _usable(rows, group, key, vector).select(*group, "key").join(found.select(*group), group, "left_anti")
+    one = rest.groupBy(*group).agg(F.min("key").alias("a"))
+    two = rest.join(one, group).where("key != a").groupBy(*group, "a").agg(F.min("key").alias("b"))
+    return found.unionByName(two.select(*group, "a", "b", F.lit(0.0).alias("distance")))
 
 
 def split_by_farthest(rows: DataFrame, group: list[str], key: str, vector: str, primary: str | None = None) -> DataFrame:
@@ -141,7 +208,7 @@ def farthest_points(rows: DataFrame, group: list[str], key: str, vector: str, k:
     picks = [pick.withColumn("rank", F.lit(1))]
     for rank in range(2, k + 1):
         usable = usable.join(pick, group).where("key != _p").withColumn("least", F.least("least", distance(F.col("v"), F.col("_v")))).drop("_p", "_v").transform(settled)
-        pick = usable.groupBy(*group).agg(F.min_by(F.struct("key", "v"), F.struct(-F.col("least"), F.col("key"))).alias("m")).select(*group, F.col("m.key").alias("_p"), F.col("m.v").alias("_v")).transform(settled)
+        pick = _farthest(usable, group, "least").select(*group, F.col("key").alias("_p"), F.col("v").alias("_v")).transform(settled)
         if not pick.take(1):
             break
         picks.append(pick.withColumn("rank", F.lit(rank)))

@@ -5,6 +5,7 @@ import random
 from itertools import permutations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,6 +59,33 @@ def test_medoid_and_farthest_points_equal_a_plain_loop(spark):
     assert spread.farthest_points(df.where("false"), ["g"], "id", "v", 3).count() == 0
 
 
+@pytest.mark.parametrize("block", [8, 4096])
+def test_copies_meet_once_and_the_first_of_them_is_picked(spark, monkeypatch, block):
+    monkeypatch.setattr(spread, "BLOCK", block)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(60, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    mine = {n * 60 + i: x[i].tolist() for n in range(50) for i in range(60)}
+    df = spark.createDataFrame([("g", i, v) for i, v in mine.items()], "g string, id long, v array<double>").repartition(7)
+    far = np.linalg.norm(x[:, None] - x, axis=2)
+    a, b = divmod(int(np.triu(far).argmax()), 60)
+    pair = spread.farthest_pair(df, ["g"], "id", "v").first()
+    assert (pair.a, pair.b, pair.distance) == (a, b, pytest.approx(far[a, b]))
+
+
+def test_cells_hold_a_tile_of_distances(monkeypatch):
+    """Two parts of 3000 rows have 9 million distances; no more than a tile of them is made at once."""
+    seen = []
+    monkeypatch.setattr(spread, "_squares", lambda a, b, plain=spread._squares: seen.append(len(a) * len(b)) or plain(a, b))
+    rng = np.random.default_rng(6)
+    sides = [pa.table({"key": np.arange(3000) + 3000 * n, "v": pa.array(list(rng.normal(size=(3000, 3))))}) for n in range(2)]
+    a, b = (np.array(s["v"].to_pylist()) for s in sides)
+    far = np.linalg.norm(a[:, None] - b, axis=2)
+    i, j = divmod(int(far.argmax()), 3000)
+    assert spread._best_pair(*sides).to_pylist() == [{"a": i, "b": 3000 + j, "distance": pytest.approx(far.max())}]
+    assert max(seen) <= 256 * 2048
+
+
 def plain_budget(sites, count, spacing, margin=0.005):
     """Sites (kind, core, point) in order: the passes one by one."""
     kept, seen = [], {}
