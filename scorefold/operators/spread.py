@@ -16,6 +16,8 @@ from .ranking import place
 
 #: Rows of a part at most, about; two parts meet in a cell.
 BLOCK = 32_768
+#: Rows a group that medoids are bounded by.
+ASKED = 64
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -50,6 +52,14 @@ def _matrix(side: pa.Table) -> np.ndarray:
     return v.flatten().to_numpy(zero_copy_only=False).reshape(len(side), -1)
 
 
+def _direct(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances of all rows of ``a`` and ``b`` from the differences of their components."""
+    total = np.zeros((len(a), len(b)))
+    for x, y in zip(a.T, b.T, strict=True):
+        total += (x[:, None] - y) ** 2
+    return np.sqrt(total)
+
+
 def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Squared distances by products: fast, but off by about the rounding of the squared lengths."""
     return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * (a @ b.T), 0)
@@ -82,6 +92,20 @@ def _met(a: DataFrame, b: DataFrame, group: list[str], run: Callable[[pa.Table,
     return a.groupBy(*names).cogroup(b.groupBy(*names)).applyInArrow(cell, schema)
 
 
+def _dealt(a: DataFrame, b: DataFrame, group: list[str]) -> tuple[DataFrame, DataFrame]:
+    """All rows of ``a`` and ``b`` with the numbers _i and _j of the cells that they meet in."""
+    sides, counts = [a, b], []
+    for side, c in zip(sides, ("_a", "_b"), strict=True):
+        counts.append(side.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias(c)))
+    cells = counts[0].join(counts[1], group).transform(settled)
+    own = [F.pmod(F.xxhash64("key"), F.col(c)) for c in ("_a", "_b")]
+    all_of = lambda c: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(c) - 1))
+    return (
+        a.join(cells, group).withColumn("_i", own[0]).withColumn("_j", all_of("_b")).drop("_a", "_b"),
+        b.join(cells, group).withColumn("_j", own[1]).withColumn("_i", all_of("_a")).drop("_a", "_b"),
+    )
+
+
 def _best_pair(here: pa.Table, there: pa.Table) -> pa.Table:
     """The farthest pair of two parts, of equal ones the first."""
     a, b = _matrix(here), _matrix(there)
@@ -167,34 +191,68 @@ def split_by_farthest(rows: DataFrame, group: list[str], key: str, vector: str,
     return out.join(marked, group, "left").select(*group, key, turned.alias("side"), "apart")
 
 
+def _sums(exact: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The sum of the distances of each row here to all rows there."""
+
+    def run(here: pa.Table, there: pa.Table) -> pa.Table:
+        a, b, n = _matrix(here), _matrix(there), there["n"].to_numpy()
+        middle, total = b.mean(0), np.zeros(len(a))
+        if not exact:
+            a, b = a - middle, b - middle
+        for rows, columns in _tiles(len(a), len(b)):
+            far = _direct(a[rows], b[columns]) if exact else np.sqrt(_squares(a[rows], b[columns]))
+            total[rows] += far @ n[columns]
+        return pa.table([here["key"], pa.array(total)], names=["key", "sum"])
+
+    return run
+
+
+def _bounds(here: pa.Table, there: pa.Table) -> pa.Table:
+    """The largest bound of each row here by the rows there, whose means are known."""
+    a, b, mean = _matrix(here), _matrix(there), there["mean"].to_numpy()
+    bound = np.zeros(len(a))
+    for rows, columns in _tiles(len(a), len(b)):
+        bound[rows] = np.maximum(bound[rows], np.abs(mean[columns] - _direct(a[rows], b[columns])).max(1))
+    return pa.table([here["key"], pa.array(bound)], names=["key", "bound"])
+
+
+def _means(asked: DataFrame, usable: DataFrame, total: DataFrame, group: list[str], exact: bool) -> DataFrame:
+    """group, key, mean of the rows ``asked``."""
+    kind = usable.schema["key"].dataType.simpleString()
+    found = _met(*_dealt(asked.select(*group, "key", "v"), usable, group), group, _sums(exact), f"key {kind}, sum double")
+    found = found.groupBy(*group, "key").agg(F.sum("sum").alias("sum")).join(total, group)
+    return found.select(*group, "key", (F.col("sum") / F.col("_n")).alias("mean")).transform(settled)
+
+
 def medoids(rows: DataFrame, group: list[str], key: str, vector: str) -> DataFrame:
     """group, key, v, mean: the row of each group with the least mean distance to all its rows, of equal ones the first.
 
-    A row's mean is at least |mean of another - distance to it|. Each round takes the means of the rows of least bound
-    (8 a group, then 64, then all that are left), raises all bounds by them and drops what can't be least any more.
+    Means that agree to 12 digits after the point are equal. A row's mean is at least |mean of another - distance to it|:
+    the ASKED rows nearest to the middle bound all others, and what can't be least drops out. Means of what is left
+    come from products of vectors, in cells of two parts; only rows within their rounding of the least are
+    added up from the differences. Copies of a vector count as one row of that weight. Where bounds don't hold rows
+    off, this is all pairs, a tile at a time.
     """
-    usable = _usable(rows, group, key, vector).transform(settled)
-    left, best, many = usable.withColumn("bound", F.lit(0.0)), None, 8
-    while left.take(1):
-        # by hash among equal bounds, so the first round's choice is a fair one
-        last = many > 64
-        first = place(group, F.asc("bound"), F.asc(F.xxhash64("key")), F.asc("key"))
-        asked = left if last else left.withColumn("_at", first).where(F.col("_at") <= many)
-        asked = asked.select(*group, F.col("key").alias("ask"), F.col("v").alias("w")).transform(settled)
-        far = usable.join(asked, group).select(*group, "key", "ask", distance(F.col("v"), F.col("w")).alias("d"))
-        means = far.groupBy(*group, "ask").agg(F.avg("d").alias("mean")).transform(settled)
-        now = means.groupBy(*group).agg(F.min(F.struct("mean", "ask")).alias("m")).select(*group, F.col("m.ask").alias("key"), F.col("m.mean").alias("mean"))
-        best = now if best is None else best.unionByName(now).groupBy(*group).agg(F.min(F.struct("mean", "key")).alias("m")).select(*group, "m.key", "m.mean")
-        best = best.transform(settled)
-        waiting = left.join(means.select(*group, F.col("ask").alias("key")), [*group, "key"], "left_anti")
-        if last:
-            break
-        again = waiting.join(asked, group).select(*group, "key", "ask", distance(F.col("v"), F.col("w")).alias("d")).join(means, [*group, "ask"])
-        raised = again.groupBy(*group, "key").agg(F.max(F.abs(F.col("mean") - F.col("d"))).alias("_b"))
-        waiting = waiting.join(raised, [*group, "key"]).withColumn("bound", F.greatest("bound", "_b")).drop("_b")
-        left = waiting.join(best.select(*group, F.col("mean").alias("_best")), group).where(F.col("bound") * (1 - 1e-9) <= F.col("_best")).drop("_best").transform(settled)
-        many *= 8
-    return usable.join(best, [*group, "key"]).select(*group, F.col("key").alias(key), "v", "mean") if best is not None else usable.select(*group, F.col("key").alias(key), "v", F.lit(0.0).alias("mean"))
+    usable = _classes(rows, group, key, vector)
+    total = usable.groupBy(*group).agg(F.sum("n").alias("_n")).transform(settled)
+    kind = usable.schema["key"].dataType.simpleString()
+    placed = usable.join(_middle(usable, group), group).withColumn("r", distance(F.col("v"), F.col("_m"))).drop("_m").transform(settled)
+    asked = placed.select(*group, "key", "r").withColumn("_at", place(group, F.asc("r"), F.asc("key"))).where(F.col("_at") <= ASKED).select(*group, "key")
+    asked = usable.join(asked, [*group, "key"]).transform(settled)
+    means = _means(asked, usable, total, group, True)
+    best = means.groupBy(*group).agg(F.min("mean").alias("_best")).transform(settled)
+    waiting = usable.join(asked.select(*group, "key"), [*group, "key"], "left_anti").select(*group, "key", "v")
+    bounds = _met(*_dealt(waiting, asked.join(means, [*group, "key"]), group), group, _bounds, f"key {kind}, bound double")
+    bounds = bounds.groupBy(*group, "key").agg(F.max("bound").alias("bound")).join(best, group).where(F.col("bound") * (1 - 1e-9) <= F.col("_best") + 1e-12)
+    left = usable.join(bounds.select(*group, "key"), [*group, "key"]).transform(settled)
+    rough = _means(left, usable, total, group, False)
+    least = rough.groupBy(*group).agg(F.min("mean").alias("_rough")).join(best, group)
+    # twice the rounding of a distance by products
+    off = placed.groupBy(*group).agg((F.max("r") * 4e-6 + 1e-12).alias("_off"))
+    close = rough.join(least, group).join(off, group).where(F.col("mean") <= F.least("_rough", "_best") + F.col("_off"))
+    means = means.unionByName(_means(usable.join(close.select(*group, "key"), [*group, "key"]).transform(settled), usable, total, group, True))
+    first = means.groupBy(*group).agg(F.min(F.struct(F.round("mean", 12).alias("mean"), "key")).alias("m")).select(*group, F.col("m.key").alias("key"))
+    return usable.join(first, [*group, "key"]).join(means, [*group, "key"]).select(*group, F.col("key").alias(key), "v", "mean")
 
 
 def farthest_points(rows: DataFrame, group: list[str], key: str, vector: str, k: int) -> DataFrame:

@@ -71,6 +71,8 @@ def test_copies_meet_once_and_the_first_of_them_is_picked(spark, monkeypatch, bl
     a, b = divmod(int(np.triu(far).argmax()), 60)
     pair = spread.farthest_pair(df, ["g"], "id", "v").first()
     assert (pair.a, pair.b, pair.distance) == (a, b, pytest.approx(far[a, b]))
+    medoid = spread.medoids(df, ["g"], "id", "v").first()
+    assert (medoid.id, medoid["mean"]) == (int(far.mean(1).argmin()), pytest.approx(far.mean(1).min()))
 
 
 def test_cells_hold_a_tile_of_distances(monkeypatch):
@@ -78,12 +80,12 @@ def test_cells_hold_a_tile_of_distances(monkeypatch):
     seen = []
     monkeypatch.setattr(spread, "_squares", lambda a, b, plain=spread._squares: seen.append(len(a) * len(b)) or plain(a, b))
     rng = np.random.default_rng(6)
-    sides = [pa.table({"key": np.arange(3000) + 3000 * n, "v": pa.array(list(rng.normal(size=(3000, 3))))}) for n in range(2)]
+    sides = [pa.table({"key": np.arange(3000) + 3000 * n, "v": pa.array(list(rng.normal(size=(3000, 3)))), "n": np.ones(3000)}) for n in range(2)]
     a, b = (np.array(s["v"].to_pylist()) for s in sides)
     far = np.linalg.norm(a[:, None] - b, axis=2)
     i, j = divmod(int(far.argmax()), 3000)
     assert spread._best_pair(*sides).to_pylist() == [{"a": i, "b": 3000 + j, "distance": pytest.approx(far.max())}]
-    assert max(seen) <= 256 * 2048
+    assert np.array(spread._sums(False)(*sides)["sum"]) == pytest.approx(far.sum(1)) and max(seen) <= 256 * 2048
 
 
 def plain_budget(sites, count, spacing, margin=0.005):
