@@ -21,3 +21,12 @@ def settled(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows that a task of ``dealt`` gets, about.
+ROWS = 100_000
+
+
+def dealt(df: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` by ``keys`` in parts of about ROWS rows, however many it has, for steps that sort a part several times at once."""
+    return df.repartition(-(-df.count() // ROWS) or 1, *keys)

@@ -3,7 +3,7 @@ import math
 from pyspark.sql import functions as F
 
 from scorefold.functions import parsing
-from scorefold.operators import ranking, screening, spatial
+from scorefold.operators import lineage, ranking, screening, spatial
 from scorefold.sources.tables import predictions, search_hits
 
 
@@ -42,6 +42,19 @@ def test_tied_scores_have_average_ranks_and_the_hand_computed_auc(spark):
     assert screening.metrics(df.where("hit > 1"), "score", "hit", ["id"]).first().n_rows == 0
 
 
+def test_rank_sums_are_dealt_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(lineage, "ROWS", 10)
+    df = spark.createDataFrame([(i % 50, i, float(i * 7 % 5), float(i * 3 % 4)) for i in range(300)], "g long, id long, a double, b double")
+    found = ranking.rank_sum_best(df, ["g"], ["a", "b"], ["id"])
+    assert found.rdd.getNumPartitions() == 30
+    rows, want = df.collect(), {}
+    for r in rows:
+        mine = [x for x in rows if x.g == r.g]
+        rank = lambda c, r=r, mine=mine: 1 + sum(x[c] > r[c] for x in mine) + (sum(x[c] == r[c] for x in mine) - 1) / 2
+        want[r.g] = min(want.get(r.g, (99, 0)), (rank("a") + rank("b"), r.id))
+    assert {r.g: (r.rank_sum, r.id) for r in found.collect()} == want
+
+
 def test_clusters_follow_chains_and_name_their_smallest_key(spark):
     df = spark.createDataFrame([("t", i, i * 0.9, 0.0, 0.0) for i in range(12)] + [("t", 99, 50.0, 0.0, 0.0)], "g string, id long, x double, y double, z double")
     found = {r.id: r.cluster for r in spatial.single_link(df, ["g"], "id", 1.0).collect()}
