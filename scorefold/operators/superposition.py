@@ -112,16 +112,62 @@ def best_offset(reference: Column, predicted: Column, least: int = 1) -> Column:
     return F.struct(F.when((hit > 0) & (hit >= least), -found["back"]).otherwise(0).alias("offset"), hit.alias("matches"))
 
 
+#: Strings of up to so many letters are slid within their row.
+LONG = 1024
+
+
+def _codes(texts: list[str], pad: int, before: int = 0, after: int = 0) -> np.ndarray:
+    """The code points of each string in a row, ``pad`` around them."""
+    lengths = np.array([len(t) for t in texts])
+    wide = max(int(lengths.max()), 1)
+    out = np.array(texts, dtype=f"<U{wide}").view(np.uint32).reshape(len(texts), wide).copy()
+    out[np.arange(wide) >= lengths[:, None]] = pad
+    return np.pad(out, ((0, 0), (before, after)), constant_values=pad)
+
+
+def slid(references: list[str], predicted: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The offset with most matches of each pair, the first of equal ones, and its matches; 0 and 0 without any."""
+    offset, matches = np.zeros(len(references), np.int32), np.zeros(len(references), np.int32)
+    order = np.argsort([max(len(r), len(p)) for r, p in zip(references, predicted, strict=True)], kind="stable")
+    for at in range(0, len(order), 512):
+        rows = order[at : at + 512]
+        a = _codes([references[i] for i in rows], 1 << 30)
+        wide = a.shape[1]
+        b = _codes([predicted[i] for i in rows], 1 << 31, wide - 1, wide - 1)
+        best, by = np.zeros(len(rows), np.int32), np.zeros(len(rows), np.int32)
+        for shift in range(b.shape[1] - wide + 1):
+            equal = (a == b[:, shift : shift + wide]).sum(1, dtype=np.int32)
+            better = equal > best
+            best[better], by[better] = equal[better], shift - wide + 1
+        offset[rows], matches[rows] = by, best
+    return offset, matches
+
+
+def _letters(rows: DataFrame, key: list[str], text: str, at: str, *more: Column) -> DataFrame:
+    return rows.select(*key, F.posexplode(F.split(text, "")).alias(at, "_letter"), *more).where("_letter != ''")
+
+
 def offsets(pairs: DataFrame, key: list[str], reference: str, predicted: str, least: int = 1) -> DataFrame:
     """key, offset, matches of each pair of strings, as ``best_offset`` gives them.
 
-    Letters are taken apart once and meet where they are equal, so a shift's matches are a count and shifts without any
-    are never looked at; strings of any length are many rows.
+    Pairs of up to LONG letters are slid along each other within their row, many rows at a time. Longer ones are taken
+    apart: letters meet where they are equal, so a shift's matches are a count and shifts without any are never looked at.
     """
-    letters = lambda c, at: pairs.select(*key, F.posexplode(F.split(c, "")).alias(at, "_letter")).where("_letter != ''")
-    counted = letters(reference, "_i").join(letters(predicted, "_j"), [*key, "_letter"]).groupBy(*key, (F.col("_j") - F.col("_i")).alias("offset")).agg(F.count(F.lit(1)).cast("int").alias("matches"))
+    rows = pairs.select(*key, F.coalesce(reference, F.lit("")).alias("_r"), F.coalesce(predicted, F.lit("")).alias("_p"))
+    long = F.greatest(F.length("_r"), F.length("_p")) > LONG
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                found = slid(batch.column("_r").to_pylist(), batch.column("_p").to_pylist())
+                yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in key], *map(pa.array, found)], names=[*key, "offset", "matches"])
+
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*key).schema.fields], "offset int, matches int"])
+    near = rows.where(~long).repartition(*key).mapInArrow(run, schema)  # a small file is one split
+    rest = rows.where(long)
+    counted = _letters(rest, key, "_r", "_i").join(_letters(rest, key, "_p", "_j"), [*key, "_letter"]).groupBy(*key, (F.col("_j") - F.col("_i")).alias("offset")).agg(F.count(F.lit(1)).cast("int").alias("matches"))
     best = counted.groupBy(*key).agg(F.min(F.struct(-F.col("matches"), F.col("offset"))).alias("m")).select(*key, F.col("m.offset").alias("offset"), (-F.col("m.col1")).alias("matches"))
-    found = pairs.select(*key).join(best, key, "left")
+    found = near.unionByName(rest.select(*key).join(best, key, "left"))
     return found.select(*key, F.when(F.col("matches") >= least, F.col("offset")).otherwise(0).alias("offset"), F.coalesce("matches", F.lit(0)).alias("matches"))
 
 

@@ -211,3 +211,23 @@ def test_offsets_equal_the_column_that_slides(spark):
     for least in (1, 3):
         slid = {r.id: (r.o.offset, r.o.matches) for r in df.select("id", superposition.best_offset(F.col("a"), F.col("b"), least).alias("o")).collect()}
         assert {r.id: (r.offset, r.matches) for r in superposition.offsets(df, ["id"], "a", "b", least).collect()} == slid
+
+
+@pytest.mark.parametrize("long", [0, 5, 1024])
+def test_offsets_and_pairs_of_short_strings_take_no_rows_of_letters(spark, monkeypatch, long):
+    monkeypatch.setattr(superposition, "LONG", long)
+    rng = random.Random(2)
+    data = [(i, "".join(rng.choices("ABÄ😀", k=rng.randrange(9))), "".join(rng.choices("ABÄ😀", k=rng.randrange(9)))) for i in range(200)] + [(900, None, "A"), (901, "A\0", "\0A\0\0")]
+    df = spark.createDataFrame(data, "id long, a string, b string")
+    found = superposition.offsets(df, ["id"], "a", "b")
+    shifts = {r.id: (r.offset, r.matches) for r in found.collect()}
+    for i, a, b in data:
+        counts = {o: sum(0 <= k + o < len(b) and a[k] == b[k + o] for k in range(len(a))) for o in range(1 - len(a), len(b))} if a else {}
+        most = max(counts.values(), default=0)
+        assert shifts[i] == ((min(o for o in counts if counts[o] == most) if most else 0), most)
+    rows = df.join(found, "id")
+    pairs = superposition.matched_pairs(rows.select("id", F.col("a").alias("s"), "offset"), rows.select("id", F.col("b").alias("s")), ["id"], "s", F.col("offset"))
+    want = {(i, k, k + shifts[i][0], a[k]) for i, a, b in data for k in range(len(a or "")) if 0 <= k + shifts[i][0] < len(b) and a[k] == b[k + shifts[i][0]]}
+    assert sorted(map(tuple, pairs.collect())) == sorted(want)
+    if long == 1024:
+        assert "MapInArrow" in found._jdf.queryExecution().toString()
