@@ -236,7 +236,19 @@ def fitted(sums: np.ndarray) -> np.ndarray:
 
 
 def matched_pairs(a: DataFrame, b: DataFrame, key: list[str], sequence: str, offset: Column) -> DataFrame:
-    """key, i, j, letter: positions of ``a`` and ``b`` (``offset`` further on) whose letters agree; pairs by join on position."""
-    letters = lambda d, at: d.select(*key, F.posexplode(F.split(sequence, "")).alias(at, "letter"), *([offset.alias("_by")] if at == "i" else [])).where("letter != ''")
-    left = letters(a, "i").withColumn("j", F.col("i") + F.col("_by")).drop("_by")
-    return left.join(letters(b, "j"), [*key, "j", "letter"]).select(*key, "i", "j", "letter")
+    """key, i, j, letter: positions of ``a`` and ``b`` (``offset`` further on) whose letters agree.
+
+    Whole strings meet by key. What of the other one lies beside a string of up to LONG letters is compared within the row;
+    the letters of longer strings are rows, which meet by position.
+    """
+    rows = a.select(*key, F.col(sequence).alias("_a"), offset.cast("int").alias("_by"))
+    low = F.greatest(F.lit(0), -F.col("_by"))
+    met = rows.where(F.length("_a") <= LONG).join(b.select(*key, F.col(sequence).alias("_b")), key)
+    met = met.withColumns({"_low": low, "_n": F.least(F.length("_a"), F.length("_b") - F.col("_by")) - low}).where("_n > 0")
+    cut = lambda text, at: F.filter(F.split(F.substr(text, at + 1, F.col("_n")), ""), lambda x: x != "")
+    met = met.select(*key, "_by", "_low", cut(F.col("_a"), F.col("_low")).alias("_a"), cut(F.col("_b"), F.col("_low") + F.col("_by")).alias("_b"))
+    pair = lambda x, n: F.struct((n + F.col("_low")).alias("i"), (n + F.col("_low") + F.col("_by")).alias("j"), x.alias("letter"), (x == F.get("_b", n)).alias("same"))
+    near = met.select(*key, F.inline(F.filter(F.transform("_a", pair), lambda x: x["same"]))).select(*key, "i", "j", "letter")
+    rest = _letters(rows.where(F.length("_a") > LONG), key, "_a", "i", "_by").withColumn("j", F.col("i") + F.col("_by")).drop("_by")
+    far = rest.join(_letters(b, key, sequence, "j"), [*key, "j", "_letter"]).select(*key, "i", "j", F.col("_letter").alias("letter"))
+    return near.unionByName(far)

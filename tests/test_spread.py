@@ -231,3 +231,4 @@ def test_offsets_and_pairs_of_short_strings_take_no_rows_of_letters(spark, monke
     assert sorted(map(tuple, pairs.collect())) == sorted(want)
     if long == 1024:
         assert "MapInArrow" in found._jdf.queryExecution().toString()
+        assert "inline" in pairs._jdf.queryExecution().toString()
