@@ -19,11 +19,23 @@ from .lineage import settled
 AXES = ("x", "y", "z")
 #: So many links at most are joined by one task.
 SMALL = 100_000
+#: So many pairs of points of two boxes at most are compared without halving the boxes.
+PAIRS = 1024
+#: Edge of a box over the radius: the diagonal stays under the radius, and two edges over it whatever rounding does.
+HALF = 0.501
+#: So many edges from zero at most, rounding moves a point by far less than what HALF leaves.
+FAR = float(2**40)
+
+
+def _at(axis: str, edge: float) -> Column:
+    """The cell of a grid that a coordinate is in; NULL, which meets none, of those that aren't finite, and one for all beyond 10^18."""
+    at = F.col(axis) / edge
+    return F.when(F.abs(at) < float("inf"), F.floor(F.greatest(F.least(at, F.lit(1e18)), F.lit(-1e18))))
 
 
 def neighbours(points: DataFrame, group: list[str], key: str, radius: float, strict: bool = False) -> DataFrame:
     """group, a, b (a < b), distance of all pairs within ``radius``."""
-    cells = points.select(*group, key, *AXES, *[F.floor(F.col(c) / radius).alias(f"c{c}") for c in AXES])
+    cells = points.select(*group, key, *AXES, *[_at(c, radius).alias(f"c{c}") for c in AXES])
     around = cells.select(*group, F.col(key).alias("b"), *[F.col(c).alias(f"{c}2") for c in AXES], *[F.col(f"c{c}") for c in AXES])
     for c in AXES:
         around = around.withColumn(f"c{c}", F.explode(F.array(*[F.col(f"c{c}") + d for d in (-1, 0, 1)])))
@@ -121,10 +133,105 @@ def whole_key(group: list[str], key: str) -> Column:
 
 
 def single_link(points: DataFrame, group: list[str], key: str, radius: float, strict: bool = False) -> DataFrame:
-    """Every point with the cluster it is in, named by its smallest key; keys may recur between groups."""
+    """Every point with the cluster it is in, named by its smallest key; keys may recur between groups.
+
+    The points of a box of about half the radius are linked anyway, so boxes are joined in place of points: first those
+    whose first points are near, then, of different clusters only, those that any two points link. So pairs
+    are of boxes, at most 216 a box, however many points a box holds. A point that has no box is one by itself.
+    """
+    edge, boxed = radius * HALF, F.lit(True)
+    for c in [*[F.col(g).isNotNull() for g in group], *[F.coalesce(F.abs(F.col(c) / edge) < FAR, F.lit(False)) for c in AXES]]:
+        boxed = boxed & c
     marked = points.withColumn("_id", whole_key(group, key))
-    labels = components(marked.select(F.col("_id").alias("id")), neighbours(marked, group, "_id", radius, strict)).toDF("_id", "_label")
-    return marked.join(labels, "_id").select(*points.columns, F.col("_label._key").alias("cluster"))
+    cell = [_at(c, edge).alias(f"c{c}") for c in AXES]
+    marked = marked.withColumn("_box", F.struct(*[F.col(g) for g in group], *cell, F.when(~boxed, F.col("_id")).alias("_alone")))
+    boxes = marked.groupBy("_box").agg(*_bounds()).transform(settled)
+    first = boxes.select(*[F.col(f"_box.{g}").alias(g) for g in group], "id", "at.*")
+    labels = components(boxes.select("id"), neighbours(first, group, "id", radius, strict))
+    labels = _linked(marked.select("_box", "_id", *AXES), boxes, labels, group, radius, strict)
+    named = boxes.join(labels, "id").select("_box", F.col("label").alias("_label"))
+    return marked.join(named, "_box").select(*points.columns, F.col("_label._key").alias("cluster"))
+
+
+def _bounds() -> list[Column]:
+    """Of a box of rows (_id, x, y, z): the least _id as id, the point that has it, the number of rows and the edges."""
+    edges = [f(c).alias(f"{side}{c}") for side, f in (("low_", F.min), ("high_", F.max)) for c in AXES]
+    return [F.min("_id").alias("id"), F.min_by(F.struct(*AXES), "_id").alias("at"), F.count(F.lit(1)).alias("n"), *edges]
+
+
+def _length(sides: list[Column]) -> Column:
+    return F.sqrt(sum(side**2 for side in sides))
+
+
+def _linked(points: DataFrame, boxes: DataFrame, labels: DataFrame, group: list[str], radius: float, strict: bool) -> DataFrame:
+    """``labels`` of ``boxes``, joined further where any two ``points`` of two boxes of different labels are near.
+
+    In a round the points of two boxes meet if they make PAIRS pairs at most. Other boxes are halved along each axis, and only
+    halves go on that may hold a near pair; two of them are linked once their farthest or their first points are near.
+    Subtractions and sums of squares keep their order when rounded, so edges bound the distances of points exactly.
+    """
+    within = (lambda c: c < radius) if strict else (lambda c: c <= radius)
+    least = within(_length([F.greatest(F.col(f"b.low_{c}") - F.col(f"a.high_{c}"), F.col(f"a.low_{c}") - F.col(f"b.high_{c}"), F.lit(0.0)) for c in AXES]))
+    most = within(_length([F.greatest(F.col(f"b.high_{c}") - F.col(f"a.low_{c}"), F.col(f"a.high_{c}") - F.col(f"b.low_{c}")) for c in AXES]))
+    firsts = within(_length([F.col(f"a.at.{c}") - F.col(f"b.at.{c}") for c in AXES]))
+    ends = [F.col("a.id").alias("a"), F.col("b.id").alias("b")]
+
+    wide = F.lit(False)
+    for c in AXES:
+        wide = wide | (F.col(f"low_{c}") < F.col(f"high_{c}"))
+    known = boxes.join(labels, "id").withColumn("wide", wide)
+    for g in group:
+        known = known.withColumn(f"_g_{g}", F.col(f"_box.{g}"))
+    for c in AXES:
+        known = known.withColumn(f"_k_{c}", F.shiftright(f"_box.c{c}", 1))
+    around = known.where("wide")
+    for c in AXES:
+        around = around.withColumn(f"_k_{c}", F.explode(F.array(*[F.col(f"_k_{c}") + d for d in (-1, 0, 1)])))
+    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in [*[f"_g_{g}" for g in group], *[f"_k_{c}" for c in AXES]]]
+    apart = F.col("a.label") != F.col("b.label")
+    once = ~F.col("b.wide") | (F.col("a.id") < F.col("b.id"))
+    left = around.alias("a").join(known.alias("b"), same).where(apart & once & least)
+    size = (F.col("a.n") * F.col("b.n")).alias("size")
+    left = left.select(*ends, F.col("a.label").alias("la"), F.col("b.label").alias("lb"), size).transform(settled)
+    held = points.join(boxes.select("_box", F.col("id").alias("box")), "_box").select("box", "_id", *AXES)
+    while left.take(1):
+        few, many = left.where(F.col("size") <= PAIRS), left.where(F.col("size") > PAIRS)
+        a, b = held.alias("a"), held.alias("b")
+        met = few.join(a, F.col("a.box") == few["a"]).join(b, F.col("b.box") == few["b"])
+        near = met.where(within(_length([F.col(f"a.{c}") - F.col(f"b.{c}") for c in AXES])))
+        found = near.select("la", "lb").distinct()
+        divided = bool(many.take(1))
+        if divided:
+            halves, held = _halved(held, many.select(F.explode(F.array("a", "b")).alias("box")).distinct())
+            a, b = halves.alias("a"), halves.alias("b")
+            met = many.drop("size").join(a, F.col("a.box") == many["a"]).join(b, F.col("b.box") == many["b"]).where(least)
+            met = met.select(*ends, "la", "lb", size, (most | firsts).alias("near")).transform(settled)
+            found = found.unionByName(met.where("near").select("la", "lb")).distinct()
+            left = met.where("NOT near").drop("near")
+        found = found.transform(settled)
+        if found.take(1):
+            moved = components(found.select(F.explode(F.array("la", "lb")).alias("id")).distinct(), found.toDF("a", "b"))
+            labels = labels.join(moved.toDF("label", "_to"), "label", "left").select("id", F.coalesce("_to", "label").alias("label")).transform(settled)
+            for end in ("la", "lb"):
+                left = left.join(moved.toDF(end, "_to"), end, "left").withColumn(end, F.coalesce("_to", end)).drop("_to")
+        if not divided:
+            break
+        left = left.where("la != lb").select("a", "b", "la", "lb", "size").transform(settled)
+    return labels
+
+
+def _halved(held: DataFrame, boxes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The halves along each axis of those ``boxes`` (box) that rows ``held`` (box, _id, x, y, z) are in, and the rows with the halves.
+
+    The lowest and the highest row of an axis always part, so a box comes down to rows of one place.
+    """
+    rows = held.join(boxes, "box").transform(settled)
+    edges = rows.groupBy("box").agg(*[f(c).alias(f"{side}{c}") for side, f in (("low_", F.min), ("high_", F.max)) for c in AXES])
+    upper = [(F.col(c) - F.col(f"low_{c}") > F.col(f"high_{c}") - F.col(c)).alias(f"up_{c}") for c in AXES]
+    rows = rows.join(edges, "box").select(F.struct("box", *upper).alias("half"), "_id", *AXES).transform(settled)
+    halves = rows.groupBy("half").agg(*_bounds()).transform(settled)
+    rows = rows.join(halves.select("half", "id"), "half").select(F.col("id").alias("box"), "_id", *AXES).transform(settled)
+    return halves.withColumn("box", F.col("half.box")), rows
 
 
 def cluster_summary(clustered: DataFrame, group: list[str], weight: str) -> DataFrame:

@@ -1,5 +1,7 @@
 import math
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from scorefold.functions import parsing
@@ -61,6 +63,48 @@ def test_clusters_follow_chains_and_name_their_smallest_key(spark):
     assert {found[i] for i in range(12)} == {0} and found[99] == 99
 
 
+def plain_clusters(data, radius, strict):
+    """Cluster of each (g, id): links of all pairs, one by one."""
+    label = {r[:2]: r[1] for r in data}
+    for i, p in enumerate(data):
+        for q in data[:i]:
+            if p[0] == q[0] and p[0] is not None and None not in (*p[2:], *q[2:]) and label[p[:2]] != label[q[:2]]:
+                d = sum((a - b) * (a - b) for a, b in zip(p[2:], q[2:], strict=True)) ** 0.5
+                if d < radius or (d == radius and not strict):
+                    low, high = sorted((label[p[:2]], label[q[:2]]))
+                    label = {k: low if v == high and k[0] == p[0] else v for k, v in label.items()}
+    return label
+
+
+@pytest.mark.parametrize("strict", [False, True])
+@pytest.mark.parametrize("pairs", [0, 20, 1024])
+def test_clusters_of_boxes_equal_a_plain_walk(spark, monkeypatch, pairs, strict):
+    monkeypatch.setattr(spatial, "PAIRS", pairs)
+    rng = random.Random(11)
+    ball = lambda x, n, wide: [(x + rng.random() * wide, rng.random() * wide, rng.random() * wide) for _ in range(n)]
+    places = {
+        "a": ball(0.0, 40, 0.3) + ball(1.2, 40, 0.3) + ball(2.6, 40, 0.3) + ball(3.9, 3, 0.05),  # gaps just under and over 1
+        "b": [(i * 0.5, j * 0.5, 0.0) for i in range(-5, 6) for j in range(3) if i % 4] + [(5.5, 0.0, 0.0)] * 5 + [(6.5, 0.0, 0.0)] * 5,
+        "c": ball(-4.0, 90, 6.0),
+        "d": [(float("nan"), 0.0, 0.0)] * 2 + [(float("inf"), 0.0, 0.0)] * 2 + [(None, 0.0, 0.0)] * 2 + [(1e20, 0.0, 0.0)] * 2 + [(3e20, 0.0, 0.0), (-0.0, 0.0, 0.0), (0.0, -1.0, 0.0)],
+        None: [(0.0, 0.0, 0.0)] * 2,
+    }
+    data = [(g, i, *p) for g, rows in places.items() for i, p in enumerate(rng.sample(rows, len(rows)))]
+    df = spark.createDataFrame(data, "g string, id long, x double, y double, z double")
+    found = spatial.single_link(df, ["g"], "id", 1.0, strict).collect()
+    assert len(found) == len(data)
+    assert {(r.g, r.id): r.cluster for r in found} == plain_clusters(data, 1.0, strict)
+
+
+def test_dense_points_are_not_paired(spark, monkeypatch):
+    listed, neighbours = [], spatial.neighbours
+    monkeypatch.setattr(spatial, "neighbours", lambda *given: listed.append(neighbours(*given).count()) or neighbours(*given))
+    near = F.array(*[F.rand(s) * 0.2 + F.when(F.col("id") % 2 == 0, 1.1).otherwise(0.0) * int(s == 1) for s in (1, 2, 3)])
+    df = spark.range(6000).select(F.lit("t").alias("g"), "id", near.alias("p")).select("g", "id", *[F.col("p")[i].alias(a) for i, a in enumerate("xyz")])
+    assert {r.cluster for r in spatial.single_link(df, ["g"], "id", 1.0).collect()} == {0}
+    assert sum(listed) <= 216 * 64
+
+
 def test_missing_text_and_scores(spark):
     df = spark.createDataFrame([("", 0.2), ("None", 1.7), ("NaN", None), ("2.5", -1.0), ("x", 0.95)], "t string, p double")
     got = df.select(parsing.number(F.col("t")).alias("n"), F.round(parsing.closeness(F.col("p")), 6).alias("c")).collect()
