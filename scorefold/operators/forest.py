@@ -1,87 +1,20 @@
-"""Single-link clusters at several cutoffs from one minimum spanning forest."""
+"""Single-link clusters at several cutoffs."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
 
-from . import spatial
-from .lineage import settled
-from .spatial import components, in_order, neighbours, whole_key
+from .spatial import single_link
 
 
-def spanning_forest(links: DataFrame) -> DataFrame:
-    """Links (a, b, distance) of the minimum spanning forest; equal distances go by a and b, so it is unique.
+def single_link_cutoffs(points: DataFrame, group: list[str], key: str, cutoffs: list[float]) -> DataFrame:
+    """group, key, cutoff, cluster (its smallest key) of every point at each cutoff; keys may recur between groups.
 
-    Borůvka rounds: every tree takes its least link to another tree, the trees that these join become one, and of
-    the links between two trees only the least goes on. Trees at least halve, so rounds are logarithmic. Once at most
-    SMALL links are left, one task takes them in order of length.
+    Each cutoff is clustered by itself: a forest of the shortest links would need all pairs within the largest one.
     """
-    left = links.select(F.struct("distance", "a", "b").alias("link"), F.col("a").alias("la"), F.col("b").alias("lb")).transform(settled)
-    taken = []
-    while left.count() > spatial.SMALL:
-        ends = left.select(F.col("la").alias("tree"), "link", F.col("lb").alias("other")).unionByName(left.select(F.col("lb").alias("tree"), "link", F.col("la").alias("other")))
-        least = ends.groupBy("tree").agg(F.min(F.struct("link", "other")).alias("m")).select("tree", "m.link", "m.other").transform(settled)
-        taken.append(least.select("link").distinct())
-        joined = components(least.select(F.col("tree").alias("id")), least.select(F.col("tree").alias("a"), F.col("other").alias("b")))
-        first, second = joined.toDF("la", "na"), joined.toDF("lb", "nb")
-        moved = left.join(first, "la").join(second, "lb").where("na != nb")
-        pair = [F.least("na", "nb").alias("la"), F.greatest("na", "nb").alias("lb")]
-        left = moved.groupBy(*pair).agg(F.min("link").alias("link")).select("link", "la", "lb").transform(settled)
-    out = left.coalesce(1).mapInArrow(_taken(to_arrow_schema(left.select("link").schema)), left.select("link").schema)
-    for more in taken:
-        out = out.unionByName(more)
-    return out.select("link.a", "link.b", "link.distance")
-
-
-def _taken(schema: pa.Schema):
-    """Of at most SMALL rows (link, la, lb) those links that join two trees when all are walked by length."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        up, out = {}, []
-
-        def root(x: tuple) -> tuple:
-            up.setdefault(x, x)
-            while up[x] != x:
-                up[x] = up[up[x]]
-                x = up[x]
-            return x
-
-        for row in sorted((r for b in batches for r in b.to_pylist()), key=lambda r: in_order(r["link"])):
-            a, b = root(in_order(row["la"])), root(in_order(row["lb"]))
-            if a != b:
-                up[a] = b
-                out.append({"link": row["link"]})
-        yield pa.RecordBatch.from_pylist(out, schema)
-
-    return run
-
-
-def cut(ids: DataFrame, forest: DataFrame, cutoffs: list[float]) -> DataFrame:
-    """cutoff, id, label (the smallest id of the cluster) at each cutoff; a cutoff starts from the clusters of the one below."""
-    forest = forest.transform(settled)
-    labels, below, out = ids.select("id", F.col("id").alias("label")), None, None
+    rows, out = points.select(*group, key, "x", "y", "z"), None
     for c in sorted(cutoffs):
-        new = forest.where(F.col("distance") <= c)
-        new = new if below is None else new.where(F.col("distance") > below)
-        ends = labels.toDF("a", "la"), labels.toDF("b", "lb")
-        between = new.join(ends[0], "a").join(ends[1], "b").select(F.col("la").alias("a"), F.col("lb").alias("b")).transform(settled)
-        if between.take(1):
-            touched = between.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-            moved = components(touched, between).toDF("label", "_to")
-            labels = labels.join(moved, "label", "left").select("id", F.coalesce("_to", "label").alias("label")).transform(settled)
-        at = labels.select(F.lit(float(c)).alias("cutoff"), "id", "label")
-        out, below = at if out is None else out.unionByName(at), c
+        at = single_link(rows, group, key, c).select(*group, key, F.lit(float(c)).alias("cutoff"), "cluster")
+        out = at if out is None else out.unionByName(at)
     return out
-
-
-def single_link_cutoffs(points: DataFrame, group: list[str], key: str, cutoffs: list[float]) -> DataFrame:
-    """group, key, cutoff, cluster (its smallest key) of every point at each cutoff; keys may recur between groups."""
-    marked = points.withColumn("_id", whole_key(group, key))
-    links = neighbours(marked, group, "_id", max(cutoffs)).select("a", "b", "distance")
-    found = cut(marked.select(F.col("_id").alias("id")), spanning_forest(links), cutoffs)
-    return found.select(*[F.col(f"id.{g}").alias(g) for g in group], F.col("id._key").alias(key), "cutoff", F.col("label._key").alias("cluster"))

@@ -137,22 +137,30 @@ def single_link(points: DataFrame, group: list[str], key: str, radius: float, st
 
     The points of a box of about half the radius are linked anyway, so boxes are joined in place of points: first those
     whose first points are near, then, of different clusters only, those that any two points link. So pairs
-    are of boxes, at most 216 a box, however many points a box holds. A point that has no box is one by itself.
+    are of boxes, at most 216 a box, however many points a box holds. A point that has no box is one by itself. Within a
+    radius of 0 are copies only, which make a box.
     """
-    edge, boxed = radius * HALF, F.lit(True)
-    for c in [*[F.col(g).isNotNull() for g in group], *[F.coalesce(F.abs(F.col(c) / edge) < FAR, F.lit(False)) for c in AXES]]:
+    edge, boxed = radius * HALF, F.lit(radius > 0 or (radius == 0 and not strict))
+    for c in [*[F.col(g).isNotNull() for g in group], *[F.coalesce(_within(c, edge), F.lit(False)) for c in AXES]]:
         boxed = boxed & c
     marked = points.withColumn("_id", whole_key(group, key))
-    cell = [_at(c, edge).alias(f"c{c}") for c in AXES]
+    cell = [(_at(c, edge) if edge > 0 else F.col(c)).alias(f"c{c}") for c in AXES]
     marked = marked.withColumn("_box", F.struct(*[F.col(g) for g in group], *cell, F.when(~boxed, F.col("_id")).alias("_alone")))
     boxes = marked.groupBy("_box").agg(*_bounds()).transform(settled)
-    first = boxes.select(*[F.col(f"_box.{g}").alias(g) for g in group], "id", "at.*")
-    labels = components(boxes.select("id"), neighbours(first, group, "id", radius, strict))
-    labels = _linked(marked.select("_box", "_id", *AXES), boxes, labels, group, radius, strict)
+    labels = boxes.select("id", F.col("id").alias("label"))
+    if edge > 0:
+        first = boxes.select(*[F.col(f"_box.{g}").alias(g) for g in group], "id", "at.*")
+        labels = components(boxes.select("id"), neighbours(first, group, "id", radius, strict))
+        labels = _linked(marked.select("_box", "_id", *AXES), boxes, labels, group, radius, strict)
     named = boxes.join(labels, "id").select("_box", F.col("label").alias("_label"))
     return marked.join(named, "_box").select(*points.columns, F.col("_label._key").alias("cluster"))
 
 
+def _within(axis: str, edge: float) -> Column:
+    """Whether boxes of a coordinate hold near points only."""
+    return F.abs(F.col(axis) / edge) < FAR if edge > 0 else F.abs(axis) < float("inf")
+
+
 def _bounds() -> list[Column]:
     """Of a box of rows (_id, x, y, z): the least _id as id, the point that has it, the number of rows and the edges."""
     edges = [f(c).alias(f"{side}{c}") for side, f in (("low_", F.min), ("high_", F.max)) for c in AXES]

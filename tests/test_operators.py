@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scorefold.functions import parsing
-from scorefold.operators import lineage, ranking, screening, spatial
+from scorefold.operators import forest, lineage, ranking, screening, spatial
 from scorefold.sources.tables import predictions, search_hits
 
 
@@ -103,6 +103,18 @@ def test_dense_points_are_not_paired(spark, monkeypatch):
     df = spark.range(6000).select(F.lit("t").alias("g"), "id", near.alias("p")).select("g", "id", *[F.col("p")[i].alias(a) for i, a in enumerate("xyz")])
     assert {r.cluster for r in spatial.single_link(df, ["g"], "id", 1.0).collect()} == {0}
     assert sum(listed) <= 216 * 64
+    listed.clear()
+    assert forest.single_link_cutoffs(df, ["g"], "id", [0.05, 1.0]).where("cutoff = 1 AND cluster = 0").count() == 6000
+    assert sum(listed) <= 216 * 64 + 216 * 6000 / 2
+
+
+def test_cutoffs_of_zero_join_copies(spark):
+    inf, nan = float("inf"), float("nan")
+    data = [("a", i, *p) for i, p in enumerate([(0.0, 1.0, 2.0), (-0.0, 1.0, 2.0), (0.5, 1.0, 2.0), (inf, 0.0, 0.0), (inf, 0.0, 0.0), (nan, 0.0, 0.0), (nan, 0.0, 0.0), (1e300, 0.0, 0.0), (1e300, 0.0, 0.0)])]
+    df = spark.createDataFrame(data, "g string, id long, x double, y double, z double")
+    found = {(r.cutoff, r.id): r.cluster for r in forest.single_link_cutoffs(df, ["g"], "id", [0.5, -1.0, 0.0]).collect()}
+    want = {-1.0: range(9), 0.0: [0, 0, 2, 3, 4, 5, 6, 7, 7], 0.5: [0, 0, 0, 3, 4, 5, 6, 7, 7]}
+    assert found == {(c, i): cluster for c, clusters in want.items() for i, cluster in enumerate(clusters)}
 
 
 def test_missing_text_and_scores(spark):
